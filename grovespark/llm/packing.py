@@ -7,12 +7,13 @@ fullest closes first. Tasks pack apart; each gets so many pieces that its last,
 
 from __future__ import annotations
 
+import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,48 +25,103 @@ END = 1
 OPEN_BINS = 32_768
 #: Sequences that a packing task fills, about.
 TASK_SEQUENCES = 25_000
-#: Words whose ids a Python worker keeps; then it starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a Python worker keeps in each of two generations.
+CACHE_WORDS = 250_000
+#: Letters that lower-case to one letter each, and stay as they are under normalisation.
+LATIN = re.compile(r"[A-Za-z\u00c0-\u00ff]+").fullmatch
 
 
 class WordIds:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its blank-separated words, which are kept by word.
+    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its blank-separated
+    words, which are kept by word in two generations, so that common words stay. Of a new word of Latin letters alone, many are
+    encoded as one text, whose ids part after those that end a word. Stops after letters or digits are words of their own, as the tokenizer parts them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.kept) > CACHE_WORDS:
-            self.kept = {}
-        new = list({w for words in split for w in words}.difference(self.kept))
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            self.kept.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends_word = np.zeros(max(self.tokenizer.get_vocab_size(), max(ends) + 1), bool)
+        self.ends_word[ends] = True
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id after it; place after each text's end). Words that repeat are looked up once."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told apart by case
+            texts = pc.ascii_lower(texts)
+        words = pc.split_pattern(pc.replace_substring_regex(texts, r"([\p{L}\p{N}])([.,;:!?]+)( |$)", r"\1 \2\3"), " ")
+        coded = words.flatten().dictionary_encode()
+        unique = coded.dictionary.to_pylist()
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {"": b""}
+        self.learn([w for w in unique if w not in self.young])
+        held = list(map(self.young.__getitem__, unique))
+        size = np.fromiter(map(len, held), np.int32, len(held)) // 4
+        pool, begin = np.frombuffer(b"".join(held), "<u4"), np.cumsum(size, dtype=np.int32) - size
+        index = coded.indices.to_numpy()
+        each = size[index]
+        upto = np.cumsum(each, dtype=np.int32)  # a chunk's ids are far fewer than 2^31
+        at = np.repeat(begin[index] - (upto - each), each)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = pool[at]
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], upto])[np.cumsum(counts)]
+        return np.insert(ids, ends, END).astype("<u4"), ends + np.arange(1, len(ends) + 1)
+
+    def learn(self, words: list[str]) -> None:
+        """Takes from the old generation what it has, and encodes the rest."""
+        had = list(map(self.old.get, words))
+        self.young.update((w, x) for w, x in zip(words, had) if x is not None)
+        new = [w for w, x in zip(words, had) if x is None]
+        letters = [w for w in new if LATIN(w)]
+        self.encode_letters(letters)
+        self.encode([w for w in new if w not in self.young])
+
+    def encode(self, words: list[str]) -> None:
+        """Any words, many as one text; ids go to the word that their place in the text lies in."""
+        for lo in range(0, len(words), 500):
+            some = words[lo : lo + 500]
+            done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            owner = np.searchsorted(ends, np.array([s for s, _ in done.offsets], np.int64), side="right")
+            ids, cuts = np.array(done.ids, "<u4").tobytes(), (np.searchsorted(owner, np.arange(len(some) + 1)) * 4).tolist()
+            self.young.update((w, ids[s:e]) for w, s, e in zip(some, cuts, cuts[1:]))
+
+    def encode_letters(self, words: list[str]) -> None:
+        for lo in range(0, len(words), 500):
+            some = words[lo : lo + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) != len(some):
+                self.encode(some)
+                continue
+            data, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
+            self.young.update((w, data[s:e]) for w, s, e in zip(some, at, at[1:]))
 
 
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", sequence: int = SEQUENCE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only where longer than a sequence."""
-    end = array("I", [END]).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        ids = WordIds(public_tokenizers.path(tokenizer))
-        for b in C.chunks(batches):
-            out: list[tuple] = []
-            for doc_id, own in zip(b["doc_id"].to_pylist(), ids(b["text"].to_pylist())):
-                own += end
-                n = len(own) // 4
-                out += [(doc_id, k, s, min(sequence, n - s), zlib.crc32(own[4 * s : 4 * (s + sequence)])) for k, s in enumerate(range(0, n, sequence))]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode = WordIds(public_tokenizers.path(tokenizer))
+        for b in C.chunks(batches, limit=C.CHUNK_BYTES // 2):
+            ids, ends = encode(b["text"])
+            sizes = np.diff(np.r_[0, ends])
+            pieces_of = -(-sizes // sequence)
+            doc = np.repeat(np.arange(b.num_rows), pieces_of)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
+            start = piece * sequence
+            length = np.minimum(sequence, sizes[doc] - start)
+            at = ((ends - sizes)[doc] + start) * 4
+            view = memoryview(ids.tobytes())
+            crc = [zlib.crc32(view[s:e]) for s, e in zip(at.tolist(), (at + length * 4).tolist())]
+            yield pa.record_batch([b["doc_id"].take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
