@@ -1,4 +1,392 @@
 """All queries of the library by name, and their DuckDB SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rng
+from ..functions import tables as T
+from ..operators import clean, evaluate, graph, labels, sampling, spatial, views, voxels
+from ..sources import adapters as A
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+SIZE, VOXEL, EDGE_VOXEL, RADIUS, TILE, OVERLAP, SPACING, CLASSES, POINTS = 64, 4.0, 20.0, 40.0, 100.0, 0.4, 10.0, 10, 64
+AXES = "xyz"
+
+
+def rounded(df: DataFrame, digits: int = 6, *names: str) -> DataFrame:
+    """Rounds columns, so that sums in another order compare equal; minus zero becomes zero."""
+    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names or [c for c, t in df.dtypes if t == "double"]})
+
+
+def query(name: str, run: Query, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        SQL[name] = sql
+
+
+def r(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n.rpartition('.')[2]}" for n in names)
+
+
+def u(seed: str, *keys: str) -> str:
+    """The SQL of rng.uniform."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+
+
+def b(seed: str, low: float, high: float, *keys: str) -> str:
+    return f"({low}::DOUBLE + {high - low}::DOUBLE * {u(seed, *keys)})"
+
+
+def normal(seed: str, *keys: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {u(seed + 'a', *keys)})) * cos(6.283185307179586::DOUBLE * {u(seed + 'b', *keys)}))"
+
+
+LI, EV, CL, SC = f"li AS ({A.LINE_POINTS})", f"ev AS ({A.EVENT_POINTS})", f"cl AS ({A.CLOUDS})", f"sc AS ({A.SCORES})"
+
+
+# Views
+
+
+def _views_sql(cube: str) -> str:
+    g = "\n".join(f", greatest(0, least({SIZE - 1}, trunc(({a} - lo{a}) / (hi{a} - lo{a} + 1e-8::DOUBLE) * {SIZE - 1})::INT)) AS g{a}" for a in AXES)
+    last = SIZE - 1
+    made = [("top", "gy", "gx", "hiz - z"), ("front", f"{last} - gz", "gx", "hiy - y"), ("back", f"{last} - gz", f"{last} - gx", "y - loy"), ("left", f"{last} - gz", "gy", "hix - x"), ("right", f"{last} - gz", f"{last} - gy", "x - lox")]
+    union = " UNION ALL ".join(f"SELECT cloud_id, '{v}' AS view, {p} AS \"row\", {q} AS col, {d} AS d FROM g" for v, p, q, d in made)
+    return f"""WITH {LI},
+bb AS (SELECT cloud_id, {', '.join(f'min({a}) AS n{a}, max({a}) AS m{a}' for a in AXES)} FROM {cube} GROUP BY 1),
+hh AS (SELECT *, greatest(mx - nx, my - ny, mz - nz) / 2 * (1 + 2 * 0.05::DOUBLE) AS h FROM bb),
+cc AS (SELECT cloud_id, {', '.join(f'(n{a} + m{a}) / 2 - h AS lo{a}, (n{a} + m{a}) / 2 + h AS hi{a}' for a in AXES)} FROM hh),
+g AS (SELECT li.*, cc.* EXCLUDE (cloud_id) {g} FROM li JOIN cc USING (cloud_id)),
+px AS (SELECT cloud_id, view, "row", col, min(d) AS d FROM ({union}) GROUP BY ALL),
+vw AS (SELECT cloud_id, view, "row", col, (max(d) OVER w - d) / (max(d) OVER w - min(d) OVER w + 1e-8::DOUBLE) * (254::DOUBLE / 255) + 1::DOUBLE / 255 AS value FROM px WINDOW w AS (PARTITION BY cloud_id, view))"""
+
+
+_OTHER = "(SELECT CASE WHEN cloud_id = (SELECT max(cloud_id) FROM li) THEN (SELECT min(cloud_id) FROM li) ELSE cloud_id + 1 END AS cloud_id, x, y, z FROM li)"
+
+
+def _reference(spark: SparkSession, d: str) -> DataFrame:
+    """Each cloud's cube is that of the cloud before it."""
+    p = A.line_points(spark, d)
+    ends = p.agg(F.min("cloud_id").alias("lo"), F.max("cloud_id").alias("hi")).withColumn("one", F.lit(1))
+    other = p.withColumn("one", F.lit(1)).join(ends, "one")
+    return views.project(p, SIZE, other.select(F.when(F.col("cloud_id") == F.col("hi"), F.col("lo")).otherwise(F.col("cloud_id") + 1).alias("cloud_id"), "x", "y", "z"))
+
+
+query("side_views", lambda s, d: rounded(views.project(A.line_points(s, d), SIZE)), f"{_views_sql('li')} SELECT cloud_id, view, \"row\", col, {r('value')} FROM vw")
+query("side_views_ref_cube", lambda s, d: rounded(_reference(s, d)), f"{_views_sql(_OTHER)} SELECT cloud_id, view, \"row\", col, {r('value')} FROM vw")
+_W = ", ".join(f"({i - 2}, {w!r}::DOUBLE)" for i, w in enumerate(views.kernel()))
+query(
+    "gaussian_blur",
+    lambda s, d: rounded(views.blur(views.project(A.line_points(s, d), SIZE), SIZE)),
+    f"""{_views_sql('li')}, k(d, w) AS (VALUES {_W}), t AS (SELECT i AS pos, d, w, CASE WHEN i + d < 0 THEN -(i + d) WHEN i + d > {SIZE - 1} THEN {2 * (SIZE - 1)} - (i + d) ELSE i + d END AS src FROM range({SIZE}) q(i), k)
+SELECT cloud_id, view, a.pos::INT AS "row", c.pos::INT AS col, round(sum(value * a.w * c.w), 6) + 0.0 AS value FROM vw JOIN t a ON a.src = vw."row" JOIN t c ON c.src = vw.col GROUP BY ALL""",
+)
+
+# Cleaning
+
+_BOX = f"bx AS (SELECT cloud_id, {', '.join(f'min({a}) AS min_{a}, max({a}) AS max_{a}, avg({a}) AS mean_{a}' for a in AXES)}, count(*) AS n FROM ev GROUP BY 1)"
+_XYZ = r("x", "y", "z", digits=9)
+query("center_cloud", lambda s, d: rounded(clean.center(A.event_points(s, d)), 9), f"WITH {EV}, {_BOX} SELECT cloud_id, point_id, {', '.join(f'round({a} - mean_{a}, 9) + 0.0 AS {a}' for a in AXES)} FROM ev JOIN bx USING (cloud_id)")
+query("cloud_bbox", lambda s, d: rounded(clean.bbox(A.event_points(s, d))), f"WITH {EV}, {_BOX} SELECT cloud_id, {r(*(f'{m}_{a}' for a in AXES for m in ('min', 'max')))}, {', '.join(f'round((min_{a} + max_{a}) / 2, 6) AS mid_{a}' for a in AXES)}, round(greatest(max_x - min_x, max_y - min_y, max_z - min_z) / 2 * 1.1::DOUBLE, 6) AS half, n FROM bx")
+_UNIT = ", ".join(f"(({a} - min_{a}) / greatest(max_{a} - min_{a}, 1e-6::DOUBLE))" + " AS {}" + a for a in AXES)
+query("unit_normalize", lambda s, d: rounded(clean.unit(A.event_points(s, d)), 9), f"WITH {EV}, {_BOX}, un AS (SELECT cloud_id, point_id, {_UNIT.format('', '', '')} FROM ev JOIN bx USING (cloud_id)) SELECT cloud_id, point_id, {_XYZ} FROM un")
+query("safe_points", lambda s, d: clean.safe(A.event_points(s, d), 60), f"WITH {EV} SELECT * FROM ev WHERE isfinite(x) AND isfinite(y) AND isfinite(z) AND cloud_id IN (SELECT cloud_id FROM ev WHERE isfinite(x) AND isfinite(y) AND isfinite(z) GROUP BY 1 HAVING count(*) >= 60)")
+query("tree_height_filter", lambda s, d: clean.tall(A.event_points(s, d), 97.5), f"WITH {EV} SELECT * FROM ev WHERE cloud_id IN (SELECT cloud_id FROM ev GROUP BY 1 HAVING max(z) - min(z) >= 97.5)")
+query("tree_height_dryrun", lambda s, d: clean.short(A.event_points(s, d), 97.5), f"WITH {EV} SELECT cloud_id, max(z) - min(z) AS height FROM ev GROUP BY 1 HAVING max(z) - min(z) < 97.5")
+
+
+def _plots(s: SparkSession, d: str) -> DataFrame:
+    return A.event_points(s, d).select((F.col("cloud_id") % 60).alias("tree_id"), "point_id", (F.col("z") % 4).cast("int").alias("species"), *AXES)
+
+
+query(
+    "drop_background",
+    lambda s, d: clean.drop_background(_plots(s, d)),
+    f"WITH {EV}, pl AS (SELECT cloud_id % 60 AS tree_id, point_id, (z % 4)::INT AS species, x, y, z FROM ev), fs AS (SELECT tree_id, arg_min(species, point_id) AS first_species FROM pl GROUP BY 1) SELECT pl.*, first_species FROM pl JOIN fs USING (tree_id) WHERE tree_id <> 0 AND first_species <> 0",
+)
+
+# Voxels and tiles
+
+
+def _keys(size: float) -> str:
+    return ", ".join(f"floor({a} / {size}::DOUBLE)::BIGINT AS k{a}" for a in AXES)
+
+
+query("voxel_mean", lambda s, d: rounded(voxels.means(A.line_points(s, d), VOXEL), 9), f"WITH {LI}, v AS (SELECT cloud_id, {_keys(VOXEL)}, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM li GROUP BY ALL) SELECT cloud_id, kx, ky, kz, {_XYZ}, n FROM v")
+_D2 = " + ".join(f"pow({a} / {VOXEL}::DOUBLE - floor({a} / {VOXEL}::DOUBLE) - 0.5, 2)" for a in AXES)
+query(
+    "voxel_top1",
+    lambda s, d: voxels.nearest(A.line_points(s, d), VOXEL),
+    f"WITH {LI}, v AS (SELECT *, {_keys(VOXEL)}, round({_D2}, 12) AS d2 FROM li), n AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, kx, ky, kz ORDER BY d2, x, y, z) AS i FROM v) SELECT cloud_id, kx, ky, kz, x, y, z FROM n WHERE i = 1",
+)
+_STRIDE = f"({TILE}::DOUBLE * (1 - {OVERLAP}::DOUBLE))"
+
+
+def _steps(a: str) -> str:
+    return f"unnest(generate_series(0, ceil((hi{a} - lo{a}) / {_STRIDE})::BIGINT)) AS i{a}"
+
+
+query(
+    "overlap_tiles",
+    lambda s, d: voxels.tiles(A.event_points(s, d), TILE, OVERLAP),
+    f"""WITH {EV}, bx AS (SELECT cloud_id, min(x) AS lox, max(x) AS hix, min(y) AS loy, max(y) AS hiy FROM ev GROUP BY 1), tx AS (SELECT *, {_steps('x')} FROM bx), tt AS (SELECT *, {_steps('y')} FROM tx)
+SELECT cloud_id, point_id, ix::INT AS ix, iy::INT AS iy FROM ev JOIN tt USING (cloud_id) WHERE x BETWEEN lox + ix * {_STRIDE} AND lox + ix * {_STRIDE} + {TILE}::DOUBLE AND y BETWEEN loy + iy * {_STRIDE} AND loy + iy * {_STRIDE} + {TILE}::DOUBLE""",
+)
+
+
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    return rounded(voxels.means(A.event_points(s, d), EDGE_VOXEL), 9)
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return rounded(voxels.radius_edges(_nodes(s, d), EDGE_VOXEL, RADIUS))
+
+
+_STEPS = ", ".join(map(str, voxels.offsets(EDGE_VOXEL, RADIUS)))
+_EDGES = f"""WITH {EV}, nd AS (SELECT cloud_id, kx, ky, kz, kx || '_' || ky || '_' || kz AS node, {_XYZ} FROM (SELECT cloud_id, {_keys(EDGE_VOXEL)}, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM ev GROUP BY ALL)),
+st(dx, dy, dz) AS (VALUES {_STEPS}),
+pr AS (SELECT p.cloud_id, p.node AS src, q.node AS dst, p.x AS ax, p.y AS ay, p.z AS az, q.x AS qx, q.y AS qy, q.z AS qz, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) AS d2
+  FROM nd p, st JOIN nd q ON q.cloud_id = p.cloud_id AND q.kx = p.kx + dx AND q.ky = p.ky + dy AND q.kz = p.kz + dz),
+ed AS (SELECT cloud_id, src, dst, round(d2, 6) AS d2, ax, ay, az, qx, qy, qz FROM pr WHERE d2 <= {RADIUS * RADIUS}::DOUBLE),
+bo AS (SELECT cloud_id, src AS node, dst AS other FROM ed UNION ALL SELECT cloud_id, dst, src FROM ed)"""
+query("radius_edges", _edges, f"{_EDGES} SELECT cloud_id, src, dst, d2 FROM ed")
+query("node_degree", lambda s, d: voxels.degrees(_edges(s, d)), f"{_EDGES} SELECT cloud_id, node, count(*) AS degree FROM bo GROUP BY ALL")
+query("adjacency", lambda s, d: voxels.adjacency(_edges(s, d)).withColumn("neighbours", F.array_join("neighbours", " ")), f"{_EDGES} SELECT cloud_id, node, string_agg(other, ' ' ORDER BY other) AS neighbours FROM bo GROUP BY ALL")
+query(
+    "sample_edges",
+    lambda s, d: rounded(voxels.along_edges(_edges(s, d), _nodes(s, d), SPACING)),
+    f"""{_EDGES}, ln AS (SELECT *, greatest(2, ceil(sqrt((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay) + (qz - az) * (qz - az)) / {SPACING}::DOUBLE)::INT + 1) AS n FROM ed), sp AS (SELECT *, unnest(generate_series(0, n - 1)) AS step FROM ln)
+SELECT cloud_id, src, dst, step::INT AS step, {', '.join(f'round(a{a} + step::DOUBLE / (n - 1) * (q{a} - a{a}), 6) + 0.0 AS {a}' for a in AXES)} FROM sp""",
+)
+
+
+def _alive(s: SparkSession, d: str) -> DataFrame:
+    return voxels.alive_edges(_edges(s, d), voxels.degrees(_edges(s, d)).where("degree >= 4").select("cloud_id", "node"))
+
+
+_ALIVE = "(SELECT cloud_id, node FROM bo GROUP BY ALL HAVING count(*) >= 4)"
+query("alive_edge_filter", _alive, f"{_EDGES} SELECT cloud_id, src, dst, d2 FROM ed WHERE (cloud_id, src) IN {_ALIVE} AND (cloud_id, dst) IN {_ALIVE}")
+query("min_spanning_forest", lambda s, d: graph.spanning_forest(_edges(s, d)))
+query("prune_branches", lambda s, d: graph.prune(graph.spanning_forest(_edges(s, d)), 60.0))
+query("simplify_chains", lambda s, d: graph.simplify(graph.prune(graph.spanning_forest(_edges(s, d)), 60.0), 50.0))
+
+# Labels and splits
+
+_MERGED = "me AS (SELECT cloud_id, path, CASE WHEN m IN ('Plain', 'Special', 'LARGE') THEN m ELSE 'others' END AS species FROM (SELECT *, CASE species WHEN 'ECONOMY' THEN 'Plain' WHEN 'STANDARD' THEN 'Plain' WHEN 'PROMO' THEN 'Special' ELSE species END AS m FROM cl))"
+_RANKS = "rk AS (SELECT species, (row_number() OVER (ORDER BY species = 'others', species) - 1)::INT AS species_number FROM (SELECT DISTINCT species FROM me))"
+_PARSED = r"pa AS (SELECT *, regexp_extract(regexp_extract(path, '([^/]*)\.npy$', 1), '^(.*)_[^_]*$', 1) AS stem, try_cast(nullif(regexp_extract(path, '_([0-9]+)\.npy$', 1), '') AS INT) AS label FROM cl)"
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    return labels.merged(A.clouds(s, d), T.MERGE, T.ALLOWED)
+
+
+def _split(s: SparkSession, d: str) -> DataFrame:
+    return labels.split(labels.parsed(A.clouds(s, d)), "species")
+
+
+query("merge_species", _merged, f"WITH {CL}, {_MERGED} SELECT cloud_id, species, path FROM me")
+query("label_encode", lambda s, d: labels.encoded(_merged(s, d)).select("cloud_id", "species", "species_number"), f"WITH {CL}, {_MERGED}, {_RANKS} SELECT cloud_id, species, species_number FROM me JOIN rk USING (species)")
+query("label_encode_strings", lambda s, d: labels.encoded(labels.parsed(A.clouds(s, d)).withColumn("name", F.col("label").cast("string")), "name").select("cloud_id", "name", "species_number"), f"WITH {CL}, {_PARSED}, nm AS (SELECT cloud_id, label::VARCHAR AS name FROM pa), rk AS (SELECT name, (row_number() OVER (ORDER BY name) - 1)::INT AS species_number FROM (SELECT DISTINCT name FROM nm)) SELECT * FROM nm JOIN rk USING (name)")
+query("species_counts", lambda s, d: labels.counts(labels.encoded(_merged(s, d))), f"WITH {CL}, {_MERGED}, {_RANKS} SELECT species, species_number, count(*) AS \"count\" FROM me JOIN rk USING (species) GROUP BY ALL")
+query("parse_label", lambda s, d: labels.parsed(A.clouds(s, d)), f"WITH {CL}, {_PARSED} SELECT * FROM pa")
+query("swap_labels", lambda s, d: labels.swapped(A.clouds(s, d), 15, 16), rf"WITH {CL} SELECT cloud_id, species, CASE regexp_extract(path, '_([0-9]+)\.npy$', 1) WHEN '15' THEN regexp_replace(path, '[0-9]+\.npy$', '16.npy') WHEN '16' THEN regexp_replace(path, '[0-9]+\.npy$', '15.npy') ELSE path END AS path FROM cl")
+query(
+    "label_join_default",
+    lambda s, d: labels.labelled(labels.parsed(A.clouds(s, d)).select("cloud_id", "stem"), labels.encoded(_merged(s, d)).where("cloud_id % 3 = 0").select(F.regexp_extract("path", "^(.*)_[^_]*$", 1).alias("stem"), "species_number", F.col("cloud_id").alias("seq")).where("stem like 'r%' or stem like 's%'")),
+    rf"WITH {CL}, {_PARSED}, {_MERGED}, {_RANKS}, md AS (SELECT regexp_extract(path, '^(.*)_[^_]*$', 1) AS stem, arg_max(species_number, cloud_id) AS species_number FROM me JOIN rk USING (species) WHERE cloud_id % 3 = 0 GROUP BY 1 HAVING stem LIKE 'r%' OR stem LIKE 's%') SELECT cloud_id, stem, coalesce(species_number, 15) AS species_number FROM pa LEFT JOIN md USING (stem)",
+)
+query(
+    "name_join_default",
+    lambda s, d: labels.named(labels.parsed(A.clouds(s, d)).select("cloud_id", "label"), labels.parsed(A.clouds(s, d)).where("label % 2 = 0").select("label", F.col("species").alias("name"), F.col("cloud_id").alias("seq"))),
+    f"WITH {CL}, {_PARSED}, nm AS (SELECT label, arg_min(species, cloud_id) AS name FROM pa WHERE label % 2 = 0 GROUP BY 1) SELECT cloud_id, label, coalesce(name, 'species_' || label) AS name FROM pa LEFT JOIN nm USING (label)",
+)
+query("ignore_index_filter", lambda s, d: A.scores(s, d).where("label < 7").select("id", "label"), f"WITH {SC} SELECT id, label FROM sc WHERE label < 7")
+_SPLIT = f"""{_PARSED}, so AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY {u('split', 'cloud_id')}, cloud_id) AS p, count(*) OVER (PARTITION BY species) AS n FROM pa),
+sb AS (SELECT *, floor(n * 0.7::DOUBLE + 0.5) AS qa FROM so), sq AS (SELECT *, qa + floor((n - qa) * (2::DOUBLE / 3) + 0.5) AS qb FROM sb),
+sp AS (SELECT cloud_id, species, path, stem, label, CASE WHEN p <= qa THEN 'train' WHEN p <= qb THEN 'test' ELSE 'val' END AS split FROM sq)"""
+query("stratified_split", _split, f"WITH {CL}, {_SPLIT} SELECT * FROM sp")
+query("split_guard", lambda s, d: labels.can_stratify(labels.parsed(A.clouds(s, d)), "label"), f"WITH {CL}, {_PARSED} SELECT min(n) >= 2 AS stratify, min(n) AS least FROM (SELECT count(*) AS n FROM pa GROUP BY label)")
+query("metadata_b", lambda s, d: labels.metadata_files(_split(s, d)), f"WITH {CL}, {_SPLIT} SELECT (row_number() OVER (ORDER BY path, cloud_id) - 1)::INT AS file_num, path AS file_name, label, species, split AS folder_name FROM sp")
+query("metadata_a_pivot", lambda s, d: labels.metadata_counts(_split(s, d)), f"WITH {CL}, {_SPLIT} SELECT label, species, count_if(split = 'train')::BIGINT AS count_train, count_if(split = 'test')::BIGINT AS count_test, count_if(split = 'val')::BIGINT AS count_val FROM sp GROUP BY ALL")
+query("chunk_ids", lambda s, d: voxels.chunk_ids(_split(s, d), ["path", "cloud_id"]).select("cloud_id", "split", "chunk_id"), f"WITH {CL}, {_SPLIT} SELECT cloud_id, split, ((row_number() OVER (PARTITION BY split ORDER BY path, cloud_id) - 1) // 30)::BIGINT AS chunk_id FROM sp")
+
+
+def _uneven(s: SparkSession, d: str) -> DataFrame:
+    return A.clouds(s, d).select("cloud_id", F.when(F.col("cloud_id") % 10 < 8, "train").when(F.col("cloud_id") % 10 == 8, "test").otherwise("val").alias("split"))
+
+
+query(
+    "rebalance_split",
+    lambda s, d: labels.rebalanced(_uneven(s, d)),
+    f"""WITH un AS (SELECT p_partkey AS cloud_id, CASE WHEN p_partkey % 10 < 8 THEN 'train' WHEN p_partkey % 10 = 8 THEN 'test' ELSE 'val' END AS split FROM part),
+w(split, want, place) AS (VALUES ('train', 0.7::DOUBLE, 0), ('test', 0.2::DOUBLE, 1), ('val', 0.1::DOUBLE, 2)),
+c AS (SELECT split, want, place, count(cloud_id) AS n FROM w LEFT JOIN un USING (split) GROUP BY ALL), t AS (SELECT *, sum(n) OVER () AS total FROM c), o AS (SELECT *, max(abs(n / total - want)) OVER () AS off FROM t),
+e AS (SELECT *, CASE WHEN off > 0.03 THEN n - round_even(want * total, 0)::BIGINT ELSE 0 END AS excess FROM o),
+gt AS (SELECT *, sum(greatest(excess, 0)) OVER (ORDER BY place) AS gto, sum(greatest(-excess, 0)) OVER (ORDER BY place) AS tto FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {u('move', 'cloud_id')}, cloud_id) AS i FROM un),
+m AS (SELECT cloud_id, k.split, CASE WHEN i <= excess THEN gto - excess + i END AS pos FROM k JOIN gt USING (split))
+SELECT cloud_id, m.split, coalesce(gt.split, m.split) AS new_split FROM m LEFT JOIN gt ON gt.excess < 0 AND pos > tto + gt.excess AND pos <= tto""",
+)
+
+# Resampling and augmentation
+
+query(
+    "resample_exact",
+    lambda s, d: sampling.exact(A.event_points(s, d), POINTS),
+    f"""WITH {EV}, rk AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY {u('resample', 'cloud_id', 'point_id')}, point_id) AS i, count(*) OVER (PARTITION BY cloud_id) AS have FROM ev),
+fw AS (SELECT cloud_id, any_value(have) AS have FROM rk GROUP BY 1 HAVING any_value(have) < {POINTS}), dr AS (SELECT *, unnest(generate_series(1, {POINTS} - have)) AS copy FROM fw)
+SELECT cloud_id, point_id, x, y, z, 0 AS copy FROM rk WHERE i <= {POINTS} UNION ALL SELECT cloud_id, point_id, x, y, z, copy::INT FROM dr JOIN rk USING (cloud_id) WHERE i = floor({u('resample+', 'cloud_id', 'copy')} * dr.have) + 1""",
+)
+query("fps_sample", lambda s, d: sampling.farthest(A.event_points(s, d), POINTS))
+_WEIGHTS = "cw AS (SELECT label, count(*) AS n FROM sc GROUP BY 1), wt AS (SELECT label, n, pow(sum(n) OVER () / (count(*) OVER () * n), 0.45::DOUBLE) AS weight FROM cw)"
+query("class_weights", lambda s, d: rounded(sampling.class_weights(A.scores(s, d)), 9), f"WITH {SC}, {_WEIGHTS} SELECT label, n, round(weight, 9) AS weight FROM wt")
+query(
+    "weighted_sample",
+    lambda s, d: sampling.weighted(A.scores(s, d), A.scores(s, d).select(F.col("id").alias("draw"), rng.uniform("draw", "id").alias("u"))),
+    f"""WITH {SC}, {_WEIGHTS}, ws AS (SELECT label, n, round(weight * 1000000)::BIGINT AS w FROM wt), wr AS (SELECT id, label, w, sum(w) OVER (ORDER BY label, id) AS upto, sum(w) OVER () AS total FROM sc JOIN ws USING (label)),
+dd AS (SELECT id AS draw, floor({u('draw', 'id')} * (SELECT any_value(total) FROM wr)) AS pos FROM sc) SELECT draw, id, label FROM dd JOIN wr ON pos >= upto - w AND pos < upto""",
+)
+_P = "cloud_id, point_id"
+query("gaussian_noise", lambda s, d: rounded(sampling.jitter(A.event_points(s, d)), 9), f"WITH {EV} SELECT {_P}, " + ", ".join(f"round({a} + 0.01::DOUBLE * {normal('j' + a, 'cloud_id', 'point_id')}, 9) AS {a}" for a in AXES) + " FROM ev")
+_YAW = f"radians({b('yaw', 0, 360, 'cloud_id')})"
+query("rotate_z", lambda s, d: rounded(sampling.yaw(A.event_points(s, d)), 9), f"WITH {EV}, a AS (SELECT *, {_YAW} AS t FROM ev) SELECT {_P}, round(x * cos(t) - y * sin(t), 9) + 0.0 AS x, round(x * sin(t) + y * cos(t), 9) + 0.0 AS y, z FROM a")
+query("tilt_xy", lambda s, d: rounded(sampling.tilt(A.event_points(s, d)), 8), f"WITH {EV}, a AS (SELECT *, radians({b('tiltx', -10, 10, 'cloud_id')}) AS t, radians({b('tilty', -10, 10, 'cloud_id')}) AS v FROM ev), q AS (SELECT {_P}, v, x, y * cos(t) - z * sin(t) AS y, y * sin(t) + z * cos(t) AS z FROM a) SELECT {_P}, round(x * cos(v) + z * sin(v), 8) + 0.0 AS x, round(y, 8) + 0.0 AS y, round(z * cos(v) - x * sin(v), 8) + 0.0 AS z FROM q")
+query("scale_xyz", lambda s, d: rounded(sampling.scale(A.event_points(s, d)), 9), f"WITH {EV} SELECT {_P}, " + ", ".join(f"round({a} * {b('s' + a, 0.9, 1.1, 'cloud_id')}, 9) AS {a}" for a in AXES) + " FROM ev")
+query("aniso_scale", lambda s, d: rounded(sampling.scale_about_mean(A.event_points(s, d)), 6), f"WITH {EV}, {_BOX} SELECT {_P}, " + ", ".join(f"round(mean_{a} + ({a} - mean_{a}) * {b('m' + a, *sampling.RANGES[a], 'cloud_id')}, 6) AS {a}" for a in AXES) + " FROM ev JOIN bx USING (cloud_id)")
+_R = "sqrt((ux - 0.5) * (ux - 0.5) + (uy - 0.5) * (uy - 0.5))"
+
+
+def _c(v: str, low: float = 0, high: float = 1) -> str:
+    return f"greatest({low}::DOUBLE, least({high}::DOUBLE, {v}))"
+
+
+def _keep(name: str, chance: Callable, seed: str, sql: str, survivors: int = 8) -> None:
+    query(
+        name,
+        lambda s, d: sampling.keep(A.event_points(s, d), chance(), seed, survivors=survivors),
+        f"""WITH {EV}, {_BOX}, un AS (SELECT {_P}, x, y, z, {_UNIT.format('u', 'u', 'u')} FROM ev JOIN bx USING (cloud_id)), ch AS (SELECT {_P}, x, y, z, {u(seed, 'cloud_id', 'point_id')} < ({sql}) AS stays FROM un),
+lf AS (SELECT *, count_if(stays) OVER (PARTITION BY cloud_id) AS n FROM ch) SELECT {_P}, x, y, z FROM lf WHERE stays OR n < {survivors}""",
+    )
+
+
+_BUMP = f"((uz - {b('tc', 0.15, 0.85, 'cloud_id')}) / {b('tw', 0.10, 0.30, 'cloud_id')})"
+_keep("aug_thinning", sampling.thinning, "k1", _c(f"{b('tb', 0.40, 0.88, 'cloud_id')} - 0.3::DOUBLE * {_c(f'({_R} - 0.25) / 0.45::DOUBLE')} - 0.2::DOUBLE * exp(-0.5::DOUBLE * {_BUMP} * {_BUMP})", 0.12, 1))
+_S = f"(0.65::DOUBLE * {_c(f'({_R} - 0.15::DOUBLE) / 0.45::DOUBLE')} + 0.35::DOUBLE * {_c('(uz - 0.25) / 0.7::DOUBLE')})"
+_keep("aug_branch_loss", sampling.branch_loss, "k2", f"0.9::DOUBLE * (1 - {_S}) + 0.45::DOUBLE * {_S}")
+
+
+def _cuboids() -> str:
+    out = []
+    for k in range(8):
+        near = " AND ".join(f"abs(u{a} - {u(f'cc{k}{a}', 'cloud_id')}) <= {b(f'cs{k}{a}', low, high, 'cloud_id')} / 2" for a, (low, high) in {"x": (0.07, 0.20), "y": (0.07, 0.20), "z": (0.07, 0.25)}.items())
+        out.append(f"CASE WHEN {k} < 2 + floor({u('cn', 'cloud_id')} * 7) AND {near} THEN 1 - {b(f'cd{k}', 0.45, 0.80, 'cloud_id')} ELSE 1 END")
+    return " * ".join(f"({x})" for x in out)
+
+
+_keep("aug_cuboid", sampling.cuboids, "k3", _cuboids())
+_keep("aug_band", sampling.bands, "k4", " * ".join(f"(CASE WHEN abs(uz - {b(f'bc{k}', 0.05, 0.95, 'cloud_id')}) < {b(f'bh{k}', 0.06, 0.20, 'cloud_id')} / 2" + (f" AND {u('bn', 'cloud_id')} < 0.5" if k else "") + f" THEN 1 - {b(f'bd{k}', 0.35, 0.75, 'cloud_id')} ELSE 1 END)" for k in range(2)))
+_keep("aug_vcrop", sampling.vertical_crop, "k5", f"CASE WHEN uz >= (CASE WHEN {u('vb', 'cloud_id')} < 0.6::DOUBLE THEN {b('vl', 0, 0.12, 'cloud_id')} ELSE 0 END) AND uz <= 1 - (CASE WHEN {u('vt', 'cloud_id')} < 0.5 THEN {b('vh', 0, 0.12, 'cloud_id')} ELSE 0 END) THEN 1.0 ELSE 0.0 END")
+_keep("aug_bcrop", sampling.bottom_crop, "k6", f"CASE WHEN uz >= {b('bb', 0.12, 0.45, 'cloud_id')} THEN 1.0 ELSE 0.0 END")
+query("aug_crown_leak", lambda s, d: rounded(sampling.crown_leak(A.event_points(s, d))))
+query("aug_stem", lambda s, d: rounded(sampling.stem(A.event_points(s, d))))
+query("aug_outliers", lambda s, d: rounded(sampling.outliers(A.event_points(s, d))))
+query("aug_tree_copy", lambda s, d: rounded(sampling.tree_copy(A.event_points(s, d))))
+query("domain_augment", lambda s, d: rounded(sampling.augment(A.event_points(s, d), POINTS)))
+
+# Species refinement
+
+MAP_TILE = 25.0
+_PAIRS = ", ".join(f"('{seg}', '{code}')" for seg, code in T.CODES.items())
+_INV = ", ".join(f"('{c}', {i}, {T.genus_of(latin)})" for i, (c, latin) in enumerate(T.INVENTORY))
+_DEF = ", ".join(f"({i}, {T.default_species(g)})" for i, g in enumerate(T.GENERA))
+
+
+def _stands(s: SparkSession, d: str) -> DataFrame:
+    return A.stands(s, d).select("stand_id", "x", (F.pmod("y", F.lit(100.0))).alias("y"), spatial.lookup(T.CODES, F.col("code")).alias("species_code"))
+
+
+def _map(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    grid = spatial.tile_grid(_stands(s, d), MAP_TILE)
+    return grid, spatial.tile_species(_stands(s, d), grid, MAP_TILE)
+
+
+def _placed(s: SparkSession, d: str) -> DataFrame:
+    middle = A.event_points(s, d).groupBy("cloud_id").agg((F.round(F.avg("x"), 6) % 100).alias("x"), (F.round(F.avg("y"), 6) % 100).alias("y"))
+    return spatial.tile_of(middle.withColumn("genus", (F.col("cloud_id") % 17).cast("int")), _map(s, d)[0], MAP_TILE)
+
+
+_TILE = ", ".join(f"least(trunc(({a} - o{a}) / {MAP_TILE}::DOUBLE)::INT, n{a} - 1) AS i{a}" for a in "xy")
+_MAP = f"""WITH {EV}, pr(seg, code) AS (VALUES {_PAIRS}), iv(code, species, genus) AS (VALUES {_INV}), df(genus, first) AS (VALUES {_DEF}),
+sd AS (SELECT stand_id, x, ((y % 100) + 100) % 100 AS y, pr.code AS code FROM ({A.STANDS}) q JOIN pr ON pr.seg = q.code),
+g0 AS (SELECT min(x) AS lox, max(x) AS hix, min(y) AS loy, max(y) AS hiy FROM sd), g1 AS (SELECT *, greatest(1, ceil((hix - lox) / {MAP_TILE}::DOUBLE)::INT) AS nx, greatest(1, ceil((hiy - loy) / {MAP_TILE}::DOUBLE)::INT) AS ny FROM g0),
+gr AS (SELECT nx, ny, (lox + hix) / 2 - nx * {MAP_TILE}::DOUBLE / 2 AS ox, (loy + hiy) / 2 - ny * {MAP_TILE}::DOUBLE / 2 AS oy FROM g1),
+tm AS (SELECT ix, iy, species, genus, count(*) AS n, min(stand_id) AS first_seen FROM (SELECT stand_id, code, {_TILE} FROM sd, gr) q JOIN iv USING (code) WHERE ix >= 0 AND iy >= 0 GROUP BY ALL),
+ce AS (SELECT cloud_id, (cloud_id % 17)::INT AS genus, round(avg(x), 6) % 100 AS x, round(avg(y), 6) % 100 AS y FROM ev GROUP BY cloud_id),
+pl AS (SELECT * FROM (SELECT cloud_id, genus, x, y, {_TILE} FROM ce, gr) q WHERE ix >= 0 AND iy >= 0),
+tp AS (SELECT ix, iy, arg_max(species, (n, -first_seen)) AS top FROM tm GROUP BY ALL), ow AS (SELECT ix, iy, genus, arg_max(species, (n, -first_seen)) AS own FROM tm GROUP BY ALL),
+jn AS (SELECT pl.*, top, own, df.first FROM pl LEFT JOIN tp USING (ix, iy) LEFT JOIN ow USING (ix, iy, genus) JOIN df USING (genus))"""
+
+
+def _resolved(otherwise: str, top: str) -> str:
+    return f"{_MAP} SELECT cloud_id, genus, ix, iy, CASE WHEN genus = 15 THEN 24 WHEN genus = 16 THEN coalesce({top}, 23) ELSE coalesce(own, {otherwise}) END AS species FROM jn"
+
+
+def _refine(model_based: bool, birch: bool) -> Query:
+    return lambda s, d: spatial.resolve(_placed(s, d), _map(s, d)[1], model_based, birch).select("cloud_id", "genus", "ix", "iy", "species")
+
+
+query("tile_map", lambda s, d: _map(s, d)[1], f"{_MAP} SELECT ix, iy, species, n, first_seen FROM tm")
+query("tile_lookup", lambda s, d: _placed(s, d).select("cloud_id", "ix", "iy"), f"{_MAP} SELECT cloud_id, ix, iy FROM pl")
+query("resolve_species", _refine(False, True), _resolved("nullif(top, 0), first", "nullif(top, 0)"))
+query("resolve_species_intended", _refine(False, False), _resolved("top, first", "top"))
+query("resolve_model_based", _refine(True, True), _resolved("first", "nullif(top, 0)"))
+query("refine_predictions", lambda s, d: _refine(False, True)(s, d).select("cloud_id", "species", spatial.genus_of_species(F.col("species")).alias("refined_genus")), f"SELECT cloud_id, q.species, iv.genus AS refined_genus FROM ({_resolved('nullif(top, 0), first', 'nullif(top, 0)')}) q JOIN (SELECT * FROM (VALUES {_INV}) t(code, species, genus)) iv USING (species)")
+query(
+    "features_json",
+    lambda s, d: spatial.features(
+        A.table(s, d, "events").select("event_id", F.concat(F.lit('{"features":[{"properties":{"species_cd":"'), F.get_json_object("props", "$.k"), F.lit('","region_name":"'), "event_type", F.lit('"}},{"properties":{"species_cd":"SO"}}],"links":[{"rel":"self","href":"a"},{"rel":"next","href":"p'), F.col("event_id") + 1, F.lit('"}]}')).alias("page")), "page"
+    ),
+    """WITH pg AS (SELECT event_id, '{"features":[{"properties":{"species_cd":"' || json_extract_string(props, '$.k') || '","region_name":"' || event_type || '"}},{"properties":{"species_cd":"SO"}}],"links":[{"rel":"self","href":"a"},{"rel":"next","href":"p' || (event_id + 1) || '"}]}' AS page FROM events),
+ft AS (SELECT event_id, json_extract_string(page, '$.links[1].href') AS next, unnest(json_extract(page, '$.features[*]')) AS f FROM pg) SELECT event_id, next, json_extract_string(f, '$.properties.species_cd') AS species_cd, json_extract_string(f, '$.properties.region_name') AS region_name FROM ft""",
+)
+
+# Evaluation
+
+_PRED = "pd AS (SELECT id, label, (list_position(logits, list_max(logits)) - 1)::INT AS pred, logits FROM sc)"
+_SOFT = "sx AS (SELECT id, label, list_transform(logits, lambda v: exp(v - list_max(logits))) AS e FROM sc), sm AS (SELECT id, label, list_transform(e, lambda v: v / list_sum(e)) AS p FROM sx)"
+query("predict_argmax", lambda s, d: evaluate.predicted(A.scores(s, d)).select("id", "label", "pred"), f"WITH {SC}, {_PRED} SELECT id, label, pred FROM pd")
+query("softmax_probs", lambda s, d: rounded(A.scores(s, d).select("id", F.posexplode(evaluate.softmax()).alias("class", "p")), 9), f"WITH {SC}, {_SOFT}, x AS (SELECT id, unnest(range(10)) AS class, unnest(p) AS p FROM sm) SELECT id, class::INT AS class, round(p, 9) AS p FROM x")
+query("confusion_matrix", lambda s, d: evaluate.confusion(evaluate.predicted(A.scores(s, d))), f"WITH {SC}, {_PRED} SELECT label, pred, count(*) AS n FROM pd GROUP BY ALL")
+query("accuracy", lambda s, d: rounded(evaluate.accuracy(evaluate.predicted(A.scores(s, d)), 7), 9), f"WITH {SC}, {_PRED} SELECT round(coalesce(avg((pred = label)::INT), 0), 9) AS accuracy, count(*) AS n FROM pd WHERE label < 7")
+query("masked_loss_mean", lambda s, d: rounded(evaluate.masked_mean(A.scores(s, d).select("label", (F.element_at("logits", 1) + 1).alias("loss"), (F.col("id") % 5 + 1).alias("n")), "loss", "n", "label", 7)), f"WITH {SC} SELECT round(coalesce(sum((logits[1] + 1) * (id % 5 + 1)) / sum(id % 5 + 1), 0), 6) AS mean FROM sc WHERE label < 7")
+_CURVE = f"WITH {SC}, x AS (SELECT label, unnest(range(10))::INT AS class, round(unnest(logits), 3) AS threshold FROM sc), y AS (SELECT class, threshold, count_if(label = class) AS p, count_if(label <> class) AS q FROM x GROUP BY ALL), z AS (SELECT class, threshold, sum(p) OVER d AS tp, sum(q) OVER d AS fp, sum(p) OVER w AS positives, sum(q) OVER w AS negatives FROM y WINDOW d AS (PARTITION BY class ORDER BY threshold DESC), w AS (PARTITION BY class))"
+query("roc_points", lambda s, d: rounded(evaluate.roc(A.scores(s, d), CLASSES), 9), f"{_CURVE} SELECT class, round(threshold, 9) + 0.0 AS threshold, round(tp / nullif(positives, 0), 9) AS tpr, round(fp / nullif(negatives, 0), 9) AS fpr FROM z")
+query("prc_points", lambda s, d: rounded(evaluate.prc(A.scores(s, d), CLASSES), 9), f"{_CURVE} SELECT class, round(threshold, 9) + 0.0 AS threshold, round(tp / (tp + fp), 9) AS precision, round(tp / nullif(positives, 0), 9) AS recall FROM z")
+query("threshold_hist", lambda s, d: evaluate.histogram(A.scores(s, d)), f"WITH {SC}, {_SOFT} SELECT least(19, floor(round(list_max(p), 9) * 20))::INT AS bin, count(*) AS n FROM sm GROUP BY ALL")
+query(
+    "class_report",
+    lambda s, d: rounded(evaluate.report(evaluate.predicted(A.scores(s, d))), 9),
+    f"""WITH {SC}, {_PRED}, l AS (SELECT label AS class, count(*) AS support, count_if(label = pred) AS hit FROM pd GROUP BY 1), s AS (SELECT pred AS class, count(*) AS said FROM pd GROUP BY 1), t AS (SELECT class, coalesce(support, 0)::BIGINT AS support, coalesce(hit / said, 0) AS p, coalesce(hit / support, 0) AS r FROM l FULL JOIN s USING (class))
+SELECT class, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1, support FROM t""",
+)
+
+
+def _history(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = A.table(s, d, "events")
+    return e.select(F.col("user_id").alias("trial"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("step"), (F.col("value") / 500).alias("acc"), (F.get_json_object("props", "$.k").cast("double") / 10).alias("loss"))
+
+
+_HIST = "hs AS (SELECT user_id AS trial, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS step, value / 500 AS acc, json_extract_string(props, '$.k')::DOUBLE / 10 AS loss FROM events)"
+query("running_best", lambda s, d: rounded(evaluate.running_best(_history(s, d), "trial", "step", "acc"), 9), f"WITH {_HIST}, rb AS (SELECT *, coalesce(max(acc) OVER (PARTITION BY trial ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best FROM hs) SELECT trial, step, {r('acc', 'loss', 'best', digits=9)}, acc > best AS is_best FROM rb")
+query("trial_objective", lambda s, d: rounded(evaluate.objective(_history(s, d), "trial", "acc", "loss"), 9), f"WITH {_HIST} SELECT trial, round(0.6::DOUBLE * max(acc) + 0.4::DOUBLE / (1 + min(loss)), 9) AS objective FROM hs GROUP BY 1")
+query("prune_median", lambda s, d: evaluate.pruned(_history(s, d), "trial", "step", "acc", 30, 25), f"WITH {_HIST}, md AS (SELECT *, quantile_cont(acc, 0.5) OVER e AS m, count(*) OVER e AS n FROM hs WINDOW e AS (PARTITION BY step ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT trial, step FROM md WHERE n >= 30 AND step >= 25 AND acc < m")
