@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common as C
+
 LEVELS = ("domain", "language", "origin")
 #: Weights of the query by level; what isn't listed has weight 1.
 WEIGHTS: dict[str, dict[str, float]] = {"domain": {"0": 4.0, "1": 3.0, "2": 2.0, "3": 1.0}, "language": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, "origin": {}}
@@ -81,7 +83,7 @@ def select(docs: DataFrame, weights: dict[str, dict[str, float]] | None = None,
     weights = WEIGHTS if weights is None else weights
     marked = leaves(docs)
     sizes = marked.groupBy(*(F.col(f"leaf.{k}").alias(k) for k in LEVELS)).agg(F.sum("leaf.n_tokens").alias("have"))
-    plan = budgets(sizes, weights, share, epochs)
+    plan = C.materialise(budgets(sizes, weights, share, epochs), "budgets")  # a row a leaf: its size is known, so that texts needn't move to join it
     plan = plan.where("budget > 0").select(F.struct(*LEVELS).alias("_leaf"), F.expr("cast(budget div have as int)").alias("_whole"), F.expr("budget % have").alias("_rest"))
     one = F.struct(*(F.col(f"leaf.{k}").alias(k) for k in LEVELS))
     both = marked.withColumn("_leaf", one).join(plan, "_leaf").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_whole"))))
