@@ -15,7 +15,8 @@ def test_views_of_three_points(spark):
     assert px[("top", 5, 0)] == pytest.approx(1, abs=1e-6) and px[("top", 5, 10)] == pytest.approx(1 / 255)
     assert {k for k in px if k[0] == "front"} == {("front", 8, 0), ("front", 4, 0), ("front", 8, 10)}
     assert {k for k in px if k[0] == "back"} == {("back", 8, 11), ("back", 4, 11), ("back", 8, 1)}
-    assert px[("right", 8, 6)] == pytest.approx(1, abs=1e-6) and px[("right", 4, 6)] == pytest.approx(1 / 255)
+    assert px[("left", 8, 5)] == pytest.approx(1, abs=1e-6) and px[("left", 4, 5)] == pytest.approx(1 / 255)
+    assert px[("right", 8, 6)] == pytest.approx(1 / 255) and px[("right", 4, 6)] == pytest.approx(1 / 255)
 
 
 def test_nearest_in_voxel(spark):
