@@ -1,8 +1,14 @@
 """Predictions and their evaluation; experiment histories."""
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .views import VIEWS
+
 
 def argmax(values: str = "logits") -> Column:
     """The place of the first largest value, from 0."""
@@ -18,6 +24,27 @@ def predicted(scores: DataFrame) -> DataFrame:
     return scores.withColumn("pred", argmax())
 
 
+def classified(clouds: DataFrame, pixels: DataFrame, size: int, scorer: Callable[[np.ndarray], np.ndarray], empty: int = 15) -> DataFrame:
+    """(cloud_id, logits, pred): each cloud's five views go to `scorer`, which makes class scores of an array (clouds, 5, size, size).
+
+    A cloud without pixels has null logits and the class for bad segmentation. Sparse pixels are gathered by cloud: 5 x size x size at most.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((1, len(VIEWS), size, size))
+        image[0, g["view"].map(VIEWS.index), g["row"], g["col"]] = g["value"]
+        return pd.DataFrame({"cloud_id": g["cloud_id"].iloc[:1], "logits": [scorer(image)[0].tolist()]})
+
+    scored = pixels.groupBy("cloud_id").applyInPandas(run, "cloud_id long, logits array<double>")
+    every = clouds.select("cloud_id").distinct().join(scored, "cloud_id", "left")
+    return every.withColumn("pred", F.coalesce(argmax(), F.lit(empty)))
+
+
+def view_means(images: np.ndarray) -> np.ndarray:
+    """A scorer without weights: the mean of each view, so that the fullest view is the class."""
+    return images.mean(axis=(2, 3)).round(6)
+
+
 def confusion(pred: DataFrame) -> DataFrame:
     return pred.groupBy("label", "pred").agg(F.count("*").alias("n"))
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from ..functions import tables as T
 from ..operators import clean, evaluate, graph, labels, sampling, spatial, views, voxels
+from ..session import new_path
 from ..sources import adapters as A
+from ..sources import clouds as cloud_files
+from ..sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -390,3 +393,37 @@ _HIST = "hs AS (SELECT user_id AS trial, (row_number() OVER (PARTITION BY user_i
 query("running_best", lambda s, d: rounded(evaluate.running_best(_history(s, d), "trial", "step", "acc"), 9), f"WITH {_HIST}, rb AS (SELECT *, coalesce(max(acc) OVER (PARTITION BY trial ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best FROM hs) SELECT trial, step, {r('acc', 'loss', 'best', digits=9)}, acc > best AS is_best FROM rb")
 query("trial_objective", lambda s, d: rounded(evaluate.objective(_history(s, d), "trial", "acc", "loss"), 9), f"WITH {_HIST} SELECT trial, round(0.6::DOUBLE * max(acc) + 0.4::DOUBLE / (1 + min(loss)), 9) AS objective FROM hs GROUP BY 1")
 query("prune_median", lambda s, d: evaluate.pruned(_history(s, d), "trial", "step", "acc", 30, 25), f"WITH {_HIST}, md AS (SELECT *, quantile_cont(acc, 0.5) OVER e AS m, count(*) OVER e AS n FROM hs WINDOW e AS (PARTITION BY step ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT trial, step FROM md WHERE n >= 30 AND step >= 25 AND acc < m")
+
+# Files
+
+#: Points of a file; small, so that clouds have several.
+FILE_POINTS = 20
+
+
+def _cloud_files(s: SparkSession, d: str) -> DataFrame:
+    folder = new_path(s, "clouds")
+    cloud_files.write(A.event_points(s, d).withColumn("label", F.col("cloud_id") % 17), folder, FILE_POINTS)
+    return labels.parsed(cloud_files.read(s, folder)).select(F.regexp_extract("stem", "^([0-9]+)", 1).cast("long").alias("cloud_id"), "label", *AXES)
+
+
+def _metadata_csv(s: SparkSession, d: str) -> DataFrame:
+    folder, table = new_path(s, "metadata"), labels.metadata_counts(_split(s, d))
+    sinks.write_csv(table, folder)
+    return sinks.read_csv(s, folder, table.schema)
+
+
+def _layout(s: SparkSession, d: str) -> DataFrame:
+    folder = new_path(s, "layout")
+    sinks.write_layout(_split(s, d), folder, "split")
+    return s.read.parquet(folder).where("split = 'test'")
+
+
+query("npy_roundtrip", _cloud_files, f"WITH {EV} SELECT cloud_id, (cloud_id % 17)::INT AS label, x, y, z FROM ev")
+query("metadata_csv", _metadata_csv, SQL["metadata_a_pivot"])
+query("split_layout", _layout, f"{SQL['stratified_split']} WHERE split = 'test'")
+_LEVELS = ", ".join(f"round(coalesce(sum(value) FILTER (view = '{v}'), 0) / {SIZE * SIZE}, 6)" for v in views.VIEWS)
+query(
+    "classify_clouds",
+    lambda s, d: evaluate.classified(A.line_points(s, d), views.project(A.line_points(s, d), SIZE), SIZE, evaluate.view_means).select("cloud_id", F.array_join(F.transform("logits", lambda v: F.format_number(v, 5)), " ").alias("scores"), "pred"),
+    f"{_views_sql('li')}, lg AS (SELECT cloud_id, [{_LEVELS}] AS logits FROM vw GROUP BY 1) SELECT cloud_id, array_to_string(list_transform(logits, lambda v: format('{{:.5f}}', v)), ' ') AS scores, (list_position(logits, list_max(logits)) - 1)::INT AS pred FROM lg",
+)

@@ -1,6 +1,7 @@
 """The session that queries expect: adaptive execution, ANSI arithmetic, UTC."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,12 +13,26 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; local runs without one use a temporary folder."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(base)
+    return base
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df into the checkpoint folder that the cluster shares, and goes on from there; local runs without one use a temporary folder."""
+    """Writes df into the shared folder, and goes on from there."""
     sc = df.sparkSession.sparkContext
+    base = shared_dir(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        base = sc.getConf().get("spark.checkpoint.dir")
-        if base is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(base)
     return df.checkpoint()
