@@ -29,6 +29,8 @@ TASK_SEQUENCES = 25_000
 CACHE_WORDS = 250_000
 #: Letters that lower-case to one letter each, and stay as they are under normalisation.
 LATIN = re.compile(r"[A-Za-z\u00c0-\u00ff]+").fullmatch
+#: Stops that end a word after one of these letters but the signs among them, or a digit.
+STOPS = r"([A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([.,;:!?]+)( |$)"
 
 
 class WordIds:
@@ -36,7 +38,8 @@ class WordIds:
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those of its blank-separated
     words, which are kept by word in two generations, so that common words stay. Of a new word of Latin letters alone, many are
-    encoded as one text, whose ids part after those that end a word. Stops after letters or digits are words of their own, as the tokenizer parts them.
+    encoded as one text, whose ids part after those that end a word. Stops after Latin letters or digits are words of their own, as the
+    tokenizer parts them; not after others, some of which (dotted capital I, U+0958) normalise to a letter and a mark that belongs to the stop.
     """
 
     def __init__(self, path: str):
@@ -54,7 +57,7 @@ class WordIds:
         texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told apart by case
             texts = pc.ascii_lower(texts)
-        words = pc.split_pattern(pc.replace_substring_regex(texts, r"([\p{L}\p{N}])([.,;:!?]+)( |$)", r"\1 \2\3"), " ")
+        words = pc.split_pattern(pc.replace_substring_regex(texts, STOPS, r"\1 \2\3"), " ")
         coded = words.flatten().dictionary_encode()
         unique = coded.dictionary.to_pylist()
         if len(self.young) > CACHE_WORDS:

@@ -224,3 +224,18 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA).toPandas()
     assert len(out) and out.groupby("sequence_id")["length"].sum().max() <= 4096
     assert not out.duplicated(["doc_id", "piece"]).any()
+
+
+def test_token_ids_of_odd_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, words, pick = Tokenizer.from_file(path), packing.WordIds(path), random.Random(9)
+    some = [*"abXÉßİı×÷.,:!'\"<|>01½²\t\r\n\x00\x85 ̧́क़​ 　中かé🙂🏽", " ", " the ", "'s", "<|endoftext|>", "<|StartOfText|>", "İ:", "क़;", "</w>"]
+    for _ in range(60):
+        texts = ["".join(pick.choice(some) for _ in range(pick.choice([0, 2, 30, 90]))) for _ in range(20)] + [None]
+        ids, ends = words(pa.array(texts, pa.string()))
+        got = [part.tolist() for part in np.split(ids, ends)[:-1]]
+        assert got == [[*plain.encode(t or "", add_special_tokens=False).ids, packing.END] for t in texts]
