@@ -1,5 +1,7 @@
 """Resampling of clouds, weighted draws, farthest points, and random augmentations. All draws are hashes of the cloud and the point."""
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import between, normal, uniform
 from ..session import cut
-from .clean import per_cloud
+from .clean import per_cloud, safe
 
 SURVIVORS = 64
 
@@ -88,9 +90,9 @@ def scale(points: DataFrame, low: float = 0.9, high: float = 1.1) -> DataFrame:
 RANGES = {"x": (0.85, 1.25), "y": (0.85, 1.25), "z": (0.82, 1.32)}
 
 
-def scale_about_mean(points: DataFrame) -> DataFrame:
+def scale_about_mean(points: DataFrame, ranges: dict[str, tuple[float, float]] = RANGES) -> DataFrame:
     p = points.join(per_cloud(points).select("cloud_id", "mean_x", "mean_y", "mean_z"), "cloud_id")
-    return p.select("cloud_id", "point_id", *((F.col(f"mean_{a}") + (F.col(a) - F.col(f"mean_{a}")) * between("m" + a, *r, "cloud_id")).alias(a) for a, r in RANGES.items()))
+    return p.select("cloud_id", "point_id", *((F.col(f"mean_{a}") + (F.col(a) - F.col(f"mean_{a}")) * between("m" + a, *r, "cloud_id")).alias(a) for a, r in ranges.items()))
 
 
 def clamp(v: Column, low: float = 0, high: float = 1) -> Column:
@@ -101,9 +103,9 @@ def radius() -> Column:
     return F.sqrt((F.col("ux") - 0.5) * (F.col("ux") - 0.5) + (F.col("uy") - 0.5) * (F.col("uy") - 0.5))
 
 
-def thinning() -> Column:
+def thinning(least: float = 0.40) -> Column:
     """The chance to stay: less far from the axis, and in a height band."""
-    base, zc, zw = between("tb", 0.40, 0.88, "cloud_id"), between("tc", 0.15, 0.85, "cloud_id"), between("tw", 0.10, 0.30, "cloud_id")
+    base, zc, zw = between("tb", least, 0.88, "cloud_id"), between("tc", 0.15, 0.85, "cloud_id"), between("tw", 0.10, 0.30, "cloud_id")
     bump = (F.col("uz") - zc) / zw
     return clamp(base - 0.30 * clamp((radius() - 0.25) / 0.45) - 0.20 * F.exp(-0.5 * bump * bump), 0.12, 1)
 
@@ -113,9 +115,9 @@ def branch_loss() -> Column:
     return 0.90 * (1 - s) + 0.45 * s
 
 
-def cuboids(most: int = 8) -> Column:
-    """2 to `most` boxes, each of which takes points within it by its own chance."""
-    n = 2 + F.floor(uniform("cn", "cloud_id") * (most - 1))
+def cuboids(most: int = 8, least: int = 2) -> Column:
+    """`least` to `most` boxes, each of which takes points within it by its own chance."""
+    n = least + F.floor(uniform("cn", "cloud_id") * (most - least + 1))
     stay = F.lit(1.0)
     for k in range(most):
         within = F.lit(k) < n
@@ -198,41 +200,60 @@ def outliers(points: DataFrame) -> DataFrame:
 
 
 def crown_leak(points: DataFrame) -> DataFrame:
-    """Copies of crown points beside the cloud, of clouds with 32 such points; (cloud_id, point_id, x, y, z) of the copies."""
+    """Draws from the crown's points with replacement, beside the cloud, of clouds with 32 such points; (cloud_id, point_id, k, x, y, z) of the draws k that stay."""
     box = per_cloud(points)
-    crown = points.join(box, "cloud_id").where((F.col("z") - F.col("min_z")) / F.greatest(span("z"), F.lit(1e-6)) > between("cl", 0.45, 0.70, "cloud_id"))
+    crown = points.join(box, "cloud_id").where((F.col("z") - F.col("min_z")) / F.greatest(span("z"), F.lit(1e-6)) > between("cl", 0.45, 0.70, "cloud_id")).select(points.columns)
     enough = crown.groupBy("cloud_id").agg(F.count("*").alias("c")).where("c >= 32")
-    stays = uniform("clk", "cloud_id", "point_id") < between("clp", 0.20, 0.55, "cloud_id")
+    stays = uniform("clk", "cloud_id", "k") < between("clp", 0.20, 0.55, "cloud_id")
+    draws = added(points, "cl", 0.03, 0.24, 32).where(stays).join(enough, "cloud_id").withColumn("rank", (F.floor(uniform("cld", "cloud_id", "k") * F.col("c")) + 1).cast("int"))
+    ranked = crown.withColumn("rank", F.row_number().over(Window.partitionBy("cloud_id").orderBy("point_id")))
     x = F.col("x") + sign("cls") * between("clx", 0.2, 0.6, "cloud_id") * span("x")
     y, z = F.col("y") + between("cly", -0.3, 0.3, "cloud_id") * span("y"), F.col("z") + between("clz", -0.06, 0.06, "cloud_id") * span("z")
-    return crown.join(enough, "cloud_id").where(stays).select("cloud_id", "point_id", x.alias("x"), y.alias("y"), z.alias("z"))
+    return draws.join(ranked, ["cloud_id", "rank"]).select("cloud_id", "point_id", "k", x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+SECOND_COPY = 0.05 / 0.33
+COPY_RANGES = {"x": (0.90, 1.15), "y": (0.90, 1.15), "z": (0.88, 1.18)}
 
 
 def tree_copy(points: DataFrame) -> DataFrame:
-    """A neighbour: a scaled, turned, shifted copy of the cloud about its centroid. (cloud_id, point_id, x, y, z)"""
-    p = points.join(per_cloud(points).select("cloud_id", "mean_x", "mean_y", "mean_z"), "cloud_id")
-    a = F.when(uniform("tcy?", "cloud_id") < 0.55, F.radians(between("tcy", 0, 360, "cloud_id"))).otherwise(0.0)
-    factor = {c: F.when(uniform("tcs?", "cloud_id") < 0.65, between("tcs" + c, *r, "cloud_id")).otherwise(1.0) for c, r in {"x": (0.90, 1.15), "y": (0.90, 1.15), "z": (0.88, 1.18)}.items()}
-    dx, dy, dz = (((F.col(c) - F.col(f"mean_{c}")) + 0.015 * normal("tcj" + c, "cloud_id", "point_id")) * factor[c] for c in "xyz")
-    r, at = between("tcr", 0.8, 2.4, "cloud_id"), F.radians(between("tca", 0, 360, "cloud_id"))
-    x = F.col("mean_x") + dx * F.cos(a) - dy * F.sin(a) + r * F.cos(at)
-    y = F.col("mean_y") + dx * F.sin(a) + dy * F.cos(a) + r * F.sin(at)
-    return p.select("cloud_id", "point_id", x.alias("x"), y.alias("y"), (F.col("mean_z") + dz + between("tcz", -0.8, 0.8, "cloud_id")).alias("z"))
+    """Neighbours: one copy of the cloud, or two, each changed by its own coins about the cloud's centroid, then shifted. (cloud_id, point_id, copy, x, y, z)
+
+    A copy is a cloud of its own, by the cloud's and the copy's number, so that its draws are too.
+    """
+    copies = F.explode(F.when(uniform("tc2", "cloud_id") < SECOND_COPY, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    of = per_cloud(points).select("cloud_id", *(F.col(f"mean_{a}").alias(f"c{a}") for a in "xyz")).withColumn("copy", copies).withColumn("key", F.concat_ws("+", "cloud_id", "copy"))
+    of = cut(of)
+    p = points.join(of, "cloud_id").select(F.col("key").alias("cloud_id"), "point_id", *((F.col(a) - F.col(f"c{a}")).alias(a) for a in "xyz"))
+    p = cut(jitter(p, 0.015))
+    for step, seed, probability in ((lambda q: scale_about_mean(q, COPY_RANGES), "tcs", 0.65), (yaw, "tcy", 0.55), (lambda q: tilt(q, 6), "tct", 0.35)):
+        p = cut(some(p, step, seed, probability))
+    for chance, seed, probability in ((bottom_crop(), "tcb", 0.78), (thinning(0.42), "tch", 0.45), (cuboids(5, 1), "tcc", 0.30)):
+        p = cut(keep(p, chance, seed, probability))
+    r, at = between("tcr", 0.8, 2.4, "key"), F.radians(between("tca", 0, 360, "key"))
+    shift = {"x": r * F.cos(at), "y": r * F.sin(at), "z": between("tcz", -0.8, 0.8, "key")}
+    back = p.withColumnRenamed("cloud_id", "key").join(of, "key")
+    return back.select("cloud_id", "point_id", "copy", *((F.col(a) + F.col(f"c{a}") + shift[a]).alias(a) for a in "xyz"))
 
 
 def coin(rows: DataFrame, seed: str, probability: float) -> DataFrame:
     return rows.where(uniform(seed, "cloud_id") < probability)
 
 
+def some(points: DataFrame, step: Callable[[DataFrame], DataFrame], seed: str, probability: float) -> DataFrame:
+    """A step on clouds by a coin; the others stay as they are."""
+    return step(coin(points, seed, probability)).unionByName(points.where(uniform(seed, "cloud_id") >= probability))
+
+
 def augment(points: DataFrame, n: int) -> DataFrame:
-    """All augmentations in order, each by its coin; then exactly n points of each cloud."""
-    scaled = coin(scale_about_mean(points), "g1", 0.45).unionByName(points.where(uniform("g1", "cloud_id") >= 0.45))
-    p = cut(scaled)
+    """All augmentations in order, each by its coin and from what the one before left; then exactly n points of each cloud.
+
+    Only finite points count, and clouds with fewer than 16 of them go, at first and at the end.
+    """
+    p = cut(some(cut(safe(points)), scale_about_mean, "g1", 0.45))
     for chance, seed, probability in ((thinning(), "g2", 0.78), (branch_loss(), "g3", 0.68), (cuboids(), "g4", 0.75), (bands(), "g5", 0.20), (vertical_crop(), "g6", 0.05)):
         p = cut(keep(p, chance, seed, probability))  # each step needs its cloud's box and count, so plans would double
-    more = coin(crown_leak(p), "g7", 0.60).select("cloud_id", "x", "y", "z")
-    for made, seed, probability in ((stem, "g8", 0.50), (outliers, "g9", 0.55), (tree_copy, "g10", 0.33)):
-        more = more.unionByName(coin(made(p), seed, probability).select("cloud_id", "x", "y", "z"))
-    every = cut(p.select("cloud_id", "x", "y", "z").unionByName(more))
-    named = every.withColumn("point_id", F.xxhash64("x", "y", "z"))
-    return exact(named.select("cloud_id", "point_id", "x", "y", "z"), n)
+    for made, seed, probability, names in ((crown_leak, "g7", 0.60, ["k"]), (stem, "g8", 0.50, ["k"]), (outliers, "g9", 0.55, ["k"]), (tree_copy, "g10", 0.33, ["copy", "point_id"])):
+        rows = made(coin(p, seed, probability)).withColumn("point_id", F.xxhash64(F.lit(seed), *names))
+        p = cut(p.unionByName(rows.select(p.columns)))
+    return exact(safe(p).select("cloud_id", "point_id", "x", "y", "z"), n)

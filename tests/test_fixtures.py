@@ -1,7 +1,12 @@
 """Small cases whose results are known by hand."""
 
+import math
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from grovespark.functions import rng
 from grovespark.functions import tables as T
 from grovespark.operators import clean, evaluate, graph, sampling, search, spatial, views, voxels
 
@@ -72,3 +77,48 @@ def test_tables_and_lists():
 def test_masked_accuracy(spark):
     pred = spark.createDataFrame([(1, 1), (2, 2), (15, 3)], "label int, pred int")
     assert evaluate.accuracy(pred, 15).first()["accuracy"] == 1.0 and evaluate.accuracy(pred, 0).first()["accuracy"] == 0.0
+
+
+def many(spark, clouds, n):
+    """Clouds of n points on a spiral."""
+    rows = [(c, i, math.cos(i) * 10, math.sin(i) * 10, i * 20 / n) for c in range(clouds) for i in range(n)]
+    return spark.createDataFrame(rows, "cloud_id long, point_id long, x double, y double, z double")
+
+
+def test_crown_is_drawn_with_replacement(spark):
+    got = sampling.crown_leak(many(spark, 30, 1000)).toPandas()
+    sizes = got.groupby("cloud_id").size()
+    assert len(sizes) == 30 and not got.duplicated(["cloud_id", "k"]).any()
+    assert got.duplicated(["cloud_id", "point_id"]).any() and got["k"].max() > 33 and got["k"].max() <= 240
+    assert sizes.max() <= 0.55 * 240 + 40
+    assert sampling.crown_leak(many(spark, 5, 40)).count() == 0
+
+
+def test_tree_copies_are_cropped_thinned_tilted_and_two(spark):
+    got = sampling.tree_copy(many(spark, 150, 200)).toPandas()
+    copies = got.groupby(["cloud_id", "copy"]).agg(n=("z", "size"), least=("point_id", "min"), span=("z", lambda z: z.max() - z.min()))
+    seconds = (copies.index.get_level_values("copy") == 2).sum()
+    assert set(got["copy"]) == {1, 2} and 8 <= seconds <= 45
+    assert not got.duplicated(["cloud_id", "copy", "point_id"]).any()
+    assert 0.6 < (copies["least"] >= 0.1 * 200).mean() < 0.95  # the bottom is cropped
+    whole = copies[copies["least"] < 2]["n"]
+    assert (whole < 200).any() and (whole == 200).any() and copies["n"].min() >= 64
+    turned = got.merge(many(spark, 1, 200).toPandas().drop(columns="cloud_id"), on="point_id", suffixes=("", "0"))
+    fit = turned.groupby(["cloud_id", "copy"]).apply(lambda g: np.linalg.lstsq(np.c_[g["x0"], g["y0"], g["z0"], np.ones(len(g))], g["z"], rcond=None)[0][:2], include_groups=False)
+    tilted = fit.map(lambda c: np.hypot(*c) > 0.01)
+    assert 0.2 < tilted.mean() < 0.5
+
+
+def test_augment_grows_from_the_grown_cloud_of_safe_points(spark):
+    few = many(spark, 3, 15).withColumn("cloud_id", F.col("cloud_id") + 1000)
+    odd = spark.createDataFrame([(0, 5000, float("nan"), 0.0, 0.0), (1, 5001, 0.0, float("inf"), 0.0), (2, 5002, None, 0.0, 0.0)], few.schema)
+    got = sampling.augment(many(spark, 20, 200).unionByName(few).unionByName(odd), 100_000).where("copy = 0").toPandas()
+    assert set(got["cloud_id"]) == set(range(20)) and np.isfinite(got[["x", "y", "z"]]).all().all()
+    assert not got.duplicated(["cloud_id", "point_id"]).any()
+    # a copy of the tree has the fragments made before it: copied points of them need ids of both steps
+    cloud = many(spark, 60, 200)
+    coins = cloud.select("cloud_id").distinct().where((rng.uniform("g8", "cloud_id") < 0.5) & (rng.uniform("g10", "cloud_id") < 0.33))
+    got = sampling.augment(cloud.join(coins, "cloud_id"), 100_000).where("copy = 0")
+    own = F.transform(F.sequence(F.lit(1), F.lit(33)), lambda k: F.xxhash64(F.lit("g8"), k.cast("int")))
+    copied = F.transform(own, lambda i: F.xxhash64(F.lit("g10"), F.lit(1), i))
+    assert got.where(F.array_contains(copied, F.col("point_id"))).count() > 0
