@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rng import uniform
+from .sampling import farthest
+
 
 def keys(size: float) -> list[Column]:
     return [F.floor(F.col(a) / size).alias(f"k{a}") for a in "xyz"]
@@ -24,8 +27,8 @@ def nearest(points: DataFrame, size: float) -> DataFrame:
     return best.select("cloud_id", "kx", "ky", "kz", *([F.col("p.point_id")] if order else []), "p.x", "p.y", "p.z")
 
 
-def tiles(points: DataFrame, size: float, overlap: float) -> DataFrame:
-    """(cloud_id, point_id, ix, iy) for each tile that holds a point, both ends inclusive; tiles start at the cloud's least x and y."""
+def in_tiles(points: DataFrame, size: float, overlap: float) -> DataFrame:
+    """Points with ix and iy of each tile that holds them, both ends inclusive; tiles start at the cloud's least x and y."""
     stride = size * (1 - overlap)
     box = points.groupBy("cloud_id").agg(*(f(a).alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
     p = points.join(box, "cloud_id")
@@ -41,7 +44,34 @@ def tiles(points: DataFrame, size: float, overlap: float) -> DataFrame:
         return F.col(a).between(start, start + size)
 
     p = p.withColumn("ix", candidates("x")).where(inside("x", "ix")).withColumn("iy", candidates("y")).where(inside("y", "iy"))
-    return p.select("cloud_id", "point_id", "ix", "iy")
+    return p.select(*points.columns, "ix", "iy")
+
+
+def tiles(points: DataFrame, size: float, overlap: float) -> DataFrame:
+    """(cloud_id, point_id, ix, iy) of all points of each tile."""
+    return in_tiles(points, size, overlap).select("cloud_id", "point_id", "ix", "iy")
+
+
+def tile_samples(points: DataFrame, size: float, overlap: float, n: int) -> DataFrame:
+    """(cloud_id, point_id, ix, iy, x, y, z, copy, noise): n points of each tile.
+
+    A tile with fewer than n // 4 points is noise and keeps all; one with fewer than n gets n draws with replacement (copy is the draw);
+    of one with more, the farthest points are taken.
+    """
+    tile = ["cloud_id", "ix", "iy"]
+    p = in_tiles(points, size, overlap)
+    sizes = p.groupBy(*tile).agg(F.count("*").alias("have"))
+    out = [*p.columns, "copy", "noise"]
+    p = p.join(sizes, tile)
+    whole = p.where((F.col("have") < n // 4) | (F.col("have") == n)).withColumn("copy", F.lit(0)).withColumn("noise", F.col("have") < n // 4)
+    few = (F.col("have") >= n // 4) & (F.col("have") < n)
+    ranked = p.where(few).drop("have").withColumn("rank", F.row_number().over(Window.partitionBy(*tile).orderBy("point_id")))
+    draws = sizes.where(few).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    draws = draws.withColumn("rank", (F.floor(uniform("tile", *tile, "copy") * F.col("have")) + 1).cast("int")).drop("have")
+    redrawn = draws.join(ranked, [*tile, "rank"]).withColumn("noise", F.lit(False))
+    large = p.where(F.col("have") > n).drop("have").withColumn("of", F.struct(*tile)).withColumn("cloud_id", F.concat_ws("+", *tile))
+    spread = farthest(large, n).withColumn("cloud_id", F.col("of.cloud_id")).withColumn("noise", F.lit(False))
+    return whole.select(out).unionByName(redrawn.select(out)).unionByName(spread.select(out))
 
 
 def offsets(size: float, radius: float) -> list[tuple[int, int, int]]:
@@ -98,6 +128,12 @@ def along_edges(edges: DataFrame, nodes: DataFrame, spacing: float) -> DataFrame
     return e.select("cloud_id", "src", "dst", "step", *((F.col(f"a{c}") + t * (F.col(f"b{c}") - F.col(f"a{c}"))).alias(c) for c in "xyz"))
 
 
+def skeleton(edges: DataFrame, nodes: DataFrame, spacing: float) -> DataFrame:
+    """All nodes, as rows with src alone and step -1, and the points along the edges; a node without an edge stays. (cloud_id, src, dst, step, x, y, z)"""
+    alone = nodes.select("cloud_id", F.concat_ws("_", "kx", "ky", "kz").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(-1).alias("step"), "x", "y", "z")
+    return alone.unionByName(along_edges(edges, nodes, spacing))
+
+
 def chunk_ids(rows: DataFrame, order: list[str], size: int = 30) -> DataFrame:
     """Numbers rows in chunks of `size` within each split."""
     return rows.withColumn("chunk_id", F.floor((F.row_number().over(Window.partitionBy("split").orderBy(*order)) - 1) / size))

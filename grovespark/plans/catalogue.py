@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-SIZE, VOXEL, EDGE_VOXEL, RADIUS, TILE, OVERLAP, SPACING, CLASSES, POINTS = 64, 4.0, 20.0, 40.0, 100.0, 0.4, 10.0, 10, 64
+SIZE, VOXEL, EDGE_VOXEL, RADIUS, TILE, OVERLAP, SPACING, CLASSES, POINTS, TILE_POINTS = 64, 4.0, 20.0, 40.0, 100.0, 0.4, 10.0, 10, 64, 16
 AXES = "xyz"
 
 
@@ -142,6 +142,7 @@ query(
     f"""WITH {EV}, bx AS (SELECT cloud_id, min(x) AS lox, max(x) AS hix, min(y) AS loy, max(y) AS hiy FROM ev GROUP BY 1), tx AS (SELECT *, {_steps('x')} FROM bx), tt AS (SELECT *, {_steps('y')} FROM tx)
 SELECT cloud_id, point_id, ix::INT AS ix, iy::INT AS iy FROM ev JOIN tt USING (cloud_id) WHERE x BETWEEN lox + ix * {_STRIDE} AND lox + ix * {_STRIDE} + {TILE}::DOUBLE AND y BETWEEN loy + iy * {_STRIDE} AND loy + iy * {_STRIDE} + {TILE}::DOUBLE""",
 )
+query("tile_samples", lambda s, d: voxels.tile_samples(A.event_points(s, d), TILE, OVERLAP, TILE_POINTS))
 
 
 def _nodes(s: SparkSession, d: str) -> DataFrame:
@@ -168,6 +169,11 @@ query(
     f"""{_EDGES}, ln AS (SELECT *, greatest(2, ceil(sqrt((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay) + (qz - az) * (qz - az)) / {SPACING}::DOUBLE)::INT + 1) AS n FROM ed), sp AS (SELECT *, unnest(generate_series(0, n - 1)) AS step FROM ln)
 SELECT cloud_id, src, dst, step::INT AS step, {', '.join(f'round(a{a} + step::DOUBLE / (n - 1) * (q{a} - a{a}), 6) + 0.0 AS {a}' for a in AXES)} FROM sp""",
 )
+query(
+    "sample_skeleton",
+    lambda s, d: rounded(voxels.skeleton(_edges(s, d), _nodes(s, d), SPACING)),
+    f"{SQL['sample_edges']} UNION ALL SELECT cloud_id, node, NULL, -1, {', '.join(f'round({a}, 6) + 0.0' for a in AXES)} FROM nd",
+)
 
 
 def _alive(s: SparkSession, d: str) -> DataFrame:

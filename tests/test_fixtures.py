@@ -122,3 +122,21 @@ def test_augment_grows_from_the_grown_cloud_of_safe_points(spark):
     own = F.transform(F.sequence(F.lit(1), F.lit(33)), lambda k: F.xxhash64(F.lit("g8"), k.cast("int")))
     copied = F.transform(own, lambda i: F.xxhash64(F.lit("g10"), F.lit(1), i))
     assert got.where(F.array_contains(copied, F.col("point_id"))).count() > 0
+
+
+def test_skeleton_has_all_nodes(spark):
+    nodes = voxels.means(points(spark, [(0.5, 0.5, 0.5), (2.5, 0.5, 0.5), (99.5, 0.5, 0.5)]), 1.0)
+    edges = voxels.radius_edges(nodes, 1.0, 2.0)
+    got = voxels.skeleton(edges, nodes, 0.5).collect()
+    assert edges.count() == 1 and sum(r["dst"] is None for r in got) == 3
+    assert sorted(r["x"] for r in got) == [0.5, 0.5, 1.0, 1.5, 2.0, 2.5, 2.5, 99.5]  # F15's seven, and the node without an edge
+
+
+def test_tile_samples(spark):
+    rows = [(0, 0, 0)] + [(20 + i / 10, 0, 0) for i in range(3)] + [(40 + i / 10, 0, 0) for i in range(8)] + [(60 + i / 10, 0, 0) for i in range(9)]
+    got = voxels.tile_samples(points(spark, rows), 10.0, 0.0, 8).toPandas()
+    of = {k: g for k, g in got[got["iy"] == 0].groupby("ix")}
+    assert of[0]["noise"].all() and len(of[0]) == 1
+    assert not of[2]["noise"].any() and sorted(of[2]["copy"]) == list(range(1, 9)) and set(of[2]["point_id"]) <= {1, 2, 3}
+    assert not of[4]["noise"].any() and sorted(of[4]["point_id"]) == list(range(4, 12))
+    assert not of[6]["noise"].any() and of[6]["point_id"].nunique() == len(of[6]) == 8 and {12, 20} <= set(of[6]["point_id"])
