@@ -79,15 +79,28 @@ class Filters:
         return np.clip(out / np.maximum(counts, 1)[:, None], 0, 1), counts
 
 
+def even(sizes: list[int], rows: int) -> int:
+    """How many rows of each language there may be: what the small ones, which come first, leave of `rows` is shared evenly."""
+    for i, n in enumerate(sizes):
+        most = max(1, rows // (len(sizes) - i))
+        if n > most:
+            break
+        rows -= n
+    return most
+
+
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Filters:
-    """Filters from (doc_id, text, lang). Rows without lang are not used; of more than `rows`, the first by hash are."""
-    usable = labelled.where("lang is not null and text is not null").select(F.xxhash64("doc_id").alias("h"), "text", F.col("lang").cast("string").alias("lang"))
-    total = usable.count()
-    if total > rows:
-        usable = usable.where(F.col("h") < int((rows / total * 2 - 1) * 2**63))
-    names = sorted(r[0] for r in usable.select("lang").distinct().collect())
+    """Filters from (doc_id, text, lang). Rows without lang are not used; of more than `rows`, the first by hash of each language are, so that a rare one keeps its examples."""
+    usable = labelled.where("lang is not null and text is not null").select(F.xxhash64("doc_id", "text").alias("h"), "text", F.col("lang").cast("string").alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    names = sorted(sizes)
     if not names:
         return Filters([], np.zeros((1, SLOTS), np.uint64))
+    if sum(sizes.values()) > rows:
+        most = even(sorted(sizes.values()), rows)
+        below = {n: int((most / size * 2 - 1) * 2**63) for n, size in sizes.items() if size > most}
+        limit = F.element_at(F.create_map(*(F.lit(x) for pair in below.items() for x in pair)), F.col("lang"))
+        usable = usable.where(~F.col("lang").isin(list(below)) | (F.col("h") < limit))
     number = {n: i for i, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

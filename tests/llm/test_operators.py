@@ -239,3 +239,12 @@ def test_token_ids_of_odd_texts():
         ids, ends = words(pa.array(texts, pa.string()))
         got = [part.tolist() for part in np.split(ids, ends)[:-1]]
         assert got == [[*plain.encode(t or "", add_special_tokens=False).ids, packing.END] for t in texts]
+
+
+def test_rare_language_keeps_its_examples(spark):
+    rows = [(i, f"the common words of row {i} are plain and short", "en") for i in range(3000)]
+    rows += [(10_000 + i, "zwölf größere Bäume stehen überall", "de") for i in range(4)] + [(20_000 + i, "onze chênes très âgés", "fr") for i in range(300)]
+    filters = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=200)
+    shares, _ = filters.shares([rows[0][1], rows[3000][1], rows[3004][1]])
+    assert filters.names == ["de", "en", "fr"] and [filters.names[i] for i in shares.argmax(axis=1)] == ["en", "de", "fr"]
+    assert langid.even([4, 300, 3000], 200) == 98
