@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_path
+
 #: Bytes of text that a Python task turns into arrays at once; memory stays bounded whatever the Arrow batch holds.
 CHUNK_BYTES = 4 << 20
 
@@ -19,22 +19,6 @@ CHUNK_BYTES = 4 << 20
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. In local mode without it, a temporary one."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if base is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it again."""
     spark = df.sparkSession
@@ -50,6 +34,17 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}" in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices Arrow batches so that each slice holds about `limit` bytes of the text column, one row at least."""
     for batch in batches:

@@ -4,8 +4,8 @@ A sketch has cells of (count, XOR of keys, XOR of check values); each key sits i
 Sketches of two versions subtract cell by cell; peeling cells that hold one key recovers the digests of the paragraphs
 that differ. If some cells stay, both versions are sketched four times as large and peeled again.
 
-A paragraph is a sentence or a line; one of over 64 characters counts as pieces of 64 from its start, so that texts
-without stops are compared too. Paragraphs that repeat are numbered, so that a document is a set of keys.
+A paragraph is a sentence or a line; one of over 64 characters counts as pieces that end, if they can, behind a word that ends in a vowel and one of n, r, s, t: a place
+that an insertion elsewhere doesn't move; else of 64. Paragraphs that repeat are numbered, so that a document is a set of keys.
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ from . import common as C
 #: Cells of a third in the stored fingerprint; growth on failure.
 THIRD = 8
 GROWTH = 4
-PARAGRAPH = r"[^\n.!?]{0,64}[.!?\n]+|[^\n.!?]{1,64}"
-#: Documents that meet in one window frame, about, and frames at most (their bounds, 8 bytes each, go to all tasks).
+#: Cells of a third beyond which two documents' sorted keys are compared instead: peeling fails for good where two keys of a document are equal.
+LARGEST = 1 << 16
+PARAGRAPH = r"[^\n.!?]{0,64}[.!?\n]+|[^\n.!?]{16,128}?[aeiou][nrst] |[^\n.!?]{1,64}"
+#: Documents that meet in one window frame, about, and frames at most (their bounds, 16 bytes each, go to all tasks); with more than FRAMES times FRAME_ROWS
+#: documents, frames grow, and their sort spills. Quantiles are exact to a fourth of a frame.
 FRAME_ROWS = 256
 FRAMES = 100_000
 NULL_ID = -(1 << 63)
@@ -104,10 +107,13 @@ class Sketches:
 
 
 def differences(a: pa.ListArray, b: pa.ListArray, third: int = THIRD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, key, sign) of the paragraphs that are only in a (+1) or only in b (-1), for each pair of documents, by subtracting and peeling, larger on failure."""
+    """(pair, key, sign) of the paragraphs that are only in a (+1) or only in b (-1), for each pair of documents, by subtracting and peeling, larger on failure; beyond LARGEST, by comparing keys.
+
+    A key that peeling took out and put back by a chance match of its check value has signs that sum to zero, and isn't counted.
+    """
     (doc_a, keys_a), (doc_b, keys_b) = keys_of(a), keys_of(b)
     todo, out = np.arange(len(a)), []
-    while len(todo):
+    while len(todo) and third <= LARGEST:
         place = np.full(len(a), -1)
         step = max(1, 2_000_000 // (3 * third))
         failed = []
@@ -120,12 +126,26 @@ def differences(a: pa.ListArray, b: pa.ListArray, third: int = THIRD) -> tuple[n
             right = Sketches(len(part), third).add(place[doc_b[inb]], keys_b[inb])
             doc, keys, sign, whole = left.minus(right).peel()
             ok = whole[doc] if len(doc) else np.zeros(0, bool)
-            out.append((part[doc[ok]], keys[ok], sign[ok]) if len(doc) else (np.zeros(0, np.int64),) * 3)
+            out.append(net(part[doc[ok]], keys[ok], sign[ok]))
             failed.append(part[~whole])
         todo, third = np.concatenate(failed), third * GROWTH
+    for i in todo.tolist():
+        ka, kb = keys_a[doc_a == i], keys_b[doc_b == i]
+        out.append(net(np.full(len(ka) + len(kb), i), np.concatenate([ka, kb]), np.repeat([1, -1], [len(ka), len(kb)])))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def net(pair: np.ndarray, keys: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of each pair whose signs don't sum to zero, each as often as its sum."""
+    if not len(pair):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    order = np.lexsort((keys, pair))
+    pair, keys, sign = pair[order], keys[order], sign[order]
+    new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (keys[1:] != keys[:-1])])
+    sums = np.add.reduceat(sign, new)
+    return np.repeat(pair[new], np.abs(sums)), np.repeat(keys[new], np.abs(sums)), np.repeat(np.sign(sums), np.abs(sums))
+
+
 def likeness(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
     """Twice the common paragraphs by all paragraphs of both; 1 where neither has any."""
     pair, _, _ = differences(a, b)
@@ -146,35 +166,60 @@ def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next): next is the text of the following document by falling doc_id; after the last, the first.
 
     Texts are shuffled once: rows are dealt to frames of consecutive ids by quantiles of doc_id, and each frame's first
-    row is copied to the frame before it. Null ids come last; rows with one id are in the order of their text's hash.
+    row is copied to the frame before it. Null ids come last; rows with one id are in the order of their text's falling hash, and an id
+    with more rows than a frame holds is parted by it; rows that are equal in both are copies of one another. Columns of docs may have any names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("at"))
+    ids = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("at"), F.xxhash64("text").alias("th"))
     frames = max(1, min(FRAMES, math.ceil(ids.count() / FRAME_ROWS)))
     marks = [i / frames for i in range(1, frames)]
-    bounds = np.array(sorted(set(ids.agg(F.percentile_approx("at", marks, max(10_000, 4 * frames)).alias("q")).first()["q"] or [])) if marks else [], np.int64)
+    found = sorted((ids.agg(F.percentile_approx("at", marks, max(10_000, 4 * frames)).alias("q")).first()["q"] or []) if marks else [])
+    marks_at, times = np.unique(np.array(found, np.int64), return_counts=True)
+    # the bound of an id is the last of its rows; one that is met m times is parted into m ranges of the hash, of equal width
+    steps = [(1 << 64) // int(m) for m in times]
+    at_bound = np.repeat(marks_at, times)
+    th_bound = np.array([min((1 << 63) - 1, -(1 << 63) + (k + 1) * w) for w, m in zip(steps, times) for k in range(m)], np.int64)
+    place = np.arange(len(at_bound))
+
+    def frame_of(at: np.ndarray, th: np.ndarray) -> np.ndarray:
+        """The number of bounds before (at, th)."""
+        lo, hi = np.searchsorted(at_bound, at), np.searchsorted(at_bound, at, side="right")
+        out = lo.copy()
+        inside = np.flatnonzero(hi > lo)
+        for a in np.unique(at[inside]).tolist():
+            mine = inside[at[inside] == a]
+            first = lo[mine[0]]
+            out[mine] = first + np.searchsorted(th_bound[place[first : hi[mine[0]]]], th[mine])
+        return out
 
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([pa.array(np.searchsorted(bounds, b["at"].to_numpy())), b["at"]], ["frame", "at"])
+            yield pa.record_batch([pa.array(frame_of(b["at"].to_numpy(), b["th"].to_numpy())), b["at"], b["th"]], ["frame", "at", "th"])
 
-    tops = sorted((r["frame"], r["top"]) for r in ids.mapInArrow(frame, "frame long, at long").groupBy("frame").agg(F.max("at").alias("top")).collect())  # one row a frame
-    own, top = np.array([f for f, _ in tops], np.int64), np.array([t for _, t in tops], np.int64)
+    tops = sorted((r["frame"], r["top"]["at"], r["top"]["th"]) for r in ids.mapInArrow(frame, "frame long, at long, th long").groupBy("frame").agg(F.max(F.struct("at", "th")).alias("top")).collect())  # one row a frame
+    own, top, top_th = (np.array(x, np.int64) for x in (zip(*tops) if tops else ([], [], [])))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for big in batches:
             for b in C.chunks([big]):
-                ids_ = np.where(b["doc_id"].is_null().to_numpy(zero_copy_only=False), NULL_ID, b["doc_id"].fill_null(0).to_numpy())
-                at = np.searchsorted(own, np.searchsorted(bounds, ids_))
-                heads = np.flatnonzero(top[at] == ids_)
+                at = np.where(b["doc_id"].is_null().to_numpy(zero_copy_only=False), NULL_ID, b["doc_id"].fill_null(0).to_numpy())
+                th = b["th"].to_numpy()
+                mine = np.searchsorted(own, frame_of(at, th))
+                heads = []
+                for i in np.flatnonzero((top[mine] == at) & (top_th[mine] == th)).tolist():
+                    if mine[i] not in sent:  # a copy for each task at most
+                        sent.add(int(mine[i]))
+                        heads.append(i)
+                heads = np.array(heads, np.int64)
                 both = np.concatenate([np.arange(b.num_rows), heads])
-                to = np.concatenate([own[at], own[(at[heads] + 1) % len(own)]])  # the frame of larger ids; after the largest, the smallest
+                to = np.concatenate([own[mine], own[(mine[heads] + 1) % len(own)]])  # the frame of larger ids; after the largest, the smallest
                 copy = np.repeat([False, True], [b.num_rows, len(heads)])
                 more = b.take(pa.array(both))
-                yield pa.record_batch([pa.array(to), pa.array(copy), more["doc_id"], more["text"]], ["frame", "copy", "doc_id", "text"])
+                yield pa.record_batch([pa.array(to), pa.array(copy), more["doc_id"], more["th"], more["text"]], ["frame", "copy", "doc_id", "th", "text"])
 
-    dealt = rows.mapInArrow(deal, "frame long, copy boolean, doc_id long, text string")
-    order = "partition by frame order by copy, doc_id desc nulls last, xxhash64(text), text"
+    dealt = rows.withColumn("th", F.xxhash64("text")).mapInArrow(deal, "frame long, copy boolean, doc_id long, th long, text string")
+    order = "partition by frame order by copy, doc_id desc nulls last, th desc, text"
     return dealt.withColumn("next", F.expr(f"lead(text) over ({order})")).where("not copy").select("doc_id", "text", "next")
 
 

@@ -21,7 +21,7 @@ from . import common as C
 
 #: Element numbers of the Matroska format.
 EBML, SEGMENT, INFO, SCALE, TRACKS, TRACK, NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIME, SIMPLE, GROUP, BLOCK, CUES, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER, DOCTYPE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0x4282
+CLUSTER, TIME, SIMPLE, GROUP, BLOCK, REFERENCE, LASTS, CUES, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER, DOCTYPE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x9B, 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0x4282
 PARENTS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, POINT, POSITIONS}
 TOP = {CLUSTER, CUES, INFO, TRACKS, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469, EBML, SEGMENT}
 NO_LACE, XIPH, FIXED, EBML_LACE = 0, 1, 2, 3
@@ -84,13 +84,14 @@ def write(samples: bytes, rate: int = SAMPLE_RATE, frame: int = FRAME) -> bytes:
 
 @dataclass
 class Media:
-    """What a file holds. packets: (track, timestamp ms, frame in its block, offset, length, key frame, lacing, cluster)."""
+    """What a file holds. packets: (track, timestamp ms, frame in its block, offset, length, key frame, lacing, cluster, duration ms or None); cues: (time, track, cluster's place)."""
 
-    packets: list[tuple[int, float, int, int, int, bool, int, int]] = field(default_factory=list)
+    packets: list[tuple[int, float, int, int, int, bool, int, int, float | None]] = field(default_factory=list)
     tracks: dict[int, dict] = field(default_factory=dict)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     clusters: list[int] = field(default_factory=list)
     scale: int = 1_000_000
+    origin: int = 0
 
 
 def read_vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
@@ -104,10 +105,10 @@ def read_vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
 
 
 def parse(data: bytes) -> Media:
-    """Reads a whole file. Broken or cut files raise ValueError."""
+    """Reads a whole file. Broken or cut files raise ValueError, IndexError or struct.error. In a block group, the block stands first, as the format's writers have it."""
     out, origin, cluster_time, track, cue = Media(), 0, 0, {}, {}
     stack: list[tuple[int, int, bool]] = []
-    at = 0
+    at, group = 0, 0
     while at < len(data):
         while stack and not stack[-1][2] and at >= stack[-1][1]:
             stack.pop()
@@ -124,7 +125,9 @@ def parse(data: bytes) -> Media:
         body = data[at:end]
         if number in PARENTS:
             if number == SEGMENT:
-                origin = at
+                origin = out.origin = at
+            elif number == GROUP:
+                group = len(out.packets)
             elif number == CLUSTER:
                 cluster_time = 0
                 out.clusters.append(start - origin)
@@ -152,6 +155,11 @@ def parse(data: bytes) -> Media:
             out.cues.append((cue.get(CUE_TIME, 0), cue.get(CUE_TRACK, 0), int.from_bytes(body, "big")))
         elif number in (SIMPLE, BLOCK):
             read_block(data, at, end, number == SIMPLE, cluster_time, out)
+        elif number == REFERENCE:  # a block that refers to others is no key frame
+            out.packets[group:] = [(*p[:5], False, *p[6:]) for p in out.packets[group:]]
+        elif number == LASTS:
+            each = int.from_bytes(body, "big") * out.scale / 1e6 / max(1, len(out.packets) - group)
+            out.packets[group:] = [(*p[:8], each) for p in out.packets[group:]]
         at = end
     return out
 
@@ -186,8 +194,9 @@ def read_block(data: bytes, at: int, end: int, simple: bool, cluster_time: int,
     rate = depth.get("rate", 0) * depth.get("channels", 1) * depth.get("depth", 0) / 8
     time = (cluster_time + relative) * out.scale / 1e6
     for k, n in enumerate(sizes):
-        out.packets.append((track, time, k, at, n, simple and bool(flags & 0x80), lacing, len(out.clusters) - 1))
-        time += n / rate * 1000 if rate else 0
+        lasts = n / rate * 1000 if rate else None
+        out.packets.append((track, time, k, at, n, not simple or bool(flags & 0x80), lacing, len(out.clusters) - 1, lasts))
+        time += lasts or 0
         at += n
 
 
@@ -195,6 +204,13 @@ def read_samples(data: bytes, media: Media, track: int = 1) -> bytes:
     return b"".join([data[p[3] : p[3] + p[4]] for p in media.packets if p[0] == track])
 
 
+def seek(data: bytes, media: Media, ms: float, track: int = 1) -> list[tuple]:
+    """The packets of a track from the last cue at or before a time on, found by cutting the file at that cue's cluster; without such a cue, all."""
+    due = [c for c in media.cues if c[1] == track and c[0] * media.scale / 1e6 <= ms]
+    begin = media.origin + max(due)[2] if due else 0
+    return [p for p in media.packets if p[0] == track and p[3] >= begin]
+
+
 def feature(media: Media, samples: bytes) -> str:
     """Packets, clusters, cues, duration in ms, mean, root mean square and zero crossings of the samples about 128."""
     x = np.frombuffer(samples, np.uint8).astype(np.int64) - 128
@@ -204,26 +220,57 @@ def feature(media: Media, samples: bytes) -> str:
     return f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};ms={len(x) / rate * 1000:.3f};mean={x.mean() if len(x) else 0:.4f};rms={root:.4f};crossings={crossings}"
 
 
-def packets(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """A row for each packet of each file of a binary column: key, track, timestamp, frame, offset, length, key frame, lacing, cluster. Null and broken files have none."""
-    names = ["track", "timestamp_ms", "frame", "byte_offset", "byte_length", "key_frame", "lacing", "cluster"]
-    kinds = [pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
+BROKEN = (ValueError, IndexError, struct.error)
+
+
+def table(files: DataFrame, key: str, media: str, names: dict[str, tuple[str, pa.DataType]], rows_of: Callable[[bytes], list[tuple]]) -> DataFrame:
+    """The rows of each file of a binary column under its key. Null and empty files have none; broken ones raise no error, but have none either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.chunks(batches, media):
             keys, rows = [], []
             for k, data in zip(b[key].to_pylist(), b[media].to_pylist()):
                 try:
-                    own = parse(data).packets if data else []
-                except (ValueError, IndexError, struct.error):
+                    own = rows_of(data) if data else []
+                except BROKEN:
                     own = []
                 keys += [k] * len(own)
                 rows += own
-            columns = list(zip(*rows)) or [[]] * 8
-            yield pa.record_batch([pa.array(keys, b[key].type), *(pa.array(x, t) for x, t in zip(columns, kinds))], [key, *names])
+            columns = list(zip(*rows)) or [[]] * len(names)
+            yield pa.record_batch([pa.array(keys, b[key].type), *(pa.array(x, t) for x, (_, t) in zip(columns, names.values()))], [key, *names])
 
     kind = files.schema[key].dataType.simpleString()
-    return files.select(key, media).mapInArrow(run, f"{key} {kind}, track int, timestamp_ms double, frame int, byte_offset long, byte_length long, key_frame boolean, lacing int, cluster int")
+    return files.select(key, media).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} {t}" for n, (t, _) in names.items()))
+
+
+def packets(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
+    """A row for each packet of each file: key, track, timestamp, frame, byte range, key frame, lacing, cluster, duration. Files that can't be read are in broken()."""
+    names = {"track": ("int", pa.int32()), "timestamp_ms": ("double", pa.float64()), "frame": ("int", pa.int32()), "byte_offset": ("long", pa.int64()), "byte_length": ("long", pa.int64()), "key_frame": ("boolean", pa.bool_()), "lacing": ("int", pa.int32()), "cluster": ("int", pa.int32()), "duration_ms": ("double", pa.float64())}
+    return table(files, key, media, names, lambda data: parse(data).packets)
+
+
+def cue_points(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
+    """A row for each cue of each file: key, time, track, and the byte that its cluster begins at."""
+    names = {"timestamp_ms": ("double", pa.float64()), "track": ("int", pa.int32()), "byte_offset": ("long", pa.int64())}
+
+    def rows_of(data: bytes) -> list[tuple]:
+        own = parse(data)
+        return [(t * own.scale / 1e6, track, own.origin + at) for t, track, at in own.cues]
+
+    return table(files, key, media, names, rows_of)
+
+
+def broken(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
+    """(key, reason) of each file that can't be read; null and empty files aren't among them."""
+
+    def rows_of(data: bytes) -> list[tuple]:
+        try:
+            parse(data)
+        except BROKEN as e:
+            return [(f"{type(e).__name__}: {e}",)]
+        return []
+
+    return table(files, key, media, {"reason": ("string", pa.string())}, rows_of)
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -239,14 +286,18 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def digests(files: DataFrame) -> DataFrame:
-    """Reads the stored bytes back and returns the digest columns, a row for each row of files."""
+    """Reads the stored bytes back and returns the digest columns, a row for each row of files; of a null or broken file, payload and feature are null."""
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.chunks(batches, "media"):
             rows = []
             for data in b["media"].to_pylist():
-                media = parse(data)
+                try:
+                    media = parse(data or b"\0")
+                except BROKEN:
+                    rows.append((None, None, None, data and len(data), data and hashlib.sha256(data).hexdigest(), None))
+                    continue
                 samples = read_samples(data, media)
                 rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ALIGN:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, samples)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -256,7 +307,7 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated rows stay, ids may be null, other columns are ignored, an empty table gives an empty one."""
+    """Repeated rows stay, ids may be null, null texts are empty ones, very long ones are stored whole, other columns are ignored, an empty table gives an empty one."""
     return digests(store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 

@@ -2,9 +2,10 @@
 
 A budget of tokens goes down the tree. Among siblings it is dealt by weight; what one can't take (it has fewer tokens
 times epochs) its siblings take, by weight again; only what a whole subtree lacks has already gone to its own siblings above,
-as a node's capacity is the sum of its leaves'. With capacities sorted by weight this has a closed form, so each
-level is one window over a table with a row a node. Each leaf then takes whole seeded epochs, and of the next
-epoch the documents that begin within the rest of its budget, in the order of a seeded hash.
+as a node's capacity is the sum of its leaves'. With capacities sorted by weight this has a closed form. Siblings are summed by
+ranges of their capacity for their weight, and only the range that the level ends in is sorted. Each leaf then takes whole seeded epochs, and of the next
+epoch the documents that begin within the rest of its budget, in the order of a seeded hash: a leaf's cut is one row, so that
+texts are filtered where they are, and never moved.
 """
 
 from __future__ import annotations
@@ -28,15 +29,15 @@ def tokens(text: Column) -> Column:
 
 
 def domain_of(source: Column) -> Column:
-    """The number at the end of a source, modulo 4, names its domain; a source without one is of domain `none`."""
-    digits = F.regexp_extract(source, r"([0-9]{1,9})$", 1)
+    """The number at the end of a source (its last nine digits), modulo 4, names its domain; a source without one is of domain `none`."""
+    digits = F.regexp_extract(F.right(source, F.lit(9)), r"([0-9]{1,9})$", 1)
     return F.coalesce(F.when(digits != "", (digits.cast("int") % 4).cast("string")), F.lit("none"))
 
 
-def leaves(docs: DataFrame) -> DataFrame:
-    """docs with the columns domain, language, origin (null: `none`) and n_tokens, in a struct named leaf."""
-    names = F.struct(domain_of(F.col("source")).alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("language"), F.coalesce(F.col("source").cast("string"), F.lit("none")).alias("origin"), tokens(F.col("text")).alias("n_tokens"))
-    return docs.withColumn("leaf", names)
+def path_of(prefix: str = "") -> Column:
+    """A struct of domain, language and origin; null languages and sources are named `none`."""
+    source, lang = F.col(f"{prefix}source").cast("string"), F.col(f"{prefix}lang").cast("string")
+    return F.struct(domain_of(source).alias("domain"), F.coalesce(lang, F.lit("none")).alias("language"), F.coalesce(source, F.lit("none")).alias("origin"))
 
 
 def weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
@@ -45,64 +46,101 @@ def weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
 
 
 def fill(nodes: DataFrame, level: str, parents: list[str], weights: dict[str, dict[str, float]]) -> DataFrame:
-    """Adds got: each node's part of its parent's `budget`. Nodes have `capacity`."""
-    family = Window.partitionBy(*parents, F.lit(0)) if parents else Window.partitionBy(F.lit(0))
-    order = family.orderBy(F.col("capacity") / F.col("w"), level)
-    rated = nodes.withColumn("w", weight(level, weights))
-    before = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heavier = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rated = rated.withColumn("rate", (F.col("budget") - before) / heavier)
-    open_rate = F.max(F.when(F.col("capacity") / F.col("w") > F.col("rate"), F.col("rate"))).over(family)
-    got = F.coalesce(F.least(F.col("capacity").cast("double"), open_rate * F.col("w")), F.col("capacity").cast("double"))
-    return rated.withColumn("got", got).drop("rate", "w", "budget")
+    """Adds got: each node's part of its parent's `budget`. Nodes have `capacity`.
+
+    rate: what a unit of weight gets if all nodes before, in the order of capacity for weight, are full. The first range of ratios that is not filled whole
+    is the one that the level ends in; a parent has some thousand ranges at most.
+    """
+    keys = parents or ["root"]
+    rated = nodes.withColumn("w", weight(level, weights)).withColumn("root", F.lit(0)).withColumn("ratio", F.col("capacity") / F.col("w"))
+    rated = rated.withColumn("range", F.when(F.col("ratio") > 0, F.floor(F.log2("ratio") * 16).cast("int")).otherwise(-(1 << 30)))
+    sums = rated.groupBy(*keys, "range").agg(F.sum("capacity").alias("c"), F.sum("w").alias("v"), F.max("ratio").alias("top"), F.first("budget").alias("budget"))
+    order = Window.partitionBy(*keys).orderBy("range")
+    before = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.coalesce(F.sum("v").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    filled = F.col("budget") - F.col("before") - F.col("c") >= F.col("top") * F.col("after")
+    edge = sums.withColumn("before", before).withColumn("after", after).where(~filled).groupBy(*keys).agg(F.min(F.struct("range", "before", "after")).alias("e"))
+    edge = edge.select(*keys, F.col("e.range").alias("edge"), F.col("e.before").alias("before"), F.col("e.after").alias("after"))
+    both = rated.join(edge, keys, "left")
+    inside = both.where("range = edge")
+    within = Window.partitionBy(*keys).orderBy("ratio", level)
+    upto = F.coalesce(F.sum("capacity").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heavier = F.sum("w").over(within.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rate = (F.col("budget") - F.col("before") - upto) / (heavier + F.col("after"))
+    # where rounding makes the level seem to pass the last node, it is that node's
+    level_of = inside.withColumn("rate", rate).groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("ratio") > F.col("rate"), F.col("rate"))), F.max("ratio")).alias("open_rate"))
+    got = F.coalesce(F.least(F.col("capacity").cast("double"), F.col("open_rate") * F.col("w")), F.col("capacity").cast("double"))
+    return rated.join(level_of, keys, "left").withColumn("got", got)
 
 
 def budgets(sizes: DataFrame, weights: dict[str, dict[str, float]], share: float, epochs: int) -> DataFrame:
     """(domain, language, origin, have, budget) of each leaf; sizes has (domain, language, origin, have). A budget is in whole tokens."""
-    leaf = sizes.withColumn("capacity", F.col("have") * epochs)
-    whole = leaf.agg(F.least(F.floor(F.sum("have") * share), F.sum("capacity")).cast("double").alias("budget"))
-    plan = whole.withColumn("all", F.lit(0))
+    leaf = sizes.groupBy(*LEVELS).agg(F.sum("have").alias("have")).withColumn("capacity", F.col("have") * epochs)
+    plan = leaf.agg(F.least(F.floor(F.sum("have") * share), F.sum("capacity")).cast("double").alias("budget"))
     above: list[str] = []
     for level in LEVELS:
         keys = [*above, level]
         nodes = leaf.groupBy(*keys).agg(F.sum("capacity").alias("capacity"))
-        joined = nodes.withColumn("all", F.lit(0)).join(plan, "all") if not above else nodes.join(plan, above)
+        joined = nodes.join(plan, above) if above else nodes.crossJoin(F.broadcast(plan))  # the plan is one row at first
         plan = fill(joined, level, above, weights).select(*keys, F.col("got").alias("budget"))
         above = keys
     return leaf.join(plan, list(LEVELS)).select(*LEVELS, "have", F.floor(F.col("budget") + 1e-6).cast("long").alias("budget"))
 
 
-def select(docs: DataFrame, weights: dict[str, dict[str, float]] | None = None, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs with leaf, epoch: a row for each document and epoch that is taken.
+def cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan (k, path, whole, rest) with last: the (key, n_tokens, th) up to which a leaf's partial epoch goes. rows: (k, id, n_tokens, th).
 
-    A leaf is never sorted whole: the hash's first three hex digits part it into 4096 ranges; their sums tell the range
-    that the budget ends in, and only that one is ordered. Empty texts have no tokens and are taken where they fall
-    within a budget. Null languages and sources are leaves of their own. A null doc_id hashes as `null`. Of rows that repeat an id, those with
-    fewer tokens come first. An empty table gives an empty one. docs may not have columns named leaf, epoch or _key.
+    A leaf is never sorted whole: twice the next three hex digits of the key part it into 4096 ranges; their sums tell the range that the budget
+    ends in, and only what is in that is ordered.
+    """
+    part = rows.join(plan.where("rest > 0").select("k", "whole", "rest"), "k")
+    part = part.select("k", "rest", "n_tokens", "th", key(F.col("whole"), F.col("id")).alias("key")).withColumn("base", F.lit(0).cast("long"))
+    for depth in (1, 4):
+        sums = part.groupBy("k", "rest", "base", F.substring("key", depth, 3).alias("range")).agg(F.sum("n_tokens").alias("n"))
+        begin = F.col("base") + F.sum("n").over(Window.partitionBy("k").orderBy("range")) - F.col("n")
+        edge = sums.withColumn("begin", begin).where("begin < rest").groupBy("k").agg(F.max(F.struct("range", "begin")).alias("e"))
+        edge = C.materialise(edge.select("k", "e.range", F.col("e.begin").alias("begin")), "edges")  # a row a leaf
+        part = part.withColumn("range", F.substring("key", depth, 3)).join(edge, ["k", "range"]).withColumn("base", F.col("begin")).drop("range", "begin")
+    order = Window.partitionBy("k").orderBy("key", "n_tokens", "th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = part.withColumn("at", F.col("base") + F.sum("n_tokens").over(order) - F.col("n_tokens")).where("at < rest")
+    last = taken.groupBy("k").agg(F.max(F.struct("key", "n_tokens", "th")).alias("last"))
+    return plan.join(last, "k", "left")
+
+
+def key(epoch: Column, doc_id: Column) -> Column:
+    """The place of a document in a leaf's epoch: a seeded hash, as 32 hex digits."""
+    return F.md5(F.concat_ws("|", F.lit(SEED), epoch, F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+
+
+def select(docs: DataFrame, weights: dict[str, dict[str, float]] | None = None, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """(doc, path, epoch, n_tokens): a row for each document and epoch that is taken; doc: the row of docs as a struct.
+
+    Empty texts have no tokens and are taken where they fall within a budget. Null languages and sources are leaves of their own.
+    A null doc_id hashes as `null`. Of rows that repeat an id, those with fewer tokens come first; rows that repeat in full are taken together as far as one begins within the budget.
+    An empty table gives an empty one. Columns of docs may have any names.
     """
     weights = WEIGHTS if weights is None else weights
-    marked = leaves(docs)
-    sizes = marked.groupBy(*(F.col(f"leaf.{k}").alias(k) for k in LEVELS)).agg(F.sum("leaf.n_tokens").alias("have"))
-    plan = C.materialise(budgets(sizes, weights, share, epochs), "budgets")  # a row a leaf: its size is known, so that texts needn't move to join it
-    plan = plan.where("budget > 0").select(F.struct(*LEVELS).alias("_leaf"), F.expr("cast(budget div have as int)").alias("_whole"), F.expr("budget % have").alias("_rest"))
-    one = F.struct(*(F.col(f"leaf.{k}").alias(k) for k in LEVELS))
-    both = marked.withColumn("_leaf", one).join(plan, "_leaf").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_whole"))))
-    both = both.where("epoch < _whole or _rest > 0").withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
-    both = both.withColumn("_range", F.substring("_key", 1, 3))
-    sums = both.where("epoch = _whole").groupBy("_leaf", "_range").agg(F.sum("leaf.n_tokens").alias("_n"))
-    begins = sums.withColumn("_begin", F.sum("_n").over(Window.partitionBy("_leaf").orderBy("_range")) - F.col("_n")).select("_leaf", "_range", "_begin", "_n")
-    whole = both.where("epoch < _whole")
-    part = both.where("epoch = _whole").join(begins, ["_leaf", "_range"]).where("_begin < _rest")
-    inside = part.where("_begin + _n <= _rest")
-    order = Window.partitionBy("_leaf", "_range").orderBy("_key", "leaf.n_tokens", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = part.where("_begin + _n > _rest").withColumn("_at", F.col("_begin") + F.sum("leaf.n_tokens").over(order) - F.col("leaf.n_tokens")).where("_at < _rest")
-    columns = [*docs.columns, "leaf", "epoch"]
-    return whole.select(columns).unionByName(inside.select(columns)).unionByName(edge.select(columns))
+    th = F.xxhash64(F.col("text").cast("string"))
+    narrow = docs.select(path_of().alias("path"), F.col("doc_id").alias("id"), tokens(F.col("text").cast("string")).alias("n_tokens"), th.alias("th"))
+    narrow = C.materialise(narrow.select(F.xxhash64("path").alias("k"), "path.*", "id", "n_tokens", "th"), "tokens")
+    sizes = narrow.groupBy("k", *LEVELS).agg(F.sum("n_tokens").alias("have"))
+    plan = C.materialise(budgets(sizes, weights, share, epochs), "budgets")  # a row a leaf
+    plan = plan.where("budget > 0").select(F.xxhash64(F.struct(*LEVELS)).alias("k"), F.struct(*LEVELS).alias("path"), F.expr("cast(budget div have as int)").alias("whole"), F.expr("budget % have").alias("rest"))
+    done = C.materialise(cuts(narrow.select("k", "id", "n_tokens", "th"), plan).select(F.struct("path", "whole", "rest", "last").alias("leaf")), "cuts")
+    C.remove(narrow)
+    # a row a leaf of known size: Spark broadcasts it if it is small
+    both = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).withColumn("path", path_of("doc.")).join(done, F.col("path") == F.col("leaf.path"))
+    both = both.select("doc", "path", "leaf", F.explode(F.expr("sequence(0, if(leaf.rest > 0, leaf.whole, leaf.whole - 1))")).alias("epoch")).withColumn("key", key(F.col("epoch"), F.col("doc.doc_id")))
+    text = F.col("doc.text").cast("string")
+    tie = (F.col("key") == F.col("leaf.last.key")) & (F.struct(tokens(text).alias("n_tokens"), F.xxhash64(text).alias("th")) <= F.struct(F.col("leaf.last.n_tokens").alias("n_tokens"), F.col("leaf.last.th").alias("th")))
+    taken = both.where((F.col("epoch") < F.col("leaf.whole")) | (F.col("key") < F.col("leaf.last.key")) | tie)
+    return taken.select("doc", "path", "epoch", tokens(F.col("doc.text").cast("string")).alias("n_tokens"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and epochs taken of all documents; null, empty, tied and repeated rows and an empty table as in select()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return select(docs).select("doc_id", "epoch", "leaf.domain", "leaf.language", "leaf.origin", "leaf.n_tokens")
+    return select(docs).select("doc.doc_id", "epoch", "path.domain", "path.language", "path.origin", "n_tokens")
 
 
 def _level(name: str, parents: str, weights: str) -> str:

@@ -2,7 +2,8 @@
 
 Each packing task keeps a fixed number of open bins. A bitset has a bit for each amount of free space that some open bin
 has; the lowest bit not below a piece's length is its best fit. When one bin more would be open than allowed, the
-fullest closes first. Tasks pack apart; each gets so many pieces that its last, partly filled bins weigh little.
+fullest closes first. Pieces are placed as they arrive, in the order of a hash, batch after batch, and a task holds no more than a batch and its open bins.
+Tasks pack apart; each gets so many pieces that its last, partly filled bins weigh little.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from . import common as C
 
 SEQUENCE = 4096
 END = 1
-#: Bins that a task keeps open; more than a task fills as a rule, so that closing early costs no space.
-OPEN_BINS = 32_768
-#: Sequences that a packing task fills, about.
-TASK_SEQUENCES = 25_000
+#: Bins that a task keeps open.
+OPEN_BINS = 64
+#: Sequences that a packing task fills, and pieces that it gets, about.
+TASK_SEQUENCES, TASK_PIECES = 4_000, 2_000_000
 #: Words whose ids a Python worker keeps in each of two generations.
 CACHE_WORDS = 250_000
 #: Letters that lower-case to one letter each, and stay as they are under normalisation.
@@ -130,61 +131,64 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", sequence: int
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: list[int], size: int = SEQUENCE, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int]]:
-    """(bin, offset) of each length, in order of arrival."""
-    bins, offsets, free_bits, by_free, opened, count = [], [], 0, {}, 0, 0
+class BestFit:
+    """Bounded-space online best fit: the open bins by free space, and a bitset of the amounts of it."""
 
-    def put(bin_: int, free: int) -> None:
-        nonlocal free_bits
-        by_free.setdefault(free, []).append(bin_)
-        free_bits |= 1 << free
+    def __init__(self, size: int = SEQUENCE, open_bins: int = OPEN_BINS):
+        self.size, self.open_bins = size, open_bins
+        self.bits, self.by_free, self.open, self.bins, self.closed = 0, {}, 0, 0, 0
 
-    def take(free: int) -> int:
-        nonlocal free_bits
-        own = by_free[free]
+    def take(self, free: int) -> int:
+        own = self.by_free[free]
         bin_ = own.pop()
         if not own:
-            del by_free[free]
-            free_bits &= ~(1 << free)
+            del self.by_free[free]
+            self.bits &= ~(1 << free)
+        self.open -= 1
         return bin_
 
-    for n in lengths:
-        if fits := free_bits >> n:
+    def place(self, n: int) -> tuple[int, int]:
+        """(bin, offset) of the next length."""
+        if fits := self.bits >> n:
             free = n + (fits & -fits).bit_length() - 1
-            bin_ = take(free)
-            count -= 1
+            bin_ = self.take(free)
         else:
-            free, bin_ = size, opened
-            opened += 1
-        bins.append(bin_)
-        offsets.append(size - free)
+            free, bin_ = self.size, self.bins
+            self.bins += 1
         if free > n:
-            if count == open_bins:
-                take((free_bits & -free_bits).bit_length() - 1)
-                count -= 1
-            put(bin_, free - n)
-            count += 1
-    return bins, offsets
+            if self.open == self.open_bins:  # the fullest closes
+                self.take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
+            self.by_free.setdefault(free - n, []).append(bin_)
+            self.bits |= 1 << free - n
+            self.open += 1
+        return bin_, self.size - free
+
+
+def best_fit(lengths: list[int], size: int = SEQUENCE, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int]]:
+    """(bin, offset) of each length, in order of arrival."""
+    bins = BestFit(size, open_bins)
+    placed = [bins.place(n) for n in lengths]
+    return [b for b, _ in placed], [at for _, at in placed]
 
 
-def pack(cut: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, task_sequences: int = TASK_SEQUENCES) -> DataFrame:
-    """Adds sequence_id and offset to pieces. A task's pieces arrive longest first, in an order without ties, so that a rerun task packs alike."""
+def pack(cut: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, task_sequences: int = TASK_SEQUENCES, task_pieces: int = TASK_PIECES) -> DataFrame:
+    """Adds sequence_id and offset to pieces. A task's pieces arrive in an order without ties but of equal rows, so that a rerun task packs alike."""
     cut = C.materialise(cut, "pieces")
-    total = cut.agg(F.sum("length")).first()[0] or 0
-    tasks = max(1, round(total / sequence / task_sequences))
-    mixed = cut.withColumn("at", F.xxhash64("doc_id", "piece", "ids_crc32"))
-    dealt = mixed.repartition(tasks, "at").sortWithinPartitions(F.desc("length"), "at", "doc_id", "piece", "ids_crc32").drop("at")
+    total, rows = cut.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, round(total / sequence / task_sequences), -(-rows // task_pieces))
+    kept = [F.col(c) for c in cut.columns]
+    # equal pieces, as of null ids, are told apart by their place in the table, so that they part among the tasks too
+    mixed = cut.select(*kept, F.xxhash64("doc_id", "piece", "ids_crc32", F.col("_metadata.file_name"), F.col("_metadata.row_index")).alias("at"))
+    dealt = mixed.repartition(tasks, "at").sortWithinPartitions("at", "doc_id", "piece", "ids_crc32").select(*kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = [b for b in batches if b.num_rows]
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            bins, offsets = best_fit(table["length"].to_pylist(), sequence, open_bins)
-            first = TaskContext.get().partitionId() << 40
-            table = table.append_column("sequence_id", pa.array(np.array(bins, np.int64) + first)).append_column("offset", pa.array(offsets, pa.int64()))
-            yield from table.to_batches()
+        first, bins = TaskContext.get().partitionId() << 40, BestFit(sequence, open_bins)
+        for b in batches:
+            placed = np.array([bins.place(n) for n in b["length"].to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.record_batch([*b.columns, pa.array(placed[:, 0] + first), pa.array(placed[:, 1])], [*b.schema.names, "sequence_id", "offset"])
 
     return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
@@ -199,6 +203,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole documents; null, blank, repeated and very long ones, and an empty table, as in pack_documents()."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

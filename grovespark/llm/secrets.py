@@ -1,8 +1,9 @@
 """Secret scans: a random forest over candidates takes out false positives, with DataFrame functions and MLlib only.
 
-Candidates are long runs of key characters with a digit, or of capitals and digits alone. Features: length, character
-classes and transitions, distinct characters, dictionary coverage (letter runs that are words of the whole corpus), path (the source's share of
-secrets among the labelled findings), and the neighbouring words (key words, and the word's share in the labelled findings).
+Candidates are runs of key characters: of eight at least with a digit, of sixteen at least of mixed or capital letters alone, and of any length
+behind an equals sign or colon after a word that names a secret. Features: length, character classes and transitions, distinct characters, longest letter run, dictionary coverage
+(letter runs that are words of the whole corpus), path (the source's share of secrets among the labelled findings), and the neighbouring
+word (its share). The forest is fitted on findings whose shares come from other folds than their own, so that it never sees its own labels in them.
 """
 
 from __future__ import annotations
@@ -12,35 +13,57 @@ from collections.abc import Callable
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Shortest candidate, labelled findings that are fitted on at most, shortest letter run and least count of a dictionary word.
-SHORTEST, FIT_ROWS, RUN, WORD_COUNT = 16, 20_000, 3, 5
+#: Shortest candidate with a digit, and of letters alone; labelled findings that are fitted on at most, shortest letter run and least count of a dictionary word.
+SHORTEST, LETTERS, FIT_ROWS, RUN, WORD_COUNT = 8, 16, 20_000, 3, 5
 TREES, DEPTH, SEED = 24, 6, 17
+#: Folds of findings by their value: 0 is held out, the others' shares come from one another.
+FOLDS = 5
 CUT = 0.5
 MASK = "[SECRET]"
-CANDIDATE = r"(?=[A-Za-z+/_-]*[0-9]|[A-Z0-9]{16})([A-Za-z0-9+/_-]{16,}={0,2})"
+#: Characters of a key; `=` ends one at most.
+KEY = r"A-Za-z0-9+/_.~-"
 #: Words that name a secret, and forms that providers give theirs.
 NAMES = r"(?:password|passwd|pwd|secret|token|api_?key|apikey|auth|credential|bearer|private)"
-FORMS = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_-]{16,})$"
-FEATURES = ["length", "digits", "capitals", "transitions", "distinct", "longest_run", "coverage", "named", "word_rate", "source_rate"]
+FORMS = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_-]{16,}.*)$"
+FEATURES = ["length", "digits", "capitals", "transitions", "distinct", "longest_run", "coverage", "word_rate", "source_rate"]
+
+
+def letters_before(lead: Column) -> Column:
+    """The nearest letters before a run, lower-cased: what stands last in the lead, of which only the end counts."""
+    return F.regexp_extract(F.lower(F.right(lead, F.lit(64))), r"([\p{L}_]+)[^\p{L}_]*$", 1)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, source, place, value, word): a row for each candidate in each row of docs.
+    """(doc_id, th, source, place, value, word, assigned): a row for each candidate in each row of docs.
 
-    place: the number of its blank-separated word; word: the nearest letters before it among its own word and the two before, lower-cased.
+    place: the number of its blank-separated word; word: the nearest letters before it among the run before it and the two words before, lower-cased;
+    assigned: whether an equals sign or colon parts that word from it. A word is cut into runs by one pass whose every step takes what it reads, so that
+    the time is in proportion to a word's length.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.split(text, C.BLANKS).alias("w"))
-    long = F.expr(f"filter(sequence(0, size(w) - 1), i -> octet_length(w[i]) >= {SHORTEST} and w[i] rlike '[0-9]|[A-Z]{{{SHORTEST}}}')")
-    at = rows.withColumn("place", F.explode(long)).select("doc_id", "th", "source", "place", F.expr("w[place]").alias("own"), F.expr("concat_ws(' ', get(w, place - 2), get(w, place - 1))").alias("before"))
-    found = at.withColumn("value", F.explode(F.array_distinct(F.regexp_extract_all("own", F.lit(CANDIDATE), F.lit(1)))))
-    lead = F.concat_ws(" ", "before", F.expr("substring_index(own, value, 1)"))
-    return found.select("doc_id", "th", "source", "place", "value", F.regexp_extract(F.lower(lead), r"([\p{L}_]+)[^\p{L}_]*$", 1).alias("word"))
+    digits = f"octet_length(w[i]) >= {SHORTEST} and w[i] rlike '[0-9]'"
+    letters = f"octet_length(w[i]) >= {LETTERS} and w[i] rlike '[A-Z]' and (w[i] rlike '[a-z][A-Z]' or w[i] rlike '[A-Z]{{{LETTERS}}}')"
+    behind = "w[i] rlike '[=:]' or (i > 0 and w[i - 1] rlike '[=:]$') or (i > 1 and w[i - 1] in ('=', ':'))"
+    near = f"lower(concat_ws(' ', right(get(w, i - 2), 64), right(get(w, i - 1), 64), left(w[i], 64))) rlike '{NAMES}' or octet_length(w[i]) > 64"
+    worth = F.expr(f"filter(sequence(0, size(w) - 1), i -> ({digits}) or ({letters}) or (({behind}) and ({near})))")
+    at = rows.withColumn("place", F.explode(worth)).select("doc_id", "th", "source", "place", F.expr("w[place]").alias("own"), F.expr("concat_ws(' ', right(get(w, place - 2), 64), right(get(w, place - 1), 64))").alias("before"))
+    steps = F.lit(rf"([^{KEY}]*+)([{KEY}]*+)")
+    cut = at.withColumn("gaps", F.regexp_extract_all("own", steps, F.lit(1))).withColumn("runs", F.regexp_extract_all("own", steps, F.lit(2)))
+    run = cut.select("doc_id", "th", "source", "place", "before", "gaps", "runs", F.posexplode("runs").alias("i", "run")).where("run <> ''")
+    lead = F.expr("case when i = 0 then concat(before, ' ', right(gaps[0], 64)) else concat(right(runs[i - 1], 64), right(gaps[i], 64)) end")
+    ends = F.expr("if(i + 1 < size(gaps) and startswith(gaps[i + 1], '='), if(startswith(gaps[i + 1], '=='), '==', '='), '')")
+    value = F.rtrim(F.col("run"), F.lit("."))
+    found = run.select("doc_id", "th", "source", "place", F.when(ends != "", F.concat("run", ends)).otherwise(value).alias("value"), lead.alias("lead"))
+    found = found.select("doc_id", "th", "source", "place", "value", letters_before(F.col("lead")).alias("word"), F.col("lead").rlike(r"[=:][^\p{L}0-9]*$").alias("assigned"))
+    long = (F.length("value") >= SHORTEST) & F.col("value").rlike("[0-9]")
+    plain = (F.length("value") >= LETTERS) & (F.col("value").rlike(f"^[A-Z]{{{LETTERS}}}") | (F.regexp_count("value", F.lit("[a-z](?=[A-Z])")) >= 3))
+    return found.where("value <> ''").where(long | plain | (F.col("assigned") & F.col("word").rlike(NAMES))).distinct()
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -50,7 +73,7 @@ def dictionary(docs: DataFrame) -> DataFrame:
 
 
 def shapes(found: DataFrame, words: DataFrame) -> DataFrame:
-    """found with the features of each candidate's value and `named`; values that repeat are looked at once."""
+    """found with the features of each candidate's value; values that repeat are looked at once."""
     value, n = F.col("value"), F.length("value")
     runs = F.regexp_extract_all(F.lower(value), F.lit(rf"[a-z]{{{RUN},}}"), F.lit(0))
     values = found.select("value").distinct().withColumn("runs", runs)
@@ -65,13 +88,20 @@ def shapes(found: DataFrame, words: DataFrame) -> DataFrame:
         F.coalesce(F.array_max(F.transform("runs", lambda r: F.length(r))), F.lit(0)).cast("double").alias("longest_run"),
         (F.coalesce("covered", F.lit(0)) / n).alias("coverage"),
     )
-    return found.join(values, "value").withColumn("named", F.col("word").rlike(NAMES).cast("double"))
+    return found.join(values, "value")
 
 
 def labelled_by_form(found: DataFrame) -> DataFrame:
-    """found with label, for corpora without reviewed findings: 1 for values of a provider's form, and for mixed letters and digits after a word that names a secret; else 0."""
-    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    return found.withColumn("label", (F.col("value").rlike(FORMS) | (F.col("word").rlike(NAMES) & mixed)).cast("double"))
+    """A labelled findings table for corpora without reviewed findings: label 1 for values of a provider's form, and for those that are assigned to a word that names a secret; else 0.
+
+    Neither the form nor the assignment is a feature.
+    """
+    return found.withColumn("label", (F.col("value").rlike(FORMS) | (F.col("assigned") & F.col("word").rlike(NAMES))).cast("double"))
+
+
+def fold(value: str = "value") -> Column:
+    """Copies of a value share a fold."""
+    return F.pmod(F.xxhash64(F.lit("fold"), value), F.lit(FOLDS)).cast("int")
 
 
 class Scanner:
@@ -91,8 +121,8 @@ class Scanner:
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Scanner:
-    """Trains on findings with features and a label of 0 or 1; of more than `rows`, the first by hash are used."""
-    known = labelled.where("label is not null").withColumn("_h", F.xxhash64("doc_id", "th", "place", "value"))
+    """Trains on findings with features and a label of 0 or 1 that aren't held out; of more than `rows`, the first by hash are used."""
+    known = labelled.where("label is not null").withColumn("_fold", fold()).where("_fold > 0").withColumn("_h", F.xxhash64("doc_id", "th", "place", "value"))
     total = known.count()
     if total > rows:
         known = known.where(F.col("_h") < int((rows / total * 2 - 1) * 2**63))
@@ -100,46 +130,67 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Scanner:
     seen, ones = known.agg(F.count("*"), F.sum("label")).first()
     rate = (ones or 0.0) / seen if seen else 0.0
 
-    def rates(column: str) -> DataFrame:  # drawn to the general rate by the weight of five findings
-        return C.materialise(known.groupBy(column).agg(((F.sum("label") + 5 * rate) / (F.count("*") + 5)).alias(f"{column}_rate")), "rates")
+    def drawn(ones: Column, n: Column) -> Column:  # to the general rate by the weight of five findings
+        return (ones + 5 * rate) / (n + 5)
+
+    def rates(column: str) -> DataFrame:
+        return C.materialise(known.groupBy(column).agg(drawn(F.sum("label"), F.count("*")).alias(f"{column}_rate")), "rates")
+
+    def other_folds(df: DataFrame, column: str) -> DataFrame:
+        by_fold = known.groupBy(column, "_fold").agg(F.sum("label").alias("_o"), F.count("*").alias("_c"))
+        whole = known.groupBy(column).agg(F.sum("label").alias("_all"), F.count("*").alias("_n"))
+        share = by_fold.join(whole, column).select(column, "_fold", drawn(F.col("_all") - F.col("_o"), F.col("_n") - F.col("_c")).alias(f"{column}_rate"))
+        return df.join(share, [column, "_fold"])
 
     scanner = Scanner(None, rates("word"), rates("source"), rate)
     if 0 < rate < 1:
-        ready = known.join(scanner.words, "word").join(scanner.sources, "source")
+        ready = other_folds(other_folds(known, "word"), "source")
         ready = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(ready).select("_features", "label")
         forest = RandomForestClassifier(featuresCol="_features", labelCol="label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=2, seed=SEED)
         scanner.model = forest.fit(ready)
+    C.remove(known)
     return scanner
 
 
 def scan(docs: DataFrame, label: Callable[[DataFrame], DataFrame] = labelled_by_form) -> DataFrame:
-    """(doc_id, th, place, value, word, features, probability, is_secret): every candidate of every row of docs.
+    """(doc_id, th, place, value, word, features, label, held_out, probability, is_secret): every candidate of every row of docs.
 
-    Null and empty texts have none; a null source is the empty one; ids may be null and repeat; other columns are ignored. An empty table gives an empty one.
+    Null and empty texts have none; a null source is the empty one; ids may be null; a row that repeats in full counts once; words of any length are read in proportion to it; other columns are ignored. An empty table gives an empty one.
     """
     found = C.materialise(candidates(docs), "candidates")
     shaped = C.materialise(shapes(found, dictionary(docs)), "shapes")
-    scored = fit(label(shaped)).score(shaped)
-    return scored.withColumn("is_secret", (F.col("probability") >= CUT).cast("int"))
+    C.remove(found)
+    labelled = label(shaped)
+    scored = fit(labelled).score(labelled)
+    return scored.withColumn("held_out", fold() == 0).withColumn("is_secret", (F.col("probability") >= CUT).cast("int"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each secret's value replaced by a mask in its text, and n_chars counted anew; all rows and columns stay."""
-    secrets = scan(docs).where("is_secret = 1").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("_secrets"))
-    secrets = C.materialise(secrets, "secrets")
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    both = docs.withColumn("_th", th).join(secrets.withColumnRenamed("_th", "_sth"), (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.col("_th") == F.col("_sth")), "left")
-    text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK))))
-    out = both.withColumn("text", text)
+    """docs with each secret's value replaced by a mask in its text, longer ones first, and n_chars counted anew; all rows and columns stay.
+
+    Null and empty texts, and null ids, stay as they are; rows that repeat are masked alike. Columns of any name are kept, as the work's own are named apart from them.
+    """
+    row, secret = C.free_names(docs, "row", "secret")
+    found = scan(docs).where("is_secret = 1").groupBy("doc_id", "th").agg(F.collect_set(F.struct((-F.length("value")).alias("n"), "value")).alias("values"))
+    found = C.materialise(found.select(F.xxhash64("doc_id", "th").alias("k"), "doc_id", "th", F.expr("transform(array_sort(values), v -> v.value)").alias("values")), "secrets")
+    found = found.select(F.struct("k", "doc_id", "th", "values").alias(secret))
+    name = lambda c: F.col(f"`{c}`")
+    th = F.xxhash64(F.coalesce(name("text").cast("string"), F.lit("")))
+    own = F.struct(name("doc_id").cast("long").alias("doc_id"), th.alias("th"))
+    both = docs.withColumn(row, own).join(found, (F.xxhash64(F.col(f"{row}.doc_id"), F.col(f"{row}.th")) == F.col(f"{secret}.k")) & F.col(f"{row}.doc_id").eqNullSafe(F.col(f"{secret}.doc_id")) & (F.col(f"{row}.th") == F.col(f"{secret}.th")), "left")
+    values = F.col(f"{secret}.values")
+    masked = F.aggregate(F.coalesce(values, F.array().cast("array<string>")), name("text").cast("string"), lambda t, s: F.replace(t, s, F.lit(MASK)))
+    text = F.when(values.isNull(), name("text")).otherwise(masked)
+    made = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
-    return out.select(docs.columns)
+        made["n_chars"] = F.when(values.isNull(), name("n_chars")).otherwise(F.char_length(masked).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    return both.select(*(made.get(c, name(c)) for c in docs.columns))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of whole documents with its features and verdict; null, empty and repeated rows as in scan(). held_out: its value was not learned from."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "place", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "word", *FEATURES, "probability", "is_secret")
+    return found.select("doc_id", "place", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "word", *FEATURES, "label", "held_out", "probability", "is_secret")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_secret_scan": op2_secret_scan}

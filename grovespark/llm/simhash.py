@@ -8,7 +8,8 @@ either. So each fingerprint is copied to all anchors within that distance (5.3 a
 Nothing is dropped: within an anchor, fingerprints that agree in one of five parts (4 differing bits leave one of five
 untouched) are compared; long runs by a breadth-first search in which each visited fingerprint is compared only with
 those not yet visited, so that a dense ball of thousands costs few comparisons and gives a spanning forest, never all pairs.
-Anchors with more rows than a multiple of the mean are split: rows are dealt to slices, and each pair of slices is compared in a task of its own.
+An anchor of more than a fixed number of rows is parted: its rows go, five times, to groups by the value of each part, so that a
+group stays small however many fingerprints there are, and any two that can link still meet.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ BLOCKS = ((0, 23), (23, 23), (46, 18))
 PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Runs up to this length are compared pair by pair.
 SHORT_RUN = 48
-#: Rows of one anchor that a task compares; an anchor with more is split, unless it is near the mean.
+#: Rows of one anchor that a task compares; an anchor with more is parted by the values of its parts.
 SLICE_ROWS = 100_000
 
 
@@ -55,14 +56,14 @@ def fingerprint_words(words: list[bytes]) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): a row for each row of docs. Null and blank texts have fingerprint 0; other columns are ignored."""
+    """(doc_id, th, fp): a row for each row of docs; th: its text's hash. Null and blank texts have fingerprint 0; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.chunks(batches):
             fps = [fingerprint_words(t.encode().lower().split()) if t else 0 for t in b["text"].to_pylist()]
-            yield pa.record_batch([b["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([b["doc_id"], b["th"], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def golay_words() -> np.ndarray:
@@ -155,50 +156,47 @@ def forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     return kept
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(u, v): links that connect what is linked among the distinct fingerprints of the column fp; u < v."""
     spark = distinct.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.select("fp").repartition(parts, "fp")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codewords = golay_words()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codewords, total = golay_words(), np.zeros(len(BLOCKS) << 12, np.int64)
         for b in batches:
             if b.num_rows:
-                keys, fps = to_anchors(b["fp"].to_numpy(zero_copy_only=False).view(np.uint64), codewords)
-                yield pa.record_batch([pa.array(keys.astype(np.int64)), pa.array(fps.view(np.int64))], ["anchor", "fp"])
+                total += np.bincount(to_anchors(b["fp"].to_numpy().view(np.uint64), codewords)[0], minlength=len(total))
+        yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["anchor", "n"])
 
-    copies = distinct.select("fp").mapInArrow(spread, "anchor long, fp long")
     # 3 x 4096 counts at most, whatever the input's size
-    sizes = {r["anchor"]: r["n"] for r in copies.groupBy("anchor").agg(F.count("*").alias("n")).collect()}
-    most = max(SLICE_ROWS, 4 * sum(sizes.values()) // max(1, len(sizes)))
-    slices = {a: -(-2 * n // most) for a, n in sizes.items() if n > most}
+    sizes = dealt.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > slice_rows).collect()
+    large = np.array(sorted(r["anchor"] for r in sizes), np.int64)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the task: an anchor, or two slices of one; each two slices meet once."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(task, fp): the task is an anchor; of a large one, each part's number and value with it."""
+        codewords = golay_words()
         for b in batches:
-            a, f = (b[c].to_numpy(zero_copy_only=False) for c in ("anchor", "fp"))
-            task = a << 32
-            hot = np.isin(a, list(slices)) if slices else np.zeros(len(a), bool)
-            more_t, more_f = [task[~hot]], [f[~hot]]
-            for key in np.unique(a[hot]).tolist():
-                n, own = slices[key], f[a == key]
-                mine = (C.mix64(own.view(np.uint64)) % np.uint64(n)).astype(np.int64)
-                for other in range(n):
-                    lo, hi = np.minimum(mine, other), np.maximum(mine, other)
-                    more_t.append((key << 32) + lo * n + hi + 1)
-                    more_f.append(own)
-            t, f = np.concatenate(more_t), np.concatenate(more_f)
-            yield pa.record_batch([pa.array(t), pa.array(f)], ["task", "fp"])
+            if b.num_rows:
+                keys, fps = to_anchors(b["fp"].to_numpy().view(np.uint64), codewords)
+                keys = keys.astype(np.int64) << 32
+                hot = np.isin(keys >> 32, large)
+                tasks, values = [keys[~hot]], [fps[~hot]]
+                for k, (first, width) in enumerate(PARTS):
+                    own = (fps[hot] >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int64)
+                    tasks.append(keys[hot] + (k + 1 << 16) + own)
+                    values.append(fps[hot])
+                yield pa.record_batch([pa.array(np.concatenate(tasks)), pa.array(np.concatenate(values).view(np.int64))], ["task", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fps in groups(batches, "task", "fp"):
-            found = links_within(np.unique(fps.view(np.uint64)))
+            found = links_within(np.unique(fps.view(np.uint64))) if len(fps) > 1 else []
             if found:
                 pairs = np.array(found, np.uint64).view(np.int64)
                 yield pa.record_batch([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["u", "v"])
 
-    dealt = copies.mapInArrow(deal, "task long, fp long").repartition(parts, "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(compare, "u long, v long").distinct()
+    copies = dealt.mapInArrow(spread, "task long, fp long").repartition(parts, "task").sortWithinPartitions("task")
+    return copies.mapInArrow(compare, "u long, v long").distinct()
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str, value: str) -> Iterator[np.ndarray]:
@@ -255,7 +253,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = small
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    out = C.materialise(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "roots")
+    C.remove(now)
+    return out
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, fp) of each row of docs, and (fp, root) of each distinct fingerprint: root names its component. Both are tables."""
+    fps = C.materialise(fingerprints(docs), "fingerprints")
+    nodes = C.materialise(fps.select("fp").distinct(), "nodes")
+    roots = components(links(nodes))
+    rooted = C.materialise(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+    C.remove(roots)
+    C.remove(nodes)
+    return fps, rooted
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -265,27 +276,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits. Equal fingerprints are one node. A null doc_id never is the smallest; a component of none but null ids has a
     null component_id. An empty table gives an empty one; further columns are ignored.
     """
-    fps = C.materialise(fingerprints(docs), "fingerprints")
-    nodes = C.materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = C.materialise(rooted, "rooted")
-    least = C.materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    named = C.materialise(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "named")
+    fps, rooted = grouped(docs)
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = C.materialise(first.join(rooted, "fp"), "first")
+    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = C.materialise(first.select("fp", "root").join(least, "root").select("fp", "component_id"), "named")
+    C.remove(rooted)
+    C.remove(first)
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: that with the smallest doc_id. Of rows that repeat that doc_id, one stays.
+    """One row of each component stays: that of the smallest doc_id (null after all others), of those the one whose text has the smallest hash.
 
-    Columns are those of docs. Rows with a null doc_id are never dropped.
+    Rows that repeat an id with other texts are rows of their own, and may stay or go apart. Of rows with the same id and text, the one whose columns have the smallest hash stays.
+    Null and blank texts are one group. Columns are those of docs, whatever their names; an empty table gives an empty one.
     """
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(C.materialise(found, "kept"), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    row, = C.free_names(docs, "row")
+    fps, rooted = grouped(docs)
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    kept = C.materialise(first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.xxhash64("first.doc_id", "first.th").alias("k"), "first.doc_id", "first.th"), "kept")
+    C.remove(fps)
+    C.remove(rooted)
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    marked = docs.withColumn(row, own)
+    found = kept.select(F.struct("k", "doc_id", "th").alias("kept"))
+    mine = F.xxhash64(F.col(f"{row}.doc_id"), F.col(f"{row}.th"))
+    same = (mine == F.col("kept.k")) & F.col(f"{row}.doc_id").eqNullSafe(F.col("kept.doc_id")) & F.col(f"{row}.th").eqNullSafe(F.col("kept.th"))
+    stays = marked.join(found, same, "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = stays.groupBy(row).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("kept"))
+    return one.select("kept.*")
 
 
 def op6_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of whole documents with its fingerprint and component; nulls, blanks, repeated ids and an empty table as in near_duplicates()."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
