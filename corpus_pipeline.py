@@ -13,27 +13,27 @@ MIX_SHARE = 0.9
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go; null and empty texts score as empty ones, and repeated rows alike. An empty table gives an empty one."""
     return toxicity.keep_clean(docs, toxicity.fit_folds(spark, docs, sf_dir))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays; null and blank texts are one group. Null ids, ties and repeats as in simhash.keep_first()."""
     return simhash.keep_first(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; all documents stay."""
+    """Secrets are masked; all documents stay, also repeated, null and empty ones."""
     return secrets.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within their leaf's budget stay."""
-    return mixing.select(docs, share=MIX_SHARE, epochs=1).select(docs.columns)
+    """Documents within their leaf's budget stay, unchanged. Nulls, empty texts, ties and repeats as in mixing.select()."""
+    return mixing.select(docs, share=MIX_SHARE, epochs=1).select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequences and places."""
+    """Pieces with their sequences and places; null and empty texts are the end id alone, and repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
@@ -50,7 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Each stage's table is removed once the next one has read it; the packing stage has written its pieces when it returns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = common.materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            common.remove(before)
+        before = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    common.remove(docs)
+    return out
