@@ -3,7 +3,7 @@
 The index is a set of immutable runs of historical window hashes, each bucketed and sorted by anchor: the least 24-word gram of a window, which
 equal windows share. A run's row has the hashes of the consecutive windows of one anchor (13 on average), and the first place that
 they were met at; so all windows of all documents are in it, at some five bytes each. A batch becomes a run, which is merge-joined with the
-history's, bucket by bucket, without moving any: a window repeats if it starts in an earlier document of the batch or of history. Runs are compacted into
+history's, bucket by bucket, without moving history: a window repeats if it starts in an earlier document of the batch or of history. Runs are compacted into
 one as soon as there are several of a level.
 
 What matches by hash (64 bits of the anchor, 32 of the window) is verified by SHA-256 of the words at both places before it counts.
@@ -183,7 +183,7 @@ class FingerprintIndex:
         own = C.materialise(occurrences(rows, self.hash_bits), "occurrences")
         lists = own.where("hi is not null").select("a", "k", "hs", F.struct("at", "th", "start").alias("first"), "hi").repartition(self.buckets, "a")
         batch = self.write(self.least(lists))
-        found = C.materialise(self.repeats(batch), "found")
+        found = self.repeats(batch)
         places = own.select("k", "at", "th", "start").join(found, "k").select("at", "th", "start", F.explode("parts").alias("p")).where("p.fat < at")
         part = F.struct((F.col("start") + F.col("p.i")).alias("s"), F.col("p.n").alias("n"), F.col("p.fat").alias("fat"), F.col("p.fth").alias("fth"), F.col("p.fs").alias("fs"))
         out = C.materialise(places.groupBy("at", "th").agg(F.collect_list(part).alias("parts")), "matches")
@@ -194,21 +194,34 @@ class FingerprintIndex:
         return out
 
     def repeats(self, batch: str) -> DataFrame:
-        """(k, parts): for windows of the batch that start in an earlier document too; parts: (i, n, fat, fth, fs), consecutive windows that go on in one document."""
-        columns = ["a", F.lit(None).cast("long").alias("k"), "hs", "first", F.lit(None).cast("long").alias("hi")]
-        both = self.spark.table(batch).select("a", "k", "hs", "first", "hi")
-        for name in [r for level in self.levels for r in level]:
-            both = both.unionByName(self.spark.table(name).select(*columns))
-        anchor = Window.partitionBy("a")
-        both = both.withColumn("lo", F.min("first.at").over(anchor)).withColumn("top", F.max("hi").over(anchor)).where("lo < top")
-        each = both.select("a", "k", "hi", "first", F.posexplode("hs").alias("i", "h"))
-        place = F.struct(F.col("first.at").alias("fat"), F.col("first.th").alias("fth"), (F.col("first.start") + F.col("i")).alias("fs"))
-        each = each.withColumn("f", F.min(place).over(Window.partitionBy("a", "h"))).where("k is not null and f.fat < hi")
-        each = each.select("k", "i", "f.fat", "f.fth", (F.col("f.fs") - F.col("i")).alias("shift"))
+        """(k, parts): for windows of the batch that start in an earlier document too; parts: (i, n, fat, fth, fs), consecutive windows that go on in one document.
+
+        Runs are joined by anchor where their buckets lie; only what shares its anchor with an earlier document is exploded into windows.
+        """
+        history = [self.spark.table(r) for level in self.levels for r in level]
+        own, anchor = self.spark.table(batch), Window.partitionBy("a")
+        own = own.withColumn("lo", F.min("first.at").over(anchor)).withColumn("top", F.max("hi").over(anchor))
+        for run in history:
+            own = own.join(run.groupBy("a").agg(F.min("first.at").alias("before")), "a", "left").withColumn("lo", F.least("lo", "before")).drop("before")
+        own = C.materialise(own.where("lo < top").select("a", "k", "hs", "first", "hi"), "shared")
+
+        def windows(lists: DataFrame, *columns: str) -> DataFrame:
+            each = lists.select("a", "first", *columns, F.posexplode("hs").alias("i", "h"))
+            return each.withColumn("f", F.struct(F.col("first.at").alias("fat"), F.col("first.th").alias("fth"), (F.col("first.start") + F.col("i")).alias("fs"))).drop("first")
+
+        each = windows(own, "k", "hi").withColumn("f", F.min("f").over(Window.partitionBy("a", "h")))
+        anchors = own.select("a").distinct()
+        for run in history:
+            theirs = windows(run.join(anchors, "a", "left_semi")).groupBy("a", "h").agg(F.min("f").alias("g"))
+            each = each.join(theirs, ["a", "h"], "left").withColumn("f", F.least("f", "g")).drop("g")
+        each = each.where("f.fat < hi").select("k", "i", "f.fat", "f.fth", (F.col("f.fs") - F.col("i")).alias("shift"))
         keys = ["k", "fat", "fth", "shift"]
         each = each.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(*keys).orderBy("i")))
         parts = each.groupBy(*keys, "island").agg(F.min("i").alias("i"), F.count("*").cast("int").alias("n"))
-        return parts.groupBy("k").agg(F.collect_list(F.struct("i", "n", "fat", "fth", (F.col("shift") + F.col("i")).alias("fs"))).alias("parts"))
+        parts = parts.groupBy("k").agg(F.collect_list(F.struct("i", "n", "fat", "fth", (F.col("shift") + F.col("i")).alias("fs"))).alias("parts"))
+        out = C.materialise(parts, "found")
+        C.remove(own)
+        return out
 
 
 PART = "struct<s:int,n:int,fat:bigint,fth:bigint,fs:int>"
