@@ -296,7 +296,7 @@ def digests(files: DataFrame) -> DataFrame:
                 try:
                     media = parse(data or b"\0")
                 except BROKEN:
-                    rows.append((None, None, None, data and len(data), data and hashlib.sha256(data).hexdigest(), None))
+                    rows.append((None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None))
                     continue
                 samples = read_samples(data, media)
                 rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ALIGN:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, samples)))

@@ -13,6 +13,8 @@ import xxhash
 import corpus_pipeline as P
 from grovespark.llm import mixing, packing, secrets, toxicity
 
+from test_operators import plain_vector
+
 DATA = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -42,16 +44,15 @@ def test_columns_stay(steps):
 def test_toxicity(spark, steps):
     before, after = steps["toxicity"]
     index = toxicity.fit_folds(spark, before, DATA)
+    rows = by_id(before)
+    examples = [plain_vector(index, rows[i]["text"]) for i in index.doc_ids.tolist()]
     want = set()
-    for i, r in by_id(before).items():
-        query = index.vector(toxicity.terms_of(r["text"]))
-        cosine = defaultdict(float)
-        for (block, term), (at, weights) in index.postings.items():
-            for p, w in zip(at.tolist(), weights.tolist()):
-                cosine[block * toxicity.BLOCK + p] += w * query.get(term, 0)
-        near = sorted(((s, p) for p, s in cosine.items() if s > 0), key=lambda x: (-x[0], x[1]))[: toxicity.NEIGHBOURS]
-        share = sum(s * s * index.labels[p] for s, p in near) + 0.5 * index.prior
-        score = np.interp(share / (sum(s * s for s, _ in near) + 0.5), *index.curve) if near else index.zero_rate
+    for i, r in rows.items():
+        query = plain_vector(index, r["text"])
+        cosine = [(sum(w * query.get(f, 0) for f, w in v.items()), p) for p, v in enumerate(examples)]
+        near = sorted(((s, p) for s, p in cosine if s > 0), key=lambda x: (-round(x[0], 12), x[1]))[: toxicity.NEIGHBOURS]
+        share = sum(s * s * index.labels[p] for s, p in near) + toxicity.PRIOR_WEIGHT * index.prior
+        score = np.interp(share / (sum(s * s for s, _ in near) + toxicity.PRIOR_WEIGHT), *index.curve)
         if score < toxicity.CUT:
             want.add(i)
     assert set(by_id(after)) == want and 0 < len(want)
@@ -86,12 +87,12 @@ def test_secrets(steps):
     rows, kept, plain = by_id(before), by_id(after), set()
     for i, r in rows.items():
         for k, w in enumerate(re.split(r"[\x20\x09-\x0D]+", r["text"] or "")):
-            plain |= {(i, k, v) for v in re.findall(secrets.CANDIDATE, w)}
+            plain |= {(i, k, v.rstrip(".") if not v.endswith("=") else v) for v in re.findall(f"[{secrets.KEY}]+={{0,2}}", w) if len(v.rstrip(".")) >= secrets.SHORTEST and re.search("[0-9]", v)}
         text = r["text"]
-        for v in sorted(set(want[i]), reverse=True):
+        for v in sorted(set(want[i]), key=lambda v: (-len(v), v)):
             text = text.replace(v, secrets.MASK)
         assert kept[i]["text"] == text and kept[i]["n_chars"] == (len(text) if want[i] else r["n_chars"])
-    assert found == plain and set(kept) == set(rows) and any(want.values())
+    assert {f for f in found if len(f[2]) >= secrets.SHORTEST and re.search("[0-9]", f[2])} == plain and set(kept) == set(rows) and any(want.values())
 
 
 def poured(budget, capacity, weight):
