@@ -60,3 +60,14 @@ def unit(points: DataFrame) -> DataFrame:
     """Scales each cloud into the unit box; a span counts as 1e-6 at least."""
     box = per_cloud(points)
     return points.join(box, "cloud_id").select(*points.columns[:2], *((((F.col(a) - F.col(f"min_{a}")) / F.greatest(F.col(f"max_{a}") - F.col(f"min_{a}"), F.lit(1e-6))).alias(a)) for a in AXES))
+
+
+def plot_trees(points: DataFrame, least: float = 1.4) -> DataFrame:
+    """(source, tree_id, inside, species, n, height, path): the trees of plots, by their plot and number.
+
+    points: source, tree_id, point_id, species, inside, x, y, z. A tree has the species and the inside mark of its first point. Tree 0, species 0 and trees below `least` are background.
+    """
+    trees = points.where("tree_id <> 0").groupBy("source", "tree_id")
+    first = trees.agg(F.min_by(F.struct("species", "inside"), "point_id").alias("f"), F.count("*").alias("n"), (F.max("z") - F.min("z")).alias("height"))
+    path = F.concat(F.concat_ws("_", "source", "tree_id", "f.inside", "f.species"), F.lit(".npy"))
+    return first.where((F.col("f.species") != 0) & (F.col("height") >= least)).select("source", "tree_id", "f.inside", "f.species", "n", "height", path.alias("path"))

@@ -105,8 +105,21 @@ def running_best(history: DataFrame, by: str, order: str, score: str) -> DataFra
 
 
 def objective(history: DataFrame, by: str, accuracy_: str, loss: str) -> DataFrame:
-    """(trial, objective): 0.6 of the best accuracy and 0.4 / (1 + least loss)."""
-    return history.groupBy(by).agg((0.6 * F.max(accuracy_) + 0.4 / (1 + F.min(loss))).alias("objective"))
+    """(trial, objective): 0.6 of the best accuracy and 0.4 / (1 + least loss). A trial with a loss that isn't finite is pruned."""
+    odd = F.isnan(loss) | (F.abs(F.col(loss)) == float("inf")) | F.col(loss).isNull()
+    rows = history.groupBy(by).agg((0.6 * F.max(accuracy_) + 0.4 / (1 + F.min(loss))).alias("objective"), F.max(odd).alias("_odd"))
+    return rows.where("not _odd").drop("_odd")
+
+
+def best_trial(objectives: DataFrame, by: str) -> DataFrame:
+    """One row: the trial of the largest objective, the first of equal ones; none where there are no trials."""
+    return objectives.agg(F.max(F.struct("objective", (-F.col(by)).alias("_k"))).alias("b")).where("b is not null").select((-F.col("b._k")).alias(by), "b.objective")
+
+
+def case_score(history: DataFrame, by: str, step: str, accuracy_: str, loss: str) -> DataFrame:
+    """(trial, score): 0.6 of the accuracy and 0.4 / (1 + loss) of the last step."""
+    last = history.groupBy(by).agg(F.max_by(F.struct(F.col(accuracy_).alias("a"), F.col(loss).alias("l")), step).alias("e"))
+    return last.select(by, (0.6 * F.col("e.a") + 0.4 / (1 + F.col("e.l"))).alias("score"))
 
 
 def pruned(history: DataFrame, by: str, step: str, value: str, startup: int, warmup: int) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from .ranks import by_draw, numbered
 
 SPLITS = ("train", "test", "val")
 
@@ -56,13 +57,20 @@ def named(clouds: DataFrame, names: DataFrame) -> DataFrame:
 
 def split(clouds: DataFrame, label: str, seed: str = "split", train: float = 0.7, test: float = 2 / 3) -> DataFrame:
     """Adds split: within each label, by a seeded hash, the first round(n * train) train, then that share of the rest test, the rest val."""
-    family = Window.partitionBy(label)
-    place = F.row_number().over(family.orderBy(rng.uniform(seed, "cloud_id"), "cloud_id"))
-    n = F.count("*").over(family)
-    first = F.floor(n * train + 0.5)
-    second = F.floor((n - first) * test + 0.5)
-    out = clouds.withColumn("_p", place).withColumn("_a", first).withColumn("_b", first + second)
-    return out.withColumn("split", F.when(F.col("_p") <= F.col("_a"), "train").when(F.col("_p") <= F.col("_b"), "test").otherwise("val")).drop("_p", "_a", "_b")
+    draw = rng.uniform(seed, "cloud_id")
+    placed = numbered(clouds, [label], [draw, F.col("cloud_id")], "_p", by_draw(draw))
+    n = clouds.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    first = F.floor(F.col("_n") * train + 0.5)
+    n = n.withColumn("_a", first).withColumn("_b", first + F.floor((F.col("_n") - first) * test + 0.5))
+    out = placed.join(n, F.col(label).eqNullSafe(F.col("_label")))
+    return out.withColumn("split", F.when(F.col("_p") <= F.col("_a"), "train").when(F.col("_p") <= F.col("_b"), "test").otherwise("val")).select(*clouds.columns, "split")
+
+
+def split_safe(clouds: DataFrame, label: str, seed: str = "split") -> DataFrame:
+    """split(), or the same without regard to labels if some label has one cloud only."""
+    guard = can_stratify(clouds, label).select("stratify")  # one row
+    family = clouds.crossJoin(F.broadcast(guard)).withColumn("_family", F.when(F.col("stratify"), F.col(label).cast("string")).otherwise("all"))
+    return split(family.drop("stratify"), "_family", seed).drop("_family")
 
 
 def can_stratify(clouds: DataFrame, label: str) -> DataFrame:
@@ -86,18 +94,36 @@ def rebalanced(clouds: DataFrame, desired: tuple[float, float, float] = (0.7, 0.
     give, take = F.greatest("excess", F.lit(0)), F.greatest(-F.col("excess"), F.lit(0))
     plan = plan.withColumn("give", give).withColumn("give_to", F.sum(give).over(order)).withColumn("take", take).withColumn("take_to", F.sum(take).over(order))
     givers = plan.where("give > 0").select("split", "give", (F.col("give_to") - F.col("give")).alias("base"))
-    takers = plan.where("take > 0").select(F.struct((F.col("take_to") - F.col("take")).alias("lo"), F.col("take_to").alias("hi"), F.col("split").alias("to")).alias("t")).agg(F.collect_list("t").alias("takers")).withColumn("one", F.lit(1))
-    rank = F.row_number().over(Window.partitionBy("split").orderBy(rng.uniform(seed, "cloud_id"), "cloud_id"))
-    moved = clouds.withColumn("rank", rank).join(givers, "split", "left").withColumn("at", F.when(F.col("rank") <= F.col("give"), F.col("base") + F.col("rank"))).withColumn("one", F.lit(1)).join(takers, "one", "left")
+    takers = plan.where("take > 0").select(F.struct((F.col("take_to") - F.col("take")).alias("lo"), F.col("take_to").alias("hi"), F.col("split").alias("to")).alias("t")).agg(F.collect_list("t").alias("takers"))
+    draw = rng.uniform(seed, "cloud_id")
+    moved = numbered(clouds, ["split"], [draw, F.col("cloud_id")], "rank", by_draw(draw)).join(givers, "split", "left").withColumn("at", F.when(F.col("rank") <= F.col("give"), F.col("base") + F.col("rank"))).crossJoin(F.broadcast(takers))  # one row
     to = F.get(F.filter("takers", lambda t: (F.col("at") > t.lo) & (F.col("at") <= t.hi)), F.lit(0))
     return moved.withColumn("new_split", F.coalesce(to["to"], F.col("split"))).select(*clouds.columns, "new_split")
 
 
 def metadata_files(clouds: DataFrame) -> DataFrame:
     """(file_num, file_name, label, species, folder_name), numbered by path from 0 within the whole set."""
-    return clouds.select((F.row_number().over(Window.orderBy("path", "cloud_id")) - 1).alias("file_num"), F.col("path").alias("file_name"), "label", "species", F.col("split").alias("folder_name"))
+    placed = numbered(clouds, [], ["path", "cloud_id"], "_place")
+    return placed.select((F.col("_place") - 1).cast("int").alias("file_num"), F.col("path").alias("file_name"), "label", "species", F.col("split").alias("folder_name"))
 
 
 def metadata_counts(clouds: DataFrame) -> DataFrame:
     """(label, species, count_train, count_test, count_val): a missing split counts 0."""
     return clouds.groupBy("label", "species").agg(*(F.count(F.when(F.col("split") == s, 1)).alias(f"count_{s}") for s in SPLITS))
+
+
+def of_label(clouds: DataFrame, label: int) -> DataFrame:
+    """The clouds whose file's name ends with the label."""
+    return clouds.where(F.endswith(F.col("path"), F.lit(f"_{label}.npy")))
+
+
+def required(table: DataFrame, columns: list[str]) -> DataFrame:
+    """The table itself, if it has the columns; else an error that names those missing."""
+    if missing := sorted(set(columns) - set(table.columns)):
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return table
+
+
+def coerced(label: Column) -> Column:
+    """The one number of a list; an error for lists of any other length."""
+    return F.when(F.size(label) == 1, F.element_at(label, 1)).otherwise(F.raise_error(F.lit("a label is one number")).cast("int"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import between, normal, uniform
 from ..session import cut
 from .clean import per_cloud, safe
+from .ranks import numbered
 
 SURVIVORS = 64
 
@@ -47,8 +48,8 @@ def farthest(points: DataFrame, n: int) -> DataFrame:
 def class_weights(rows: DataFrame, power: float = 0.45) -> DataFrame:
     """(label, n, weight): (rows / (labels * n)) ^ power, the library's own definition."""
     n = rows.groupBy("label").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"), F.count("*").alias("k")).withColumn("one", F.lit(1))
-    return n.withColumn("one", F.lit(1)).join(total, "one").select("label", "n", F.pow(F.col("total") / (F.col("k") * F.col("n")), F.lit(power)).alias("weight"))
+    total = n.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
+    return n.crossJoin(F.broadcast(total)).select("label", "n", F.pow(F.col("total") / (F.col("k") * F.col("n")), F.lit(power)).alias("weight"))
 
 
 def weighted(rows: DataFrame, draws: DataFrame, scale: int = 1_000_000) -> DataFrame:
@@ -58,11 +59,11 @@ def weighted(rows: DataFrame, draws: DataFrame, scale: int = 1_000_000) -> DataF
     """
     w = class_weights(rows).select("label", "n", F.round(F.col("weight") * scale).cast("long").alias("w"))
     w = w.withColumn("upto", F.sum(F.col("w") * F.col("n")).over(Window.partitionBy(F.lit(0)).orderBy("label")))
-    table = w.agg(F.sort_array(F.collect_list(F.struct("upto", "label", "w", "n"))).alias("t"), F.max("upto").alias("total")).withColumn("one", F.lit(1))
-    at = draws.withColumn("one", F.lit(1)).join(table, "one").withColumn("at", F.floor(F.col("u") * F.col("total")))
+    table = w.agg(F.sort_array(F.collect_list(F.struct("upto", "label", "w", "n"))).alias("t"), F.max("upto").alias("total"))
+    at = draws.crossJoin(F.broadcast(table)).withColumn("at", F.floor(F.col("u") * F.col("total")))  # one row
     at = at.withColumn("c", F.get(F.filter("t", lambda s: s.upto > F.col("at")), F.lit(0)))
     at = at.select("draw", F.col("c.label").alias("label"), (F.floor((F.col("at") - (F.col("c.upto") - F.col("c.w") * F.col("c.n"))) / F.col("c.w")) + 1).cast("long").alias("rank"))
-    ranked = rows.select("label", "id", F.row_number().over(Window.partitionBy("label").orderBy("id")).cast("long").alias("rank"))
+    ranked = numbered(rows.select("label", "id"), ["label"], ["id"], "rank")
     return at.join(ranked, ["label", "rank"]).select("draw", "id", "label")
 
 
@@ -87,6 +88,7 @@ def scale(points: DataFrame, low: float = 0.9, high: float = 1.1) -> DataFrame:
     return points.select("cloud_id", "point_id", *((F.col(a) * between("s" + a, low, high, "cloud_id")).alias(a) for a in "xyz"))
 
 
+#: Ranges of the scale by axis.
 RANGES = {"x": (0.85, 1.25), "y": (0.85, 1.25), "z": (0.82, 1.32)}
 
 
@@ -179,22 +181,25 @@ def sign(seed: str) -> Column:
 
 
 def stem(points: DataFrame) -> DataFrame:
-    """A neighbour's stem: points of a line beside the cloud. (cloud_id, k, x, y, z)"""
+    """A neighbour's stem: points of a line beside the cloud's mean place. (cloud_id, k, x, y, z)"""
     rows = added(points, "st", 0.02, 0.16, 32)
-    cx, cy = (F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2
-    x = cx + sign("sts") * between("stx", 0.30, 0.65, "cloud_id") * span("x") + 0.012 * span("x") * normal("stnx", "cloud_id", "k")
-    y = cy + between("sty", -0.30, 0.30, "cloud_id") * span("y") + 0.012 * span("y") * normal("stny", "cloud_id", "k")
+    x = F.col("mean_x") + sign("sts") * between("stx", 0.30, 0.65, "cloud_id") * span("x") + 0.012 * span("x") * normal("stnx", "cloud_id", "k")
+    y = F.col("mean_y") + between("sty", -0.30, 0.30, "cloud_id") * span("y") + 0.012 * span("y") * normal("stny", "cloud_id", "k")
     return rows.select("cloud_id", "k", x.alias("x"), y.alias("y"), (F.col("min_z") + uniform("stz", "cloud_id", "k") * span("z")).alias("z"))
 
 
+#: Offsets from the box's middle and spreads of outlier clusters, by span.
+OUTLIERS = {"x": ((-0.6, 0.6), 0.06), "y": ((-0.6, 0.6), 0.06), "z": ((-0.08, 0.75), 0.09)}
+
+
 def outliers(points: DataFrame) -> DataFrame:
-    """One to three clusters of stray points. (cloud_id, k, x, y, z)"""
-    rows = added(points, "ou", 0.01, 0.09, 16)
-    cluster = (F.col("k") % (1 + F.floor(uniform("ouc", "cloud_id") * 3))).cast("int")
-    rows = rows.withColumn("c", cluster)
+    """One to three clusters of stray points, each of the same number, 4 at least, about the box's middle. (cloud_id, k, x, y, z)"""
+    rows = added(points, "ou", 0.01, 0.09, 16).groupBy("cloud_id", *(f"{m}_{a}" for a in "xyz" for m in ("min", "max"))).agg(F.max("k").alias("total"))
+    rows = rows.withColumn("clusters", 1 + F.floor(uniform("ouc", "cloud_id") * 3)).withColumn("each", F.greatest(F.lit(4), F.expr("total div clusters")))
+    rows = rows.withColumn("k", F.explode(F.expr("sequence(1, cast(clusters * each as int))"))).withColumn("c", F.expr("cast((k - 1) div each as int)"))
     out = []
-    for a, (low, high), s in (("x", (-0.6, 0.6), 0.06), ("y", (-0.6, 0.6), 0.06), ("z", (-0.08, 0.75), 0.09)):
-        middle = F.col("min_z") if a == "z" else (F.col(f"min_{a}") + F.col(f"max_{a}")) / 2
+    for a, ((low, high), s) in OUTLIERS.items():
+        middle = (F.col(f"min_{a}") + F.col(f"max_{a}")) / 2
         out.append((middle + between("ou" + a, low, high, "cloud_id", "c") * span(a) + between("os" + a, 0.01, s, "cloud_id", "c") * span(a) * normal("on" + a, "cloud_id", "k")).alias(a))
     return rows.select("cloud_id", "k", *out)
 
@@ -212,6 +217,7 @@ def crown_leak(points: DataFrame) -> DataFrame:
     return draws.join(ranked, ["cloud_id", "rank"]).select("cloud_id", "point_id", "k", x.alias("x"), y.alias("y"), z.alias("z"))
 
 
+#: The chance of a second copy, and ranges of a copy's scale.
 SECOND_COPY = 0.05 / 0.33
 COPY_RANGES = {"x": (0.90, 1.15), "y": (0.90, 1.15), "z": (0.88, 1.18)}
 

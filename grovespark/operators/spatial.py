@@ -24,15 +24,15 @@ def tile_grid(points: DataFrame, size: float) -> DataFrame:
     for a in "xy":
         box = box.withColumn(f"n{a}", F.greatest(F.lit(1), F.ceil((F.col(f"hi{a}") - F.col(f"lo{a}")) / size).cast("int")))
         box = box.withColumn(f"o{a}", (F.col(f"lo{a}") + F.col(f"hi{a}")) / 2 - F.col(f"n{a}") * size / 2)
-    return box.select("ox", "oy", "nx", "ny", F.lit(1).alias("one"))
+    return box.select("ox", "oy", "nx", "ny")
 
 
 def tile_of(rows: DataFrame, grid: DataFrame, size: float) -> DataFrame:
     """Adds ix, iy: cut towards zero, and the last tile for what lies beyond it; what lies before the first has no tile, and is dropped."""
-    placed = rows.withColumn("one", F.lit(1)).join(grid, "one")
+    placed = rows.crossJoin(F.broadcast(grid))  # one row
     for a in "xy":
         placed = placed.withColumn(f"i{a}", F.least(((F.col(a) - F.col(f"o{a}")) / size).cast("int"), F.col(f"n{a}") - 1))
-    return placed.where("ix >= 0 and iy >= 0").drop("one", "ox", "oy", "nx", "ny")
+    return placed.where("ix >= 0 and iy >= 0").drop("ox", "oy", "nx", "ny")
 
 
 def tile_species(stands: DataFrame, grid: DataFrame, size: float) -> DataFrame:
@@ -64,6 +64,61 @@ def resolve(clouds: DataFrame, counts: DataFrame, model_based: bool = False, bir
     return both.withColumn("species", species).drop("top", "own")
 
 
+def resolve_all(clouds: DataFrame, placed: DataFrame, counts: DataFrame, empty: int = T.BAD_SPECIES) -> DataFrame:
+    """resolve() of all clouds (cloud_id, genus): those without points are badly segmented, those off the map have no counts. placed: (cloud_id, ix, iy) of those on it; points: whether a cloud has any."""
+    on = clouds.join(placed.select("cloud_id", "ix", "iy"), "cloud_id", "left")
+    return resolve(on, counts).withColumn("species", F.when(F.col("has_points"), F.col("species")).otherwise(empty))
+
+
+def cells(low: Column, high: Column, size: float) -> Column:
+    """The numbers of the cells that an interval touches."""
+    return F.sequence(F.floor(low / size), F.floor(high / size))
+
+
+def near_stands(spots: DataFrame, stands: DataFrame, size: float) -> DataFrame:
+    """(spot_id, stand_id, species_code): stands within the box of that size about each spot, borders included. Cells of that size become equi-join keys."""
+    half = size / 2
+    keys = spots.withColumn("cx", F.explode(cells(F.col("x") - half, F.col("x") + half, size))).withColumn("cy", F.explode(cells(F.col("y") - half, F.col("y") + half, size)))
+    own = stands.select("stand_id", "species_code", F.col("x").alias("sx"), F.col("y").alias("sy"), F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    inside = (F.abs(F.col("sx") - F.col("x")) <= half) & (F.abs(F.col("sy") - F.col("y")) <= half)
+    return keys.join(own, ["cx", "cy"]).where(inside).select("spot_id", "stand_id", "species_code")
+
+
+def find_species(spots: DataFrame, stands: DataFrame, size: float) -> DataFrame:
+    """spots (spot_id, x, y, genus) with species, by the stands about each, without any map."""
+    found = near_stands(spots, stands, size).withColumn("species", species_of_code(F.col("species_code"))).where("species is not null")
+    counts = found.groupBy(F.col("spot_id").alias("ix"), "species").agg(F.count("*").alias("n"), F.min("stand_id").alias("first_seen")).withColumn("iy", F.lit(0))
+    own = spots.withColumn("ix", F.col("spot_id")).withColumn("iy", F.lit(0))
+    return resolve(own, counts).select("spot_id", "genus", "species")
+
+
+def regions_of(spots: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """spots (spot_id, x, y) with region and collection: the first box by its number that holds the spot, and the region's collection; null where there is none.
+
+    boxes: (box_id, region, lox, hix, loy, hiy), put under the cells of that size that they touch.
+    """
+    keyed = boxes.withColumn("cx", F.explode(cells(F.col("lox"), F.col("hix"), size))).withColumn("cy", F.explode(cells(F.col("loy"), F.col("hiy"), size)))
+    at = spots.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
+    hit = at.join(keyed, ["cx", "cy"]).where("x between lox and hix and y between loy and hiy")
+    first = hit.groupBy("spot_id").agg(F.min(F.struct("box_id", "region")).alias("b")).select("spot_id", "b.region")
+    return spots.join(first, "spot_id", "left").withColumn("collection", lookup(T.REGIONS, F.col("region"))).select("spot_id", "region", "collection")
+
+
+def feature_tiles(stands: DataFrame, grid: DataFrame, size: float) -> DataFrame:
+    """(stand_id, ix, iy): every tile whose box holds the stand, borders included, so that a stand on a border has several tiles."""
+    at = stands.crossJoin(F.broadcast(grid))  # one row
+    for a in "xy":
+        place = (F.col(a) - F.col(f"o{a}")) / size
+        at = at.withColumn(f"i{a}", F.explode(F.array_distinct(F.array(F.floor(place).cast("int"), (F.ceil(place) - 1).cast("int"))))).where(f"i{a} >= 0 and i{a} < n{a}")
+    return at.select("stand_id", "ix", "iy")
+
+
+def with_crs(points: DataFrame, header: DataFrame) -> DataFrame:
+    """Points with their file's coordinate system (path, crs); a file without any is an error."""
+    crs = F.coalesce("crs", F.raise_error(F.concat(F.lit("no coordinate system: "), F.col("path"))).cast("string"))
+    return points.join(header, "path", "left").withColumn("crs", crs)
+
+
 def features(pages: DataFrame, column: str) -> DataFrame:
     """A row for each feature of GeoJSON-like pages, and the link to the next page."""
     schema = "features array<struct<properties:struct<species_cd:string,region_name:string>>>, links array<struct<rel:string,href:string>>"

@@ -2,6 +2,9 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +43,21 @@ def kernel(width: int = 5, sigma: float = 1.5) -> list[float]:
 
 
 def blur(pixels: DataFrame, size: int = 64, width: int = 5, sigma: float = 1.5) -> DataFrame:
-    """A Gaussian blur of sparse pixels; a pixel near the border counts again where its mirror image falls on the stencil."""
-    w, r = kernel(width, sigma), width // 2
-
-    def mirrored(k: Column) -> Column:  # places, within and mirrored beyond either border, that show pixel k
-        return F.filter(F.array_distinct(F.array(k, -k, F.lit(2 * (size - 1)) - k)), lambda v: (v >= -r) & (v <= size - 1 + r))
-
-    def spread(axis: str) -> Column:
-        return F.explode(F.flatten(F.transform(mirrored(F.col(axis)), lambda k: F.array(*(F.struct((k + d).alias("to"), F.lit(w[d + r]).alias("w")) for d in range(-r, r + 1))))))
-
-    rows = pixels.select("cloud_id", "view", "col", "value", spread("row").alias("a")).where(f"a.to between 0 and {size - 1}")
-    both = rows.select("cloud_id", "view", F.col("a.to").alias("row"), (F.col("a.w") * F.col("value")).alias("value"), spread("col").alias("b")).where(f"b.to between 0 and {size - 1}")
-    return both.groupBy("cloud_id", "view", "row", F.col("b.to").alias("col")).agg(F.sum(F.col("value") * F.col("b.w")).alias("value"))
+    """A Gaussian blur of sparse pixels, mirrored at the borders, row by row, then column by column. A cloud's views are one group: five images of size x size."""
+    w, r, last = kernel(width, sigma), width // 2, size - 1
+    weights = np.zeros((size, size))  # weights[to, from]
+    for to in range(size):
+        for d in range(-r, r + 1):
+            at = to + d
+            weights[to, -at if at < 0 else 2 * last - at if at > last else at] += w[d + r]
+
+    def run(group: pa.Table) -> pa.Table:
+        image = np.zeros((len(VIEWS), size, size))
+        view = pc.index_in(group["view"], pa.array(VIEWS)).to_numpy()
+        image[view, group["row"].to_numpy(), group["col"].to_numpy()] = group["value"].to_numpy()
+        out = weights @ image @ weights.T
+        v, row, col = np.nonzero(out)
+        cloud = pa.array(np.full(len(v), group["cloud_id"][0].as_py()))
+        return pa.table({"cloud_id": cloud, "view": pa.array(VIEWS).take(pa.array(v)), "row": pa.array(row.astype(np.int32)), "col": pa.array(col.astype(np.int32)), "value": pa.array(out[v, row, col])})
+
+    return pixels.groupBy("cloud_id").applyInArrow(run, "cloud_id long, view string, row int, col int, value double")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
+from .ranks import numbered
 from .sampling import farthest
 
 
@@ -136,4 +137,4 @@ def skeleton(edges: DataFrame, nodes: DataFrame, spacing: float) -> DataFrame:
 
 def chunk_ids(rows: DataFrame, order: list[str], size: int = 30) -> DataFrame:
     """Numbers rows in chunks of `size` within each split."""
-    return rows.withColumn("chunk_id", F.floor((F.row_number().over(Window.partitionBy("split").orderBy(*order)) - 1) / size))
+    return numbered(rows, ["split"], order, "_place").withColumn("chunk_id", F.floor((F.col("_place") - 1) / size)).drop("_place")

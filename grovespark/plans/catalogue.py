@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions import tables as T
-from ..operators import clean, evaluate, graph, labels, sampling, spatial, views, voxels
+from ..operators import clean, dataset, evaluate, graph, labels, sampling, spatial, views, voxels
 from ..session import new_path
 from ..sources import adapters as A
 from ..sources import clouds as cloud_files
@@ -77,8 +77,7 @@ _OTHER = "(SELECT CASE WHEN cloud_id = (SELECT max(cloud_id) FROM li) THEN (SELE
 def _reference(spark: SparkSession, d: str) -> DataFrame:
     """Each cloud's cube is that of the cloud before it."""
     p = A.line_points(spark, d)
-    ends = p.agg(F.min("cloud_id").alias("lo"), F.max("cloud_id").alias("hi")).withColumn("one", F.lit(1))
-    other = p.withColumn("one", F.lit(1)).join(ends, "one")
+    other = p.crossJoin(F.broadcast(p.agg(F.min("cloud_id").alias("lo"), F.max("cloud_id").alias("hi"))))  # one row
     return views.project(p, SIZE, other.select(F.when(F.col("cloud_id") == F.col("hi"), F.col("lo")).otherwise(F.col("cloud_id") + 1).alias("cloud_id"), "x", "y", "z"))
 
 
@@ -209,13 +208,13 @@ query("parse_label", lambda s, d: labels.parsed(A.clouds(s, d)), f"WITH {CL}, {_
 query("swap_labels", lambda s, d: labels.swapped(A.clouds(s, d), 15, 16), rf"WITH {CL} SELECT cloud_id, species, CASE regexp_extract(path, '_([0-9]+)\.npy$', 1) WHEN '15' THEN regexp_replace(path, '[0-9]+\.npy$', '16.npy') WHEN '16' THEN regexp_replace(path, '[0-9]+\.npy$', '15.npy') ELSE path END AS path FROM cl")
 query(
     "label_join_default",
-    lambda s, d: labels.labelled(labels.parsed(A.clouds(s, d)).select("cloud_id", "stem"), labels.encoded(_merged(s, d)).where("cloud_id % 3 = 0").select(F.regexp_extract("path", "^(.*)_[^_]*$", 1).alias("stem"), "species_number", F.col("cloud_id").alias("seq")).where("stem like 'r%' or stem like 's%'")),
-    rf"WITH {CL}, {_PARSED}, {_MERGED}, {_RANKS}, md AS (SELECT regexp_extract(path, '^(.*)_[^_]*$', 1) AS stem, arg_max(species_number, cloud_id) AS species_number FROM me JOIN rk USING (species) WHERE cloud_id % 3 = 0 GROUP BY 1 HAVING stem LIKE 'r%' OR stem LIKE 's%') SELECT cloud_id, stem, coalesce(species_number, 15) AS species_number FROM pa LEFT JOIN md USING (stem)",
+    lambda s, d: labels.labelled(labels.parsed(A.clouds(s, d)).select("cloud_id", "stem"), labels.encoded(_merged(s, d)).select(F.regexp_extract("path", "^(.*)_[^_]*$", 1).alias("stem"), "species_number", F.col("cloud_id").alias("seq"))),
+    rf"WITH {CL}, {_PARSED}, {_MERGED}, {_RANKS}, md AS (SELECT regexp_extract(path, '^(.*)_[^_]*$', 1) AS stem, arg_max(species_number, cloud_id) AS species_number FROM me JOIN rk USING (species) GROUP BY 1) SELECT cloud_id, stem, coalesce(species_number, 15) AS species_number FROM pa LEFT JOIN md USING (stem)",
 )
 query(
     "name_join_default",
-    lambda s, d: labels.named(labels.parsed(A.clouds(s, d)).select("cloud_id", "label"), labels.parsed(A.clouds(s, d)).where("label % 2 = 0").select("label", F.col("species").alias("name"), F.col("cloud_id").alias("seq"))),
-    f"WITH {CL}, {_PARSED}, nm AS (SELECT label, arg_min(species, cloud_id) AS name FROM pa WHERE label % 2 = 0 GROUP BY 1) SELECT cloud_id, label, coalesce(name, 'species_' || label) AS name FROM pa LEFT JOIN nm USING (label)",
+    lambda s, d: labels.named(labels.parsed(A.clouds(s, d)).select("cloud_id", "label"), labels.parsed(A.clouds(s, d)).select("label", F.col("species").alias("name"), F.col("cloud_id").alias("seq"))),
+    f"WITH {CL}, {_PARSED}, nm AS (SELECT label, arg_min(species, cloud_id) AS name FROM pa GROUP BY 1) SELECT cloud_id, label, coalesce(name, 'species_' || label) AS name FROM pa LEFT JOIN nm USING (label)",
 )
 query("ignore_index_filter", lambda s, d: A.scores(s, d).where("label < 7").select("id", "label"), f"WITH {SC} SELECT id, label FROM sc WHERE label < 7")
 _SPLIT = f"""{_PARSED}, so AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY {u('split', 'cloud_id')}, cloud_id) AS p, count(*) OVER (PARTITION BY species) AS n FROM pa),
@@ -304,9 +303,42 @@ _keep("aug_cuboid", sampling.cuboids, "k3", _cuboids())
 _keep("aug_band", sampling.bands, "k4", " * ".join(f"(CASE WHEN abs(uz - {b(f'bc{k}', 0.05, 0.95, 'cloud_id')}) < {b(f'bh{k}', 0.06, 0.20, 'cloud_id')} / 2" + (f" AND {u('bn', 'cloud_id')} < 0.5" if k else "") + f" THEN 1 - {b(f'bd{k}', 0.35, 0.75, 'cloud_id')} ELSE 1 END)" for k in range(2)))
 _keep("aug_vcrop", sampling.vertical_crop, "k5", f"CASE WHEN uz >= (CASE WHEN {u('vb', 'cloud_id')} < 0.6::DOUBLE THEN {b('vl', 0, 0.12, 'cloud_id')} ELSE 0 END) AND uz <= 1 - (CASE WHEN {u('vt', 'cloud_id')} < 0.5 THEN {b('vh', 0, 0.12, 'cloud_id')} ELSE 0 END) THEN 1.0 ELSE 0.0 END")
 _keep("aug_bcrop", sampling.bottom_crop, "k6", f"CASE WHEN uz >= {b('bb', 0.12, 0.45, 'cloud_id')} THEN 1.0 ELSE 0.0 END")
-query("aug_crown_leak", lambda s, d: rounded(sampling.crown_leak(A.event_points(s, d))))
-query("aug_stem", lambda s, d: rounded(sampling.stem(A.event_points(s, d))))
-query("aug_outliers", lambda s, d: rounded(sampling.outliers(A.event_points(s, d))))
+
+
+def _added(kind: str, low: float, high: float, least: int) -> str:
+    ends = f"(SELECT *, greatest({least}, floor({low}::DOUBLE * n)) AS low, greatest({least + 1}, floor({high}::DOUBLE * n)) AS high FROM bx)"
+    return f"ad AS (SELECT *, (low + floor({u(kind + 'n', 'cloud_id')} * (high - low + 1)))::INT AS total FROM {ends} q), dr AS (SELECT *, unnest(generate_series(1, total)) AS k FROM ad)"
+
+
+def _side(seed: str) -> str:
+    return f"(CASE WHEN {u(seed, 'cloud_id')} < 0.5 THEN -1 ELSE 1 END)"
+
+
+query(
+    "aug_crown_leak",
+    lambda s, d: rounded(sampling.crown_leak(A.event_points(s, d))),
+    f"""WITH {EV}, {_BOX}, {_added('cl', 0.03, 0.24, 32)},
+cr AS (SELECT ev.*, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) AS i, count(*) OVER (PARTITION BY cloud_id) AS c FROM ev JOIN bx USING (cloud_id) WHERE (z - min_z) / greatest(max_z - min_z, 1e-6::DOUBLE) > {b('cl', 0.45, 0.70, 'cloud_id')}),
+st AS (SELECT dr.*, floor({u('cld', 'cloud_id', 'k')} * c) + 1 AS i FROM dr JOIN (SELECT DISTINCT cloud_id, c FROM cr WHERE c >= 32) q USING (cloud_id) WHERE {u('clk', 'cloud_id', 'k')} < {b('clp', 0.20, 0.55, 'cloud_id')})
+SELECT cloud_id, point_id, k::INT AS k, round(x + {_side('cls')} * {b('clx', 0.2, 0.6, 'cloud_id')} * (max_x - min_x), 6) + 0.0 AS x, round(y + {b('cly', -0.3, 0.3, 'cloud_id')} * (max_y - min_y), 6) + 0.0 AS y,
+  round(z + {b('clz', -0.06, 0.06, 'cloud_id')} * (max_z - min_z), 6) + 0.0 AS z FROM st JOIN cr USING (cloud_id, i)""",
+)
+query(
+    "aug_stem",
+    lambda s, d: rounded(sampling.stem(A.event_points(s, d))),
+    f"""WITH {EV}, {_BOX}, {_added('st', 0.02, 0.16, 32)}
+SELECT cloud_id, k::INT AS k, round(mean_x + {_side('sts')} * {b('stx', 0.30, 0.65, 'cloud_id')} * (max_x - min_x) + 0.012::DOUBLE * (max_x - min_x) * {normal('stnx', 'cloud_id', 'k')}, 6) + 0.0 AS x,
+  round(mean_y + {b('sty', -0.30, 0.30, 'cloud_id')} * (max_y - min_y) + 0.012::DOUBLE * (max_y - min_y) * {normal('stny', 'cloud_id', 'k')}, 6) + 0.0 AS y, round(min_z + {u('stz', 'cloud_id', 'k')} * (max_z - min_z), 6) + 0.0 AS z FROM dr""",
+)
+_STRAY = ", ".join(
+    f"round((min_{a} + max_{a}) / 2 + {b('ou' + a, *at, 'cloud_id', 'c')} * (max_{a} - min_{a}) + {b('os' + a, 0.01, most, 'cloud_id', 'c')} * (max_{a} - min_{a}) * {normal('on' + a, 'cloud_id', 'k')}, 6) + 0.0 AS {a}" for a, (at, most) in sampling.OUTLIERS.items()
+)
+query(
+    "aug_outliers",
+    lambda s, d: rounded(sampling.outliers(A.event_points(s, d))),
+    f"""WITH {EV}, {_BOX}, {_added('ou', 0.01, 0.09, 16)}, cn AS (SELECT *, (1 + floor({u('ouc', 'cloud_id')} * 3))::INT AS clusters FROM ad), ea AS (SELECT *, greatest(4, total // clusters) AS size FROM cn),
+ks AS (SELECT *, unnest(generate_series(1, clusters * size)) AS k FROM ea), cs AS (SELECT *, ((k - 1) // size)::INT AS c FROM ks) SELECT cloud_id, k::INT AS k, {_STRAY} FROM cs""",
+)
 query("aug_tree_copy", lambda s, d: rounded(sampling.tree_copy(A.event_points(s, d))))
 query("domain_augment", lambda s, d: rounded(sampling.augment(A.event_points(s, d), POINTS)))
 
@@ -367,6 +399,101 @@ query(
 ft AS (SELECT event_id, json_extract_string(page, '$.links[1].href') AS next, unnest(json_extract(page, '$.features[*]')) AS f FROM pg) SELECT event_id, next, json_extract_string(f, '$.properties.species_cd') AS species_cd, json_extract_string(f, '$.properties.region_name') AS region_name FROM ft""",
 )
 
+#: Size of the box about a spot, and of the cells of region boxes.
+SPOT, REGION_CELL = 10.0, 10.0
+_NAMES = [*T.REGIONS, "NOWHERE"]
+
+
+def _spots(s: SparkSession, d: str) -> DataFrame:
+    middle = A.event_points(s, d).groupBy("cloud_id").agg((F.round(F.avg("x"), 6) % 100).alias("x"), (F.round(F.avg("y"), 6) % 100).alias("y"))
+    return middle.select(F.col("cloud_id").alias("spot_id"), "x", "y", (F.col("cloud_id") % 17).cast("int").alias("genus"))
+
+
+def _boxes(s: SparkSession, d: str) -> DataFrame:
+    """Overlapping boxes of regions, one of which the table of regions lacks."""
+    k = F.col("n_nationkey")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (k % len(_NAMES) + 1).cast("int"))
+    box = [(k * 4 % 100).cast("double").alias("lox"), (k * 4 % 100 + 30).cast("double").alias("hix"), (k * 7 % 100).cast("double").alias("loy"), (k * 7 % 100 + 40).cast("double").alias("hiy")]
+    return A.table(s, d, "nation").select(k.alias("box_id"), name.alias("region"), *box)
+
+
+_SPOTS = "ce AS (SELECT cloud_id AS spot_id, (cloud_id % 17)::INT AS genus, round(avg(x), 6) % 100 AS x, round(avg(y), 6) % 100 AS y FROM ev GROUP BY cloud_id)"
+_REGIONS = ", ".join(f"('{k}', '{v}')" for k, v in T.REGIONS.items())
+query(
+    "region_lookup",
+    lambda s, d: spatial.regions_of(_spots(s, d), _boxes(s, d), REGION_CELL),
+    f"""WITH {EV}, {_SPOTS}, rg(region, collection) AS (VALUES {_REGIONS}),
+bo AS (SELECT n_nationkey AS box_id, {_NAMES!r}[n_nationkey % {len(_NAMES)} + 1] AS region, n_nationkey * 4 % 100 AS lox, n_nationkey * 7 % 100 AS loy FROM nation),
+ht AS (SELECT spot_id, arg_min(region, box_id) AS region FROM ce JOIN bo ON x BETWEEN lox AND lox + 30 AND y BETWEEN loy AND loy + 40 GROUP BY 1)
+SELECT spot_id, region, collection FROM ce LEFT JOIN ht USING (spot_id) LEFT JOIN rg USING (region)""",
+)
+_NEAR = f"""{_MAP},
+nr AS (SELECT cloud_id, species, iv.genus, count(*) AS n, min(stand_id) AS first_seen FROM ce JOIN sd ON abs(sd.x - ce.x) <= {SPOT / 2} AND abs(sd.y - ce.y) <= {SPOT / 2} JOIN iv USING (code) GROUP BY ALL),
+nt AS (SELECT cloud_id, arg_max(species, (n, -first_seen)) AS top FROM nr GROUP BY 1), no AS (SELECT cloud_id, genus, arg_max(species, (n, -first_seen)) AS own FROM nr GROUP BY ALL)"""
+query(
+    "find_species",
+    lambda s, d: spatial.find_species(_spots(s, d), _stands(s, d), SPOT),
+    f"""{_NEAR} SELECT cloud_id AS spot_id, genus, CASE WHEN genus = 15 THEN 24 WHEN genus = 16 THEN coalesce(nullif(top, 0), 23) ELSE coalesce(own, nullif(top, 0), first) END AS species
+FROM ce LEFT JOIN nt USING (cloud_id) LEFT JOIN no USING (cloud_id, genus) JOIN df USING (genus)""",
+)
+_EDGE = " ".join(f"CROSS JOIN LATERAL (SELECT unnest(list_distinct([floor(({a} - o{a}) / {MAP_TILE}::DOUBLE)::INT, (ceil(({a} - o{a}) / {MAP_TILE}::DOUBLE) - 1)::INT])) AS i{a}) t{a}" for a in "xy")
+query(
+    "feature_tiles",
+    lambda s, d: spatial.feature_tiles(_stands(s, d), spatial.tile_grid(_stands(s, d).where("species_code is not null"), MAP_TILE), MAP_TILE),
+    f"{_MAP} SELECT stand_id, ix, iy FROM sd CROSS JOIN gr {_EDGE} WHERE ix >= 0 AND ix < nx AND iy >= 0 AND iy < ny",
+)
+
+
+def _predicted(s: SparkSession, d: str) -> DataFrame:
+    label = labels.coerced(F.array((F.col("cloud_id") % 17).cast("int")))
+    known = A.event_points(s, d).select("cloud_id").distinct().withColumn("has_points", F.lit(True))
+    every = A.clouds(s, d).select("cloud_id", label.alias("genus")).join(known, "cloud_id", "left").na.fill(False, ["has_points"])
+    return spatial.resolve_all(every, _placed(s, d), _map(s, d)[1]).select("cloud_id", "genus", "species")
+
+
+query(
+    "predict_species",
+    _predicted,
+    f"""{_MAP}, al AS (SELECT p_partkey AS cloud_id, (p_partkey % 17)::INT AS genus FROM part)
+SELECT cloud_id, al.genus, CASE WHEN ce.cloud_id IS NULL OR al.genus = 15 THEN 24 WHEN al.genus = 16 THEN coalesce(nullif(top, 0), 23) ELSE coalesce(own, nullif(top, 0), first) END AS species
+FROM al LEFT JOIN ce USING (cloud_id) LEFT JOIN (SELECT cloud_id, ix, iy FROM pl) pp USING (cloud_id) LEFT JOIN tp USING (ix, iy) LEFT JOIN (SELECT ix, iy, genus, own FROM ow) oo ON oo.ix = pp.ix AND oo.iy = pp.iy AND oo.genus = al.genus JOIN df ON df.genus = al.genus""",
+)
+
+# The training sample
+
+IGNORE = 15
+
+
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    return A.event_points(s, d).withColumn("label", (F.col("cloud_id") % 17).cast("int"))
+
+
+_FINITE = "isfinite(x) AND isfinite(y) AND isfinite(z)"
+_SAFE = f"{EV}, li AS (SELECT cloud_id, x, y, z FROM ev WHERE {_FINITE} AND cloud_id % 17 < {IGNORE} AND cloud_id IN (SELECT cloud_id FROM ev WHERE {_FINITE} GROUP BY 1 HAVING count(*) >= 16))"
+query("dataset_sample", lambda s, d: rounded(dataset.dataset(_labelled(s, d), SIZE, IGNORE)), f"{_views_sql('li').replace(LI, _SAFE)} SELECT cloud_id, (cloud_id % 17)::INT AS label, view, \"row\", col, {r('value')} FROM vw")
+query("dataset_training", lambda s, d: rounded(dataset.dataset(_labelled(s, d), SIZE, IGNORE, training=True, n=POINTS)))
+
+
+def _plot_points(s: SparkSession, d: str) -> DataFrame:
+    return A.event_points(s, d).select(F.concat(F.lit("plot"), F.col("cloud_id") % 5).alias("source"), (F.col("cloud_id") % 60).alias("tree_id"), "point_id", (F.col("z") % 4).cast("int").alias("species"), (F.col("point_id") % 2).cast("int").alias("inside"), *AXES)
+
+
+query(
+    "plot_trees",
+    lambda s, d: clean.plot_trees(_plot_points(s, d), 95.0),
+    f"""WITH {EV}, pp AS (SELECT 'plot' || (cloud_id % 5) AS source, cloud_id % 60 AS tree_id, point_id, (z % 4)::INT AS species, (point_id % 2)::INT AS inside, z FROM ev WHERE cloud_id % 60 <> 0),
+tr AS (SELECT source, tree_id, arg_min(inside, point_id) AS inside, arg_min(species, point_id) AS species, count(*) AS n, max(z) - min(z) AS height FROM pp GROUP BY ALL)
+SELECT *, concat_ws('_', source, tree_id, inside, species) || '.npy' AS path FROM tr WHERE species <> 0 AND height >= 95""",
+)
+query("suffix_filter", lambda s, d: labels.of_label(labels.required(A.clouds(s, d), ["cloud_id", "path"]), 15), f"WITH {CL} SELECT * FROM cl WHERE ends_with(path, '_15.npy')")
+query(
+    "split_fallback",
+    lambda s, d: labels.split_safe(labels.parsed(A.clouds(s, d)).select("cloud_id", "label"), "label", "fallback"),
+    f"""WITH {CL}, {_PARSED}, fm AS (SELECT cloud_id, label, CASE WHEN (SELECT min(n) >= 2 FROM (SELECT count(*) AS n FROM pa GROUP BY label) g) THEN label::VARCHAR ELSE 'all' END AS family FROM pa),
+so AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY {u('fallback', 'cloud_id')}, cloud_id) AS p, count(*) OVER (PARTITION BY family) AS n FROM fm), sb AS (SELECT *, floor(n * 0.7::DOUBLE + 0.5) AS qa FROM so), sq AS (SELECT *, qa + floor((n - qa) * (2::DOUBLE / 3) + 0.5) AS qb FROM sb)
+SELECT cloud_id, label, CASE WHEN p <= qa THEN 'train' WHEN p <= qb THEN 'test' ELSE 'val' END AS split FROM sq""",
+)
+
 # Evaluation
 
 _PRED = "pd AS (SELECT id, label, (list_position(logits, list_max(logits)) - 1)::INT AS pred, logits FROM sc)"
@@ -398,6 +525,9 @@ def _history(s: SparkSession, d: str) -> DataFrame:
 _HIST = "hs AS (SELECT user_id AS trial, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS step, value / 500 AS acc, json_extract_string(props, '$.k')::DOUBLE / 10 AS loss FROM events)"
 query("running_best", lambda s, d: rounded(evaluate.running_best(_history(s, d), "trial", "step", "acc"), 9), f"WITH {_HIST}, rb AS (SELECT *, coalesce(max(acc) OVER (PARTITION BY trial ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best FROM hs) SELECT trial, step, {r('acc', 'loss', 'best', digits=9)}, acc > best AS is_best FROM rb")
 query("trial_objective", lambda s, d: rounded(evaluate.objective(_history(s, d), "trial", "acc", "loss"), 9), f"WITH {_HIST} SELECT trial, round(0.6::DOUBLE * max(acc) + 0.4::DOUBLE / (1 + min(loss)), 9) AS objective FROM hs GROUP BY 1")
+_OBJECTIVE = f"WITH {_HIST}, ob AS (SELECT trial, 0.6::DOUBLE * max(acc) + 0.4::DOUBLE / (1 + min(loss)) AS objective FROM hs GROUP BY 1)"
+query("best_trial", lambda s, d: rounded(evaluate.best_trial(evaluate.objective(_history(s, d), "trial", "acc", "loss"), "trial"), 9, "objective"), f"{_OBJECTIVE} SELECT trial, round(objective, 9) AS objective FROM ob ORDER BY objective DESC, trial LIMIT 1")
+query("case_score", lambda s, d: rounded(evaluate.case_score(_history(s, d), "trial", "step", "acc", "loss"), 9), f"WITH {_HIST} SELECT trial, round(0.6::DOUBLE * arg_max(acc, step) + 0.4::DOUBLE / (1 + arg_max(loss, step)), 9) AS score FROM hs GROUP BY 1")
 query("prune_median", lambda s, d: evaluate.pruned(_history(s, d), "trial", "step", "acc", 30, 25), f"WITH {_HIST}, md AS (SELECT *, quantile_cont(acc, 0.5) OVER e AS m, count(*) OVER e AS n FROM hs WINDOW e AS (PARTITION BY step ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT trial, step FROM md WHERE n >= 30 AND step >= 25 AND acc < m")
 
 # Files

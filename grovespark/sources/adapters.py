@@ -25,8 +25,8 @@ def clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, logits, label): ten class scores."""
-    logits = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double"))
+    """(id, logits, label): ten class scores, each the largest of every tenth part of the vector."""
+    logits = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.array_max(F.filter("embedding", lambda v, i: i % 10 == k)).cast("double"))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), logits.alias("logits"), "label")
 
 
@@ -39,5 +39,5 @@ def stands(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_POINTS = "SELECT l_suppkey AS cloud_id, l_extendedprice / 1000 AS x, l_quantity AS y, l_discount * 100 AS z FROM lineitem"
 EVENT_POINTS = "SELECT user_id AS cloud_id, event_id AS point_id, value AS x, (day(ts) * 24 + hour(ts))::DOUBLE AS y, json_extract_string(props, '$.k')::DOUBLE AS z FROM events"
 CLOUDS = "SELECT p_partkey AS cloud_id, p_type AS species, p_name || '_' || p_size || '.npy' AS path FROM part"
-SCORES = "SELECT vec_id AS id, list_transform(embedding[1:10], lambda v: v::DOUBLE) AS logits, label FROM embeddings"
+SCORES = "SELECT vec_id AS id, list_transform(range(10), lambda k: list_max(list_filter(embedding, lambda v, i: (i - 1) % 10 = k))::DOUBLE) AS logits, label FROM embeddings"
 STANDS = "SELECT c_custkey AS stand_id, (c_custkey % 100)::DOUBLE AS x, c_acctbal AS y, c_mktsegment AS code FROM customer"
