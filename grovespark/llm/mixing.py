@@ -54,6 +54,7 @@ def fill(nodes: DataFrame, level: str, parents: list[str], weights: dict[str, di
     keys = parents or ["root"]
     rated = nodes.withColumn("w", weight(level, weights)).withColumn("root", F.lit(0)).withColumn("ratio", F.col("capacity") / F.col("w"))
     rated = rated.withColumn("range", F.when(F.col("ratio") > 0, F.floor(F.log2("ratio") * 16).cast("int")).otherwise(-(1 << 30)))
+    rated = C.materialise(rated, "nodes")  # read three times
     sums = rated.groupBy(*keys, "range").agg(F.sum("capacity").alias("c"), F.sum("w").alias("v"), F.max("ratio").alias("top"), F.first("budget").alias("budget"))
     order = Window.partitionBy(*keys).orderBy("range")
     before = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -70,7 +71,9 @@ def fill(nodes: DataFrame, level: str, parents: list[str], weights: dict[str, di
     # where rounding makes the level seem to pass the last node, it is that node's
     level_of = inside.withColumn("rate", rate).groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("ratio") > F.col("rate"), F.col("rate"))), F.max("ratio")).alias("open_rate"))
     got = F.coalesce(F.least(F.col("capacity").cast("double"), F.col("open_rate") * F.col("w")), F.col("capacity").cast("double"))
-    return rated.join(level_of, keys, "left").withColumn("got", got)
+    out = C.materialise(rated.join(level_of, keys, "left").withColumn("got", got), "levels")  # so that the plans of the levels below don't hold this one
+    C.remove(rated)
+    return out
 
 
 def budgets(sizes: DataFrame, weights: dict[str, dict[str, float]], share: float, epochs: int) -> DataFrame:
