@@ -140,3 +140,74 @@ def test_tile_samples(spark):
     assert not of[2]["noise"].any() and sorted(of[2]["copy"]) == list(range(1, 9)) and set(of[2]["point_id"]) <= {1, 2, 3}
     assert not of[4]["noise"].any() and sorted(of[4]["point_id"]) == list(range(4, 12))
     assert not of[6]["noise"].any() and of[6]["point_id"].nunique() == len(of[6]) == 8 and {12, 20} <= set(of[6]["point_id"])
+
+
+def test_defaults_of_labels_and_names(spark):
+    from grovespark.operators import labels
+
+    clouds = spark.createDataFrame([(1, "a", 3), (2, "b", 4)], "cloud_id long, stem string, label int")
+    metadata = spark.createDataFrame([("a", 7, 1), ("a", 8, 2)], "stem string, species_number int, seq long")
+    assert {r["cloud_id"]: r["species_number"] for r in labels.labelled(clouds.drop("label"), metadata).collect()} == {1: 8, 2: 15}
+    names = spark.createDataFrame([(3, "oak", 2), (3, "ash", 1)], "label int, name string, seq long")
+    assert {r["cloud_id"]: r["name"] for r in labels.named(clouds, names).collect()} == {1: "ash", 2: "species_4"}
+    with pytest.raises(ValueError, match="species"):
+        labels.required(clouds, ["stem", "species"])
+    with pytest.raises(Exception, match="one number"):
+        spark.createDataFrame([([1, 2],)], "a array<int>").select(labels.coerced(F.col("a"))).collect()
+
+
+def test_one_cloud_of_a_label_splits_without_regard_to_labels(spark):
+    from grovespark.operators import labels
+
+    rows = [(i, 0 if i else 1) for i in range(20)]
+    got = labels.split_safe(spark.createDataFrame(rows, "cloud_id long, label int"), "label").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"train": 14, "test": 4, "val": 2}
+
+
+def test_numbered_matches_a_sort(spark):
+    from grovespark.operators import ranks
+
+    rows = [(f"k{i % 3}", f"v{(i * 37) % 101:03d}", i) for i in range(900)] + [("k0", None, 900)]
+    got = ranks.numbered(spark.createDataFrame(rows, "k string, v string, i long"), ["k"], ["v", "i"], "n").collect()
+    for k in ("k0", "k1", "k2"):
+        own = sorted((r for r in got if r["k"] == k), key=lambda r: (r["v"] is not None, r["v"] or "", r["i"]))
+        assert [r["n"] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_a_loss_that_is_not_finite_prunes_its_trial(spark):
+    rows = [(1, 0, 0.5, 1.0), (1, 1, 0.7, float("nan")), (2, 0, 0.4, 1.0), (2, 1, 0.3, 3.0)]
+    history = spark.createDataFrame(rows, "trial long, step int, acc double, loss double")
+    best = evaluate.best_trial(evaluate.objective(history, "trial", "acc", "loss"), "trial").collect()
+    assert [(r["trial"], round(r["objective"], 9)) for r in best] == [(2, 0.44)]
+    assert {r["trial"]: round(r["score"], 9) for r in evaluate.case_score(history.where("trial = 2"), "trial", "step", "acc", "loss").collect()} == {2: 0.28}
+
+
+def test_files_without_a_coordinate_system_raise(spark):
+    points = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "path string, x double")
+    header = spark.createDataFrame([("a", "EPSG:2180")], "path string, crs string")
+    assert [r["crs"] for r in spatial.with_crs(points.where("path = 'a'"), header).collect()] == ["EPSG:2180"]
+    with pytest.raises(Exception, match="no coordinate system: b"):
+        spatial.with_crs(points, header).collect()
+
+
+def test_forest_has_an_edge_less_than_nodes_a_component_and_the_least_weight(spark):
+    import random
+
+    pick = random.Random(5)
+    edges = [(1, f"n{a:02d}", f"n{b:02d}", float(pick.randint(1, 40))) for a in range(30) for b in range(a + 1, 30) if pick.random() < 0.12]
+    got = graph.spanning_forest(spark.createDataFrame(edges, "cloud_id long, src string, dst string, d2 double")).collect()
+    near = {}
+    for _, a, b, d in edges:
+        near.setdefault(a, []).append((d, b))
+        near.setdefault(b, []).append((d, a))
+    seen, weight, kept = set(), 0.0, 0
+    for start in near:  # Prim's way, by component
+        if start in seen:
+            continue
+        seen.add(start)
+        rim = list(near[start])
+        while rim := [e for e in rim if e[1] not in seen]:
+            d, v = min(rim)
+            seen.add(v)
+            weight, kept, rim = weight + d, kept + 1, rim + near[v]
+    assert (len(got), sum(r["d2"] for r in got)) == (kept, weight)
