@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", sequence: int
         import public_tokenizers
 
         encode = WordIds(public_tokenizers.path(tokenizer))
-        for b in C.chunks(batches, limit=C.CHUNK_BYTES // 2):
+        for b in C.chunks(batches, limit=2 * C.CHUNK_BYTES):  # words repeat more in a larger chunk, and are looked up once
             ids, ends = encode(b["text"])
             sizes = np.diff(np.r_[0, ends])
             pieces_of = -(-sizes // sequence)
