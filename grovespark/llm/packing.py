@@ -26,8 +26,10 @@ END = 1
 OPEN_BINS = 64
 #: Sequences that a packing task fills, and pieces that it gets, about.
 TASK_SEQUENCES, TASK_PIECES = 4_000, 2_000_000
+#: Bytes of text that are encoded at once. Words repeat more in a larger chunk, and are looked up once; 4 MB less takes some 40 MB less of a worker.
+CHUNK_BYTES = 8 << 20
 #: Words whose ids a Python worker keeps in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Letters that lower-case to one letter each, and stay as they are under normalisation.
 LATIN = re.compile(r"[A-Za-z\u00c0-\u00ff]+").fullmatch
 #: Stops that end a word after one of these letters but the signs among them, or a digit.
@@ -58,8 +60,10 @@ class WordIds:
         texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told apart by case
             texts = pc.ascii_lower(texts)
-        words = pc.split_pattern(pc.replace_substring_regex(texts, STOPS, r"\1 \2\3"), " ")
-        coded = words.flatten().dictionary_encode()
+        texts = pc.replace_substring_regex(texts, STOPS, r"\1 \2\3")
+        words = pc.split_pattern(texts, " ")
+        counts, coded = pc.list_value_length(words).to_numpy(zero_copy_only=False), words.flatten().dictionary_encode()
+        del texts, words
         unique = coded.dictionary.to_pylist()
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {"": b""}
@@ -73,9 +77,8 @@ class WordIds:
         at = np.repeat(begin[index] - (upto - each), each)
         at += np.arange(len(at), dtype=np.int32)
         ids = pool[at]
-        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], upto])[np.cumsum(counts)]
-        return np.insert(ids, ends, END).astype("<u4"), ends + np.arange(1, len(ends) + 1)
+        return np.insert(ids, ends, END).astype("<u4", copy=False), ends + np.arange(1, len(ends) + 1)
 
     def learn(self, words: list[str]) -> None:
         """Takes from the old generation what it has, and encodes the rest."""
@@ -108,13 +111,14 @@ class WordIds:
             self.young.update((w, data[s:e]) for w, s, e in zip(some, at, at[1:]))
 
 
-def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", sequence: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", sequence: int = SEQUENCE, chunk: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only where longer than a sequence."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         encode = WordIds(public_tokenizers.path(tokenizer))
-        for b in C.chunks(batches, limit=2 * C.CHUNK_BYTES):  # words repeat more in a larger chunk, and are looked up once
+        for b in C.chunks(batches, limit=chunk):
             ids, ends = encode(b["text"])
             sizes = np.diff(np.r_[0, ends])
             pieces_of = -(-sizes // sequence)
@@ -123,9 +127,10 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", sequence: int
             start = piece * sequence
             length = np.minimum(sequence, sizes[doc] - start)
             at = ((ends - sizes)[doc] + start) * 4
-            view = memoryview(ids.tobytes())
+            view = memoryview(ids).cast("B")
             crc = [zlib.crc32(view[s:e]) for s, e in zip(at.tolist(), (at + length * 4).tolist())]
             yield pa.record_batch([b["doc_id"].take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            pa.default_memory_pool().release_unused()  # a chunk's strings, which other stages' tasks beside this worker may need
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -178,8 +183,9 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, t
     total, rows = cut.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
     tasks = max(1, round(total / sequence / task_sequences), -(-rows // task_pieces))
     kept = [F.col(c) for c in cut.columns]
-    # equal pieces, as of null ids, are told apart by their place in the table, so that they part among the tasks too
-    mixed = cut.select(*kept, F.xxhash64("doc_id", "piece", "ids_crc32", F.col("_metadata.file_name"), F.col("_metadata.row_index")).alias("at"))
+    # equal pieces, as of null ids, are told apart by their place in the table, so that they part among the tasks too; file names but for their number are new in each run
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+    mixed = cut.select(*kept, F.xxhash64("doc_id", "piece", "ids_crc32", part, F.col("_metadata.row_index")).alias("at"))
     dealt = mixed.repartition(tasks, "at").sortWithinPartitions("at", "doc_id", "piece", "ids_crc32").select(*kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +199,13 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, t
     return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each row of docs.
 
     A null or blank text is the end id alone. A null doc_id stays null. Rows that repeat are packed each. An empty table
     gives an empty one; other columns are ignored. Texts of any length: only these are cut, into full sequences and a rest.
     """
-    return pack(pieces(docs))
+    return pack(pieces(docs, chunk=chunk))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
