@@ -10,6 +10,8 @@ from grovespark.llm import common, mixing, packing, secrets, simhash, toxicity
 
 #: The share of tokens that the mixture takes; one epoch, so that no document comes twice.
 MIX_SHARE = 0.9
+#: Bytes of text that packing encodes at once: half the operator's own, as workers here have other stages' memory behind them.
+PACK_CHUNK = 4 << 20
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their sequences and places; null and empty texts are the end id alone, and repeated rows are packed each."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, PACK_CHUNK)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
