@@ -181,7 +181,14 @@ def _alive(s: SparkSession, d: str) -> DataFrame:
 
 _ALIVE = "(SELECT cloud_id, node FROM bo GROUP BY ALL HAVING count(*) >= 4)"
 query("alive_edge_filter", _alive, f"{_EDGES} SELECT cloud_id, src, dst, d2 FROM ed WHERE (cloud_id, src) IN {_ALIVE} AND (cloud_id, dst) IN {_ALIVE}")
-query("min_spanning_forest", lambda s, d: graph.spanning_forest(_edges(s, d)))
+query(
+    "min_spanning_forest",
+    lambda s, d: graph.spanning_forest(_edges(s, d)),
+    f"""{_EDGES.replace("WITH", "WITH RECURSIVE", 1)}, ra AS (SELECT cloud_id, src, dst, d2, row_number() OVER (PARTITION BY cloud_id ORDER BY d2, src, dst) AS i FROM ed),
+ba AS (SELECT cloud_id, i, src AS node, dst AS other FROM ra UNION ALL SELECT cloud_id, i, dst, src FROM ra),
+re AS (SELECT cloud_id, i, src AS node FROM ra UNION SELECT re.cloud_id, re.i, other FROM re JOIN ba ON ba.cloud_id = re.cloud_id AND ba.node = re.node AND ba.i < re.i)
+SELECT cloud_id, src, dst, d2 FROM ra WHERE (cloud_id, i, dst) NOT IN (SELECT cloud_id, i, node FROM re)""",
+)
 query("prune_branches", lambda s, d: graph.prune(graph.spanning_forest(_edges(s, d)), 60.0))
 query("simplify_chains", lambda s, d: graph.simplify(graph.prune(graph.spanning_forest(_edges(s, d)), 60.0), 50.0))
 
@@ -246,14 +253,25 @@ SELECT cloud_id, m.split, coalesce(gt.split, m.split) AS new_split FROM m LEFT J
 
 # Resampling and augmentation
 
-query(
-    "resample_exact",
-    lambda s, d: sampling.exact(A.event_points(s, d), POINTS),
-    f"""WITH {EV}, rk AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY {u('resample', 'cloud_id', 'point_id')}, point_id) AS i, count(*) OVER (PARTITION BY cloud_id) AS have FROM ev),
+_EXACT = f"""rk AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY {u('resample', 'cloud_id', 'point_id')}, point_id) AS i, count(*) OVER (PARTITION BY cloud_id) AS have FROM ev),
 fw AS (SELECT cloud_id, any_value(have) AS have FROM rk GROUP BY 1 HAVING any_value(have) < {POINTS}), dr AS (SELECT *, unnest(generate_series(1, {POINTS} - have)) AS copy FROM fw)
-SELECT cloud_id, point_id, x, y, z, 0 AS copy FROM rk WHERE i <= {POINTS} UNION ALL SELECT cloud_id, point_id, x, y, z, copy::INT FROM dr JOIN rk USING (cloud_id) WHERE i = floor({u('resample+', 'cloud_id', 'copy')} * dr.have) + 1""",
+SELECT cloud_id, point_id, x, y, z, 0 AS copy FROM rk WHERE i <= {POINTS} UNION ALL SELECT cloud_id, point_id, x, y, z, copy::INT FROM dr JOIN rk USING (cloud_id) WHERE i = floor({u('resample+', 'cloud_id', 'copy')} * dr.have) + 1"""
+query("resample_exact", lambda s, d: sampling.exact(A.event_points(s, d), POINTS), f"WITH {EV}, {_EXACT}")
+
+
+def _apart(v: str, w: str) -> str:
+    return " + ".join(f"({v.format(a)} - {w.format(a)}) * ({v.format(a)} - {w.format(a)})" for a in AXES)
+
+
+query(
+    "fps_sample",
+    lambda s, d: sampling.farthest(A.event_points(s, d), POINTS),
+    f"""WITH RECURSIVE al AS (SELECT *, count(*) OVER c AS n, {', '.join(f'avg({a}) OVER c AS m{a}' for a in AXES)} FROM ({A.EVENT_POINTS}) q WINDOW c AS (PARTITION BY cloud_id)),
+fp AS (SELECT 1 AS step, cloud_id, point_id, x, y, z, 'inf'::DOUBLE AS near, row_number() OVER (PARTITION BY cloud_id ORDER BY {_apart('{}', 'm{}')} DESC, point_id) = 1 AS taken FROM al WHERE n > {POINTS}
+  UNION ALL SELECT step + 1, cloud_id, point_id, x, y, z, near, row_number() OVER (PARTITION BY cloud_id ORDER BY near DESC, point_id) = 1
+  FROM (SELECT p.step, p.cloud_id, p.point_id, p.x, p.y, p.z, least(p.near, {_apart('p.{}', 't.{}')}) AS near FROM fp p JOIN fp t ON t.cloud_id = p.cloud_id AND t.taken WHERE p.step < {POINTS}) q),
+ev AS (SELECT cloud_id, point_id, x, y, z FROM al WHERE n <= {POINTS}), {_EXACT} UNION ALL SELECT cloud_id, point_id, x, y, z, 0 FROM fp WHERE taken""",
 )
-query("fps_sample", lambda s, d: sampling.farthest(A.event_points(s, d), POINTS))
 _WEIGHTS = "cw AS (SELECT label, count(*) AS n FROM sc GROUP BY 1), wt AS (SELECT label, n, pow(sum(n) OVER () / (count(*) OVER () * n), 0.45::DOUBLE) AS weight FROM cw)"
 query("class_weights", lambda s, d: rounded(sampling.class_weights(A.scores(s, d)), 9), f"WITH {SC}, {_WEIGHTS} SELECT label, n, round(weight, 9) AS weight FROM wt")
 query(
