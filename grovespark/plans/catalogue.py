@@ -141,7 +141,6 @@ query(
     f"""WITH {EV}, bx AS (SELECT cloud_id, min(x) AS lox, max(x) AS hix, min(y) AS loy, max(y) AS hiy FROM ev GROUP BY 1), tx AS (SELECT *, {_steps('x')} FROM bx), tt AS (SELECT *, {_steps('y')} FROM tx)
 SELECT cloud_id, point_id, ix::INT AS ix, iy::INT AS iy FROM ev JOIN tt USING (cloud_id) WHERE x BETWEEN lox + ix * {_STRIDE} AND lox + ix * {_STRIDE} + {TILE}::DOUBLE AND y BETWEEN loy + iy * {_STRIDE} AND loy + iy * {_STRIDE} + {TILE}::DOUBLE""",
 )
-query("tile_samples", lambda s, d: voxels.tile_samples(A.event_points(s, d), TILE, OVERLAP, TILE_POINTS))
 
 
 def _nodes(s: SparkSession, d: str) -> DataFrame:
@@ -263,14 +262,27 @@ def _apart(v: str, w: str) -> str:
     return " + ".join(f"({v.format(a)} - {w.format(a)}) * ({v.format(a)} - {w.format(a)})" for a in AXES)
 
 
+def _spread(source: str, key: str, n: int) -> str:
+    """Farthest points of the groups of more than n rows."""
+    return f"""al AS (SELECT *, count(*) OVER c AS have, {', '.join(f'avg({a}) OVER c AS m{a}' for a in AXES)} FROM ({source}) q WINDOW c AS (PARTITION BY {key})),
+fp AS (SELECT 1 AS step, {key}, point_id, x, y, z, 'inf'::DOUBLE AS near, row_number() OVER (PARTITION BY {key} ORDER BY {_apart('{}', 'm{}')} DESC, point_id) = 1 AS taken FROM al WHERE have > {n}
+  UNION ALL SELECT step + 1, {key}, point_id, x, y, z, near, row_number() OVER (PARTITION BY {key} ORDER BY near DESC, point_id) = 1
+  FROM (SELECT p.* EXCLUDE (near, taken), least(p.near, {_apart('p.{}', 't.{}')}) AS near FROM fp p JOIN (SELECT {key}, x, y, z FROM fp WHERE taken) t USING ({key}) WHERE p.step < {n}) q)"""
+
+
 query(
     "fps_sample",
     lambda s, d: sampling.farthest(A.event_points(s, d), POINTS),
-    f"""WITH RECURSIVE al AS (SELECT *, count(*) OVER c AS n, {', '.join(f'avg({a}) OVER c AS m{a}' for a in AXES)} FROM ({A.EVENT_POINTS}) q WINDOW c AS (PARTITION BY cloud_id)),
-fp AS (SELECT 1 AS step, cloud_id, point_id, x, y, z, 'inf'::DOUBLE AS near, row_number() OVER (PARTITION BY cloud_id ORDER BY {_apart('{}', 'm{}')} DESC, point_id) = 1 AS taken FROM al WHERE n > {POINTS}
-  UNION ALL SELECT step + 1, cloud_id, point_id, x, y, z, near, row_number() OVER (PARTITION BY cloud_id ORDER BY near DESC, point_id) = 1
-  FROM (SELECT p.step, p.cloud_id, p.point_id, p.x, p.y, p.z, least(p.near, {_apart('p.{}', 't.{}')}) AS near FROM fp p JOIN fp t ON t.cloud_id = p.cloud_id AND t.taken WHERE p.step < {POINTS}) q),
-ev AS (SELECT cloud_id, point_id, x, y, z FROM al WHERE n <= {POINTS}), {_EXACT} UNION ALL SELECT cloud_id, point_id, x, y, z, 0 FROM fp WHERE taken""",
+    f"WITH RECURSIVE {_spread(A.EVENT_POINTS, 'cloud_id', POINTS)}, ev AS (SELECT cloud_id, point_id, x, y, z FROM al WHERE have <= {POINTS}), {_EXACT} UNION ALL SELECT cloud_id, point_id, x, y, z, 0 FROM fp WHERE taken",
+)
+_KEY = "cloud_id, ix, iy"
+query(
+    "tile_samples",
+    lambda s, d: voxels.tile_samples(A.event_points(s, d), TILE, OVERLAP, TILE_POINTS),
+    f"""WITH RECURSIVE {_spread(f"SELECT t.*, x, y, z FROM ({SQL['overlap_tiles']}) t JOIN ({A.EVENT_POINTS}) e USING (cloud_id, point_id)", _KEY, TILE_POINTS)},
+rk AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY point_id) AS i FROM al WHERE have >= {TILE_POINTS // 4} AND have < {TILE_POINTS}), dr AS (SELECT {_KEY}, have, unnest(generate_series(1, {TILE_POINTS})) AS copy FROM rk WHERE i = 1)
+SELECT cloud_id, point_id, ix, iy, x, y, z, 0 AS copy, have < {TILE_POINTS // 4} AS noise FROM al WHERE have < {TILE_POINTS // 4} OR have = {TILE_POINTS} UNION ALL SELECT cloud_id, point_id, ix, iy, x, y, z, 0, false FROM fp WHERE taken
+UNION ALL SELECT cloud_id, point_id, ix, iy, x, y, z, copy::INT, false FROM dr JOIN rk USING ({_KEY}) WHERE i = floor({u('tile', 'cloud_id', 'ix', 'iy', 'copy')} * dr.have) + 1""",
 )
 _WEIGHTS = "cw AS (SELECT label, count(*) AS n FROM sc GROUP BY 1), wt AS (SELECT label, n, pow(sum(n) OVER () / (count(*) OVER () * n), 0.45::DOUBLE) AS weight FROM cw)"
 query("class_weights", lambda s, d: rounded(sampling.class_weights(A.scores(s, d)), 9), f"WITH {SC}, {_WEIGHTS} SELECT label, n, round(weight, 9) AS weight FROM wt")
