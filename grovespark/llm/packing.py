@@ -45,10 +45,10 @@ class WordIds:
     tokenizer parts them; not after others, some of which (dotted capital I, U+0958) normalise to a letter and a mark that belongs to the stop.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int = END):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
@@ -78,7 +78,7 @@ class WordIds:
         at += np.arange(len(at), dtype=np.int32)
         ids = pool[at]
         ends = np.concatenate([[0], upto])[np.cumsum(counts)]
-        return np.insert(ids, ends, END).astype("<u4", copy=False), ends + np.arange(1, len(ends) + 1)
+        return np.insert(ids, ends, self.end).astype("<u4", copy=False), ends + np.arange(1, len(ends) + 1)
 
     def learn(self, words: list[str]) -> None:
         """Takes from the old generation what it has, and encodes the rest."""
