@@ -27,6 +27,8 @@ CUT = 0.5
 MASK = "[SECRET]"
 #: Characters of a key; `=` ends one at most.
 KEY = r"A-Za-z0-9+/_.~-"
+#: What a word is cut into, step by step: other characters, and a run.
+STEPS = rf"([^{KEY}]*+)([{KEY}]*+)"
 #: Words that name a secret, and forms that providers give theirs.
 NAMES = r"(?:password|passwd|pwd|secret|token|api_?key|apikey|auth|credential|bearer|private)"
 FORMS = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_-]{16,}.*)$"
@@ -39,9 +41,9 @@ def letters_before(lead: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, source, place, value, word, assigned): a row for each candidate in each row of docs.
+    """(doc_id, th, source, place, run, value, word, assigned): a row for each candidate in each row of docs.
 
-    place: the number of its blank-separated word; word: the nearest letters before it among the run before it and the two words before, lower-cased;
+    place: the number of its blank-separated word; run: the number of its run within that word; word: the nearest letters before it among the run before it and the two words before, lower-cased;
     assigned: whether an equals sign or colon parts that word from it. A word is cut into runs by one pass whose every step takes what it reads, so that
     the time is in proportion to a word's length.
     """
@@ -53,14 +55,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     near = f"lower(concat_ws(' ', right(get(w, i - 2), 64), right(get(w, i - 1), 64), left(w[i], 64))) rlike '{NAMES}' or octet_length(w[i]) > 64"
     worth = F.expr(f"filter(sequence(0, size(w) - 1), i -> ({digits}) or ({letters}) or (({behind}) and ({near})))")
     at = rows.withColumn("place", F.explode(worth)).select("doc_id", "th", "source", "place", F.expr("w[place]").alias("own"), F.expr("concat_ws(' ', right(get(w, place - 2), 64), right(get(w, place - 1), 64))").alias("before"))
-    steps = F.lit(rf"([^{KEY}]*+)([{KEY}]*+)")
+    steps = F.lit(STEPS)
     cut = at.withColumn("gaps", F.regexp_extract_all("own", steps, F.lit(1))).withColumn("runs", F.regexp_extract_all("own", steps, F.lit(2)))
     run = cut.select("doc_id", "th", "source", "place", "before", "gaps", "runs", F.posexplode("runs").alias("i", "run")).where("run <> ''")
     lead = F.expr("case when i = 0 then concat(before, ' ', right(gaps[0], 64)) else concat(right(runs[i - 1], 64), right(gaps[i], 64)) end")
     ends = F.expr("if(i + 1 < size(gaps) and startswith(gaps[i + 1], '='), if(startswith(gaps[i + 1], '=='), '==', '='), '')")
     value = F.rtrim(F.col("run"), F.lit("."))
-    found = run.select("doc_id", "th", "source", "place", F.when(ends != "", F.concat("run", ends)).otherwise(value).alias("value"), lead.alias("lead"))
-    found = found.select("doc_id", "th", "source", "place", "value", letters_before(F.col("lead")).alias("word"), F.col("lead").rlike(r"[=:][^\p{L}0-9]*$").alias("assigned"))
+    found = run.select("doc_id", "th", "source", "place", F.col("i").alias("run"), F.when(ends != "", F.concat("run", ends)).otherwise(value).alias("value"), lead.alias("lead"))
+    found = found.select("doc_id", "th", "source", "place", "run", "value", letters_before(F.col("lead")).alias("word"), F.col("lead").rlike(r"[=:][^\p{L}0-9]*$").alias("assigned"))
     long = (F.length("value") >= SHORTEST) & F.col("value").rlike("[0-9]")
     plain = (F.length("value") >= LETTERS) & (F.col("value").rlike(f"^[A-Z]{{{LETTERS}}}") | (F.regexp_count("value", F.lit("[a-z](?=[A-Z])")) >= 3))
     return found.where("value <> ''").where(long | plain | (F.col("assigned") & F.col("word").rlike(NAMES))).distinct()
@@ -122,7 +124,7 @@ class Scanner:
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Scanner:
     """Trains on findings with features and a label of 0 or 1 that aren't held out; of more than `rows`, the first by hash are used."""
-    known = labelled.where("label is not null").withColumn("_fold", fold()).where("_fold > 0").withColumn("_h", F.xxhash64("doc_id", "th", "place", "value"))
+    known = labelled.where("label is not null").withColumn("_fold", fold()).where("_fold > 0").withColumn("_h", F.xxhash64("doc_id", "th", "place", "run"))
     total = known.count()
     if total > rows:
         known = known.where(F.col("_h") < int((rows / total * 2 - 1) * 2**63))
@@ -152,45 +154,85 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Scanner:
     return scanner
 
 
-def scan(docs: DataFrame, label: Callable[[DataFrame], DataFrame] = labelled_by_form) -> DataFrame:
-    """(doc_id, th, place, value, word, features, label, held_out, probability, is_secret): every candidate of every row of docs.
-
-    Null and empty texts have none; a null source is the empty one; ids may be null; a row that repeats in full counts once; words of any length are read in proportion to it; other columns are ignored. An empty table gives an empty one.
-    """
+def judged(docs: DataFrame, label: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The rows of scan(), and the table that they are read from, which holds values in plain text."""
     found = C.materialise(candidates(docs), "candidates")
     shaped = C.materialise(shapes(found, dictionary(docs)), "shapes")
     C.remove(found)
     labelled = label(shaped)
     scored = fit(labelled).score(labelled)
-    return scored.withColumn("held_out", fold() == 0).withColumn("is_secret", (F.col("probability") >= CUT).cast("int"))
+    return scored.withColumn("held_out", fold() == 0).withColumn("is_secret", (F.col("probability") >= CUT).cast("int")), shaped
+
+
+def scan(docs: DataFrame, label: Callable[[DataFrame], DataFrame] = labelled_by_form) -> DataFrame:
+    """(doc_id, th, place, run, value, word, features, label, held_out, probability, is_secret): every candidate of every row of docs.
+
+    Null and empty texts have none; a null source is the empty one; ids may be null; a row that repeats in full counts once; words of any length are read in proportion to it; other columns are ignored. An empty table gives an empty one.
+    Values are read from a table in the shared folder, which stays there until that is cleared; redact() and the query leave none.
+    """
+    return judged(docs, label)[0]
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with the runs of spans, an array of (place, runs), masked: words and spans are sorted together, so that a word's span stands before it."""
+    steps, blanks = F.lit(STEPS), F.lit(C.BLANKS)
+    words = F.transform(F.split(text, C.BLANKS), lambda w, p: F.struct(p.alias("p"), F.lit(1).alias("kind"), w.alias("w"), F.lit(None).cast("array<int>").alias("runs")))
+    marks = F.transform(spans, lambda s: F.struct(s["place"].alias("p"), F.lit(0).alias("kind"), F.lit("").alias("w"), s["runs"].alias("runs")))
+    row = F.struct(F.array_sort(F.concat(marks, words)).alias("all"), F.regexp_extract_all(text, blanks, F.lit(0)).alias("gaps"))
+
+    def run_of(w: Column, runs: Column) -> Column:
+        before, own = F.regexp_extract_all(w, steps, F.lit(1)), F.regexp_extract_all(w, steps, F.lit(2))
+
+        def piece(z: Column, j: Column) -> Column:  # a value ends before its run's last stops, or takes the equals signs after the run
+            gap = F.when(F.array_contains(runs, j - 1), F.regexp_replace(z["gap"], "^={1,2}", "")).otherwise(z["gap"])
+            rest = F.when(F.startswith(z["next"], F.lit("=")), "").otherwise(F.regexp_extract(z["run"], "[.]*$", 0))
+            return F.concat(gap, F.when(F.array_contains(runs, j), F.concat(F.lit(MASK), rest)).otherwise(z["run"]))
+
+        after = F.concat(F.slice(before, F.lit(2), F.size(before)), F.array(F.lit("")))
+        zipped = F.zip_with(F.zip_with(before, own, lambda g, r: F.struct(g.alias("gap"), r.alias("run"))), after, lambda z, n: F.struct(z["gap"].alias("gap"), z["run"].alias("run"), n.alias("next")))
+        return F.array_join(F.transform(zipped, piece), "")
+
+    def join(s: Column) -> Column:
+        def word(x: Column, j: Column) -> Column:
+            mark = F.get(s["all"], j - 1)
+            own = F.when(mark["kind"] == 0, run_of(x["w"], mark["runs"])).otherwise(x["w"])
+            return F.when(x["kind"] == 0, "").otherwise(F.concat(own, F.coalesce(F.get(s["gaps"], x["p"]), F.lit(""))))
+
+        return F.array_join(F.transform(s["all"], word), "")
+
+    return F.element_at(F.transform(F.array(row), join), 1)  # so that the sorted words are made once
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each secret's value replaced by a mask in its text, longer ones first, and n_chars counted anew; all rows and columns stay.
+    """docs with each secret masked where it was found, and n_chars counted anew; all other characters, rows and columns stay.
 
     Null and empty texts, and null ids, stay as they are; rows that repeat are masked alike. Columns of any name are kept, as the work's own are named apart from them.
     """
     row, secret = C.free_names(docs, "row", "secret")
-    found = scan(docs).where("is_secret = 1").groupBy("doc_id", "th").agg(F.collect_set(F.struct((-F.length("value")).alias("n"), "value")).alias("values"))
-    found = C.materialise(found.select(F.xxhash64("doc_id", "th").alias("k"), "doc_id", "th", F.expr("transform(array_sort(values), v -> v.value)").alias("values")), "secrets")
-    found = found.select(F.struct("k", "doc_id", "th", "values").alias(secret))
+    scored, shaped = judged(docs, labelled_by_form)
+    words = scored.where("is_secret = 1").groupBy("doc_id", "th", "place").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    found = words.groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "runs")).alias("spans"))
+    found = C.materialise(found.select(F.xxhash64("doc_id", "th").alias("k"), "doc_id", "th", "spans"), "spans")
+    C.remove(shaped)
+    found = found.select(F.struct("k", "doc_id", "th", "spans").alias(secret))
     name = lambda c: F.col(f"`{c}`")
     th = F.xxhash64(F.coalesce(name("text").cast("string"), F.lit("")))
     own = F.struct(name("doc_id").cast("long").alias("doc_id"), th.alias("th"))
     both = docs.withColumn(row, own).join(found, (F.xxhash64(F.col(f"{row}.doc_id"), F.col(f"{row}.th")) == F.col(f"{secret}.k")) & F.col(f"{row}.doc_id").eqNullSafe(F.col(f"{secret}.doc_id")) & (F.col(f"{row}.th") == F.col(f"{secret}.th")), "left")
-    values = F.col(f"{secret}.values")
-    masked = F.aggregate(F.coalesce(values, F.array().cast("array<string>")), name("text").cast("string"), lambda t, s: F.replace(t, s, F.lit(MASK)))
-    text = F.when(values.isNull(), name("text")).otherwise(masked)
-    made = {"text": text.alias("text")}
+    spans = F.col(f"{secret}.spans")
+    both = both.withColumn(row, F.when(spans.isNotNull(), masked(name("text").cast("string"), spans)))
+    made = {"text": F.coalesce(F.col(row), name("text")).alias("text")}
     if "n_chars" in docs.columns:
-        made["n_chars"] = F.when(values.isNull(), name("n_chars")).otherwise(F.char_length(masked).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+        made["n_chars"] = F.when(F.col(row).isNull(), name("n_chars")).otherwise(F.char_length(F.col(row)).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
     return both.select(*(made.get(c, name(c)) for c in docs.columns))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate of whole documents with its features and verdict; null, empty and repeated rows as in scan(). held_out: its value was not learned from."""
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "place", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "word", *FEATURES, "label", "held_out", "probability", "is_secret")
+    """Every candidate of whole documents with its features and verdict; null, empty and repeated rows as in scan(). held_out: its value was not learned from. Values are written as hashes only."""
+    found, shaped = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), labelled_by_form)
+    out = C.materialise(found.select("doc_id", "place", "run", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "word", *FEATURES, "label", "held_out", "probability", "is_secret"), "verdicts")
+    C.remove(shaped)
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_secret_scan": op2_secret_scan}

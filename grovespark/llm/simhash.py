@@ -292,7 +292,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows that repeat an id with other texts are rows of their own, and may stay or go apart. Of rows with the same id and text, the one whose columns have the smallest hash stays.
     Null and blank texts are one group. Columns are those of docs, whatever their names; an empty table gives an empty one.
     """
-    row, = C.free_names(docs, "row")
+    row, mine_, one_ = C.free_names(docs, "row", "kept", "one")
     fps, rooted = grouped(docs)
     first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     kept = C.materialise(first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.xxhash64("first.doc_id", "first.th").alias("k"), "first.doc_id", "first.th"), "kept")
@@ -300,13 +300,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     C.remove(rooted)
     own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     marked = docs.withColumn(row, own)
-    found = kept.select(F.struct("k", "doc_id", "th").alias("kept"))
+    found = kept.select(F.struct("k", "doc_id", "th").alias(mine_))
     mine = F.xxhash64(F.col(f"{row}.doc_id"), F.col(f"{row}.th"))
-    same = (mine == F.col("kept.k")) & F.col(f"{row}.doc_id").eqNullSafe(F.col("kept.doc_id")) & F.col(f"{row}.th").eqNullSafe(F.col("kept.th"))
+    same = (mine == F.col(f"{mine_}.k")) & F.col(f"{row}.doc_id").eqNullSafe(F.col(f"{mine_}.doc_id")) & F.col(f"{row}.th").eqNullSafe(F.col(f"{mine_}.th"))
     stays = marked.join(found, same, "left_semi")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    one = stays.groupBy(row).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("kept"))
-    return one.select("kept.*")
+    hashed = [F.to_json(F.struct(c)) if "map<" in docs.schema[n].dataType.simpleString() else c for n, c in zip(docs.columns, columns)]  # maps have no hash
+    one = stays.groupBy(row).agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias(one_))
+    return one.select(f"{one_}.*")
 
 
 def op6_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

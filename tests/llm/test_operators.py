@@ -7,10 +7,12 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grovespark.llm import common, fingerprints, langid, matroska, mixing, packing, secrets, simhash, substrings, toxicity, urls
 
@@ -348,6 +350,51 @@ def test_clashing_columns_stay(spark):
         assert {tuple(r)[5:] for r in out.collect()} == {row[4:]}
 
 
+def plain_mask(text, marks):
+    """The text with the runs of marks (place, run) replaced, by character ranges of the text."""
+    blank, key = r"[\x20\x09-\x0D]+", f"[{secrets.KEY}]"
+    words, at = [], 0
+    for m in re.finditer(blank, text):
+        words.append((at, m.start()))
+        at = m.end()
+    words.append((at, len(text)))
+    ranges = []
+    for place, run in marks:
+        lo, hi = words[place]
+        runs = [(lo + m.start(), lo + m.end()) for m in re.finditer(f"{key}+", text[lo:hi])]
+        a, b = runs[run]
+        tail = re.match("={0,2}", text[b:hi])[0]
+        b = b + len(tail) if tail else a + len(text[a:b].rstrip("."))
+        ranges.append((a, b))
+    for a, b in sorted(ranges, reverse=True):
+        text = text[:a] + secrets.MASK + text[b:]
+    return text
+
+
+def test_secrets_are_masked_where_they_are(spark):
+    texts = ["The secret: is to work. this is his list", "pwd = of the house of cards", "password: SECRET then E and password: E", "  token=a1b2c3d4,a1b2c3d4. \n\tauth: x== y", "key;;token=\"abcd1234==\"end. ", "é token = ß1234567x token:1", "", " ", "password=...", "secret = a.b.1.2.3.4.5..., (secret=b)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    found = secrets.candidates(df)
+    marks = {r["doc_id"]: [tuple(s) for s in r["m"]] for r in found.groupBy("doc_id").agg(F.collect_list(F.struct("place", "run")).alias("m")).collect()}
+    spans = found.groupBy("doc_id", "place").agg(F.collect_list("run").alias("runs")).groupBy("doc_id").agg(F.collect_list(F.struct("place", "runs")).alias("spans"))
+    got = {r["doc_id"]: r["t"] for r in df.join(spans, "doc_id").select("doc_id", secrets.masked(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {i: plain_mask(texts[i], m) for i, m in marks.items()} and len(got) >= 7
+    assert got[0] == "The secret: [SECRET] to work. this is his list" and got[1] == "pwd = [SECRET] the house of cards"
+
+
+def test_secrets_leave_no_plain_values(spark):
+    base = common.new_path(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    token = lambda i: hashlib.sha1(f"left{i}".encode()).hexdigest()
+    df = spark.createDataFrame([(i, f"word token = {token(i)} and 4041894974{i:06d} end", "s") for i in range(40)], "doc_id long, text string, source string")
+    clean = secrets.redact(df).collect()
+    assert all(r["text"] == f"word token = {secrets.MASK} and 4041894974{r['doc_id']:06d} end" for r in clean)
+    held = duckdb.connect()
+    for f in Path(base).rglob("*.parquet"):
+        columns = [c for c, kind, *_ in held.sql(f"describe select * from '{f}'").fetchall() if kind == "VARCHAR"]
+        for c in columns:
+            assert not {v for v, in held.sql(f"select \"{c}\" from '{f}'").fetchall()} & {token(i) for i in range(40)}
+
+
 def test_secrets_within_secrets_and_long_words(spark):
     inner = "f1f6ad8e" + hashlib.sha1(b"2").hexdigest()[:32]
     rows = [(i, f"a token = {hashlib.sha1(str(i).encode()).hexdigest()} and 4041894974{i:06d} end", "s") for i in range(40)]
@@ -368,6 +415,13 @@ def test_planted_secrets_of_the_held_out_fold(spark):
     assert right >= 0.9 * sum(1 for r in found if planted(r["value"])) and right >= 0.95 * sum(r["is_secret"] for r in found) and right > 10
 
 
+def test_first_of_a_group_with_odd_columns(spark):
+    schema = "doc_id long, text string, kept string, row int, one map<string,int>"
+    rows = [(1, "a b c d e", "x", 1, {"k": 1}), (1, "a b c d e", "x", 1, {"k": 2}), (2, "a b c d e", "y", 2, None), (3, "quite another text here now", "z", 3, {})]
+    out = simhash.keep_first(spark.createDataFrame(rows, schema))
+    assert out.columns == ["doc_id", "text", "kept", "row", "one"] and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
 def test_url_ties(spark):
     pages = spark.createDataFrame([(1, "http://net.net/abcde"), (2, "http://net/abcde"), (3, "http://" + "a." * 3000 + "net/" + "x" * 100_000)], "page_id long, url string")
     rules = [("net", "/abcd", "block"), ("net.net", "/", "block"), ("net.net", "/a", "allow"), ("net", "/", "allow"), ("net", "/", "block")]
