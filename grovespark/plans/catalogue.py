@@ -13,13 +13,14 @@ from ..operators import clean, dataset, evaluate, graph, labels, sampling, spati
 from ..session import new_path
 from ..sources import adapters as A
 from ..sources import clouds as cloud_files
-from ..sources import sinks
+from ..sources import las, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 SIZE, VOXEL, EDGE_VOXEL, RADIUS, TILE, OVERLAP, SPACING, CLASSES, POINTS, TILE_POINTS = 64, 4.0, 20.0, 40.0, 100.0, 0.4, 10.0, 10, 64, 16
+LAS_POINTS, LAS_SPLIT = 50_000, 1 << 16
 AXES = "xyz"
 
 
@@ -584,6 +585,33 @@ def _layout(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(folder).where("split = 'test'")
 
 
+_LAS = "path string, point_id long, x double, y double, z double, treeID long, treeSP int, completelyInside int, pointID long"
+
+
+def _las_plots(s: SparkSession, d: str) -> str:
+    """A folder of LAS plots; small files and ranges, so that files span tasks even here."""
+    folder = new_path(s, "las")
+    las.write(_plot_points(s, d).select("source", *AXES, F.col("tree_id").alias("treeID"), F.col("species").alias("treeSP"), F.col("inside").alias("completelyInside"), F.col("point_id").alias("pointID")), folder, "source", {"pointID": "u8", "treeID": "u4", "treeSP": "u1", "completelyInside": "u1"}, most=LAS_POINTS, crs="EPSG:2180")
+    return folder
+
+
+def _las_points(s: SparkSession, d: str) -> DataFrame:
+    p = las.read(s, _las_plots(s, d), f"{_LAS}, crs string", LAS_SPLIT)
+    return rounded(p.select(F.regexp_extract("path", r"(plot[0-9]+)-[^/]*$", 1).alias("source"), F.col("pointID").alias("point_id"), F.col("treeID").alias("tree_id"), F.col("treeSP").alias("species"), F.col("completelyInside").alias("inside"), *AXES, "crs"), 3)
+
+
+def _las_plot_trees(s: SparkSession, d: str) -> DataFrame:
+    return clean.plot_trees(_las_points(s, d).drop("crs"), 95.0)
+
+
+def _las_headers(s: SparkSession, d: str) -> DataFrame:
+    h = las.read(s, _las_plots(s, d), kind="headers").withColumn("source", F.regexp_extract("path", r"(plot[0-9]+)-[^/]*$", 1))
+    return h.groupBy("source", "crs", "point_format").agg(F.sum("points").alias("points"))
+
+
+query("las_points", _las_points, f"WITH {EV} SELECT 'plot' || (cloud_id % 5) AS source, point_id, cloud_id % 60 AS tree_id, (z % 4)::INT AS species, (point_id % 2)::INT AS inside, {', '.join(f'round({a}, 3) + 0.0 AS {a}' for a in AXES)}, 'EPSG:2180' AS crs FROM ev")
+query("las_plot_trees", _las_plot_trees, SQL["plot_trees"])
+query("las_headers", _las_headers, f"WITH {EV} SELECT 'plot' || (cloud_id % 5) AS source, 'EPSG:2180' AS crs, 6 AS point_format, count(*)::BIGINT AS points FROM ev GROUP BY ALL")
 query("npy_roundtrip", _cloud_files, f"WITH {EV} SELECT cloud_id, (cloud_id % 17)::INT AS label, x, y, z FROM ev")
 query("metadata_csv", _metadata_csv, SQL["metadata_a_pivot"])
 query("split_layout", _layout, f"{SQL['stratified_split']} WHERE split = 'test'")
