@@ -21,6 +21,7 @@ SQL: dict[str, str] = {}
 
 SIZE, VOXEL, EDGE_VOXEL, RADIUS, TILE, OVERLAP, SPACING, CLASSES, POINTS, TILE_POINTS = 64, 4.0, 20.0, 40.0, 100.0, 0.4, 10.0, 10, 64, 16
 LAS_POINTS, LAS_SPLIT = 50_000, 1 << 16
+SHORTEST, CHAIN_SPACING = 60.0, 50.0
 AXES = "xyz"
 
 
@@ -181,16 +182,47 @@ def _alive(s: SparkSession, d: str) -> DataFrame:
 
 _ALIVE = "(SELECT cloud_id, node FROM bo GROUP BY ALL HAVING count(*) >= 4)"
 query("alive_edge_filter", _alive, f"{_EDGES} SELECT cloud_id, src, dst, d2 FROM ed WHERE (cloud_id, src) IN {_ALIVE} AND (cloud_id, dst) IN {_ALIVE}")
-query(
-    "min_spanning_forest",
-    lambda s, d: graph.spanning_forest(_edges(s, d)),
-    f"""{_EDGES.replace("WITH", "WITH RECURSIVE", 1)}, ra AS (SELECT cloud_id, src, dst, d2, row_number() OVER (PARTITION BY cloud_id ORDER BY d2, src, dst) AS i FROM ed),
+_FOREST = f"""{_EDGES.replace("WITH", "WITH RECURSIVE", 1)}, ra AS (SELECT cloud_id, src, dst, d2, row_number() OVER (PARTITION BY cloud_id ORDER BY d2, src, dst) AS i FROM ed),
 ba AS (SELECT cloud_id, i, src AS node, dst AS other FROM ra UNION ALL SELECT cloud_id, i, dst, src FROM ra),
-re AS (SELECT cloud_id, i, src AS node FROM ra UNION SELECT re.cloud_id, re.i, other FROM re JOIN ba ON ba.cloud_id = re.cloud_id AND ba.node = re.node AND ba.i < re.i)
-SELECT cloud_id, src, dst, d2 FROM ra WHERE (cloud_id, i, dst) NOT IN (SELECT cloud_id, i, node FROM re)""",
+re AS (SELECT cloud_id, i, src AS node FROM ra UNION SELECT re.cloud_id, re.i, other FROM re JOIN ba ON ba.cloud_id = re.cloud_id AND ba.node = re.node AND ba.i < re.i),
+fo AS (SELECT cloud_id, src, dst, d2 FROM ra WHERE (cloud_id, i, dst) NOT IN (SELECT cloud_id, i, node FROM re))"""
+#: Pruning node by node: a row is a cloud with its dead nodes, the leaves of the round that are still to come, and the path that is being followed.
+_alive_of = "list_filter({}, lambda o: NOT list_contains(dead, o.n))".format
+_PRUNED = f"""{_FOREST}, fb AS (SELECT cloud_id, src AS node, dst AS other, sqrt(d2) AS w FROM fo UNION ALL SELECT cloud_id, dst, src, sqrt(d2) FROM fo),
+gr AS (SELECT cloud_id, map_from_entries(list((node, os))) AS m, list(node ORDER BY kx, ky, kz) AS nodes FROM (SELECT cloud_id, node, list({{'n': other, 'w': w}}) AS os FROM fb GROUP BY ALL) JOIN nd USING (cloud_id, node) GROUP BY 1),
+ps AS (SELECT cloud_id, []::VARCHAR[] AS dead, []::VARCHAR[] AS queue, []::VARCHAR[] AS path, 0::DOUBLE AS far, true AS changed, false AS done FROM gr UNION ALL
+  SELECT cloud_id, CASE WHEN ends AND far2 < {SHORTEST} THEN dead || path2[:-2] ELSE dead END, CASE WHEN len(path) > 0 THEN queue WHEN len(queue) > 0 THEN queue[2:] WHEN changed THEN list_filter(nodes, lambda v: NOT list_contains(dead, v) AND len({_alive_of('m[v]')}) = 1) ELSE queue END,
+    CASE WHEN len(path) > 0 THEN CASE WHEN ends THEN []::VARCHAR[] ELSE path2 END WHEN len(queue) > 0 AND NOT list_contains(dead, queue[1]) THEN [queue[1]] ELSE []::VARCHAR[] END, CASE WHEN len(path) > 0 AND NOT ends THEN far2 ELSE 0 END,
+    CASE WHEN len(path) > 0 THEN changed OR (ends AND far2 < {SHORTEST} AND len(path2) > 1) ELSE changed AND len(queue) > 0 END, len(path) = 0 AND len(queue) = 0 AND NOT changed
+  FROM (SELECT *, len(path) > 0 AND (step IS NULL OR far2 >= {SHORTEST} OR len({_alive_of('m[step.n]')}) <> 2) AS ends FROM (SELECT *, far + coalesce(step.w, 0) AS far2, CASE WHEN step IS NULL THEN path ELSE list_append(path, step.n) END AS path2
+    FROM (SELECT *, CASE WHEN len(path) > 0 THEN list_filter({_alive_of('m[path[-1]]')}, lambda o: len(path) = 1 OR o.n <> path[-2])[1] END AS step FROM ps JOIN gr USING (cloud_id) WHERE NOT done)))),
+pn AS (SELECT fo.* FROM fo JOIN ps USING (cloud_id) WHERE done AND NOT list_contains(dead, src) AND NOT list_contains(dead, dst))"""
+#: Simplification by a walk from each end or fork along each chain; of the two walks of a chain, the one from the end that comes first counts.
+_SIMPLIFIED = f"""{_PRUNED}, pb AS (SELECT cloud_id, src AS node, dst AS other, sqrt(d2) AS w FROM pn UNION ALL SELECT cloud_id, dst, src, sqrt(d2) FROM pn), fx AS (SELECT cloud_id, node FROM pb GROUP BY ALL HAVING count(*) <> 2),
+wk AS (SELECT cloud_id, node AS start, other AS first, node AS kept, node AS back, other AS node, w AS far, NULL::VARCHAR AS put, (cloud_id, other) IN (SELECT cloud_id, node FROM fx) AS over FROM pb WHERE (cloud_id, node) IN (SELECT cloud_id, node FROM fx) UNION ALL
+  SELECT k.cloud_id, start, first, CASE WHEN far >= {CHAIN_SPACING} THEN k.node ELSE kept END, k.node, p.other, CASE WHEN far >= {CHAIN_SPACING} THEN 0 ELSE far END + p.w, CASE WHEN far >= {CHAIN_SPACING} THEN kept END, (k.cloud_id, p.other) IN (SELECT cloud_id, node FROM fx) FROM wk k JOIN pb p ON p.cloud_id = k.cloud_id AND p.node = k.node AND p.other <> k.back WHERE NOT over),
+ch AS (SELECT w.cloud_id, start, first FROM wk w JOIN nd a ON a.cloud_id = w.cloud_id AND a.node = start JOIN nd b ON b.cloud_id = w.cloud_id AND b.node = w.node WHERE over AND (a.kx, a.ky, a.kz) < (b.kx, b.ky, b.kz)),
+sg AS (SELECT cloud_id, put AS a, back AS b FROM wk SEMI JOIN ch USING (cloud_id, start, first) WHERE put IS NOT NULL UNION SELECT cloud_id, kept, node FROM wk SEMI JOIN ch USING (cloud_id, start, first) WHERE over)"""
+query("min_spanning_forest", lambda s, d: graph.spanning_forest(_edges(s, d)), f"{_FOREST} SELECT * FROM fo")
+query("min_spanning_forest_rounds", lambda s, d: graph.spanning_forest(_edges(s, d), 0), SQL["min_spanning_forest"])
+
+
+def _pruned(s: SparkSession, d: str, most: int = graph.GROUP_EDGES) -> DataFrame:
+    return graph.prune(graph.spanning_forest(_edges(s, d)), SHORTEST, most)
+
+
+def _simplified(s: SparkSession, d: str, most: int = graph.GROUP_EDGES) -> DataFrame:
+    return rounded(graph.simplify(_pruned(s, d), _nodes(s, d), CHAIN_SPACING, most))
+
+
+query("prune_branches", _pruned, f"{_PRUNED} SELECT * FROM pn")
+query("prune_branches_by_chains", lambda s, d: _pruned(s, d, 0), SQL["prune_branches"])
+query(
+    "simplify_chains",
+    _simplified,
+    f"{_SIMPLIFIED} SELECT cloud_id, CASE WHEN f THEN p.node ELSE q.node END AS src, CASE WHEN f THEN q.node ELSE p.node END AS dst, round((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z), 6) + 0.0 AS d2 FROM (SELECT sg.cloud_id, p, q, (p.kx, p.ky, p.kz) < (q.kx, q.ky, q.kz) AS f FROM sg JOIN nd p ON p.cloud_id = sg.cloud_id AND p.node = a JOIN nd q ON q.cloud_id = sg.cloud_id AND q.node = b)",
 )
-query("prune_branches", lambda s, d: graph.prune(graph.spanning_forest(_edges(s, d)), 60.0))
-query("simplify_chains", lambda s, d: graph.simplify(graph.prune(graph.spanning_forest(_edges(s, d)), 60.0), 50.0))
+query("simplify_chains_across", lambda s, d: _simplified(s, d, 0), SQL["simplify_chains"])
 
 # Labels and splits
 
