@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import removed, written
 
 SCHEMA = "cloud_id long, src string, dst string, d2 double"
 #: Edges of a cloud that one task works on at most.
@@ -31,8 +31,8 @@ def place(node: str) -> tuple:
 
 def by_size(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     """The edges of clouds with `most` edges at most, and those of larger ones, if there are any."""
-    edges = cut(edges)
-    large = cut(edges.groupBy("cloud_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("cloud_id"))
+    edges = written(edges)
+    large = written(edges.groupBy("cloud_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("cloud_id"))
     if large.isEmpty():
         return edges, None
     return edges.join(large, "cloud_id", "left_anti"), edges.join(large, "cloud_id", "left_semi")
@@ -60,10 +60,11 @@ def kruskal(g: pd.DataFrame) -> pd.DataFrame:
 
 def jumped(hooks: DataFrame) -> DataFrame:
     """(cloud_id, node, root) from (cloud_id, node, up), where a root is its own: each step doubles how far up a node looks."""
-    now = cut(hooks)
+    now = written(hooks)
     while True:
         up = now.select("cloud_id", F.col("node").alias("up"), F.col("up").alias("upper"))
-        new = cut(now.join(up, ["cloud_id", "up"]).select("cloud_id", "node", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")))
+        new = written(now.join(up, ["cloud_id", "up"]).select("cloud_id", "node", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")))
+        removed(now)
         now = new.drop("moved")
         if new.where("moved").isEmpty():
             return now.withColumnRenamed("up", "root")
@@ -80,19 +81,19 @@ def rounds(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     members, number = None, 0
     while True:
         a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-        live = cut(live.groupBy("cloud_id", a, b).agg(F.min("e").alias("e")))
+        live = written(live.groupBy("cloud_id", a, b).agg(F.min("e").alias("e")))
         if live.isEmpty():
             return forest, members if members is not None else edges.limit(0).select("cloud_id", F.col("src").alias("node"), F.col("src").alias("root"))
         number += 1
         ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.struct("e", F.col("b").alias("up")).alias("s")), F.struct(F.col("b").alias("node"), F.struct("e", F.col("a").alias("up")).alias("s"))))
-        best = cut(live.select("cloud_id", ends.alias("x")).groupBy("cloud_id", "x.node").agg(F.min("x.s").alias("s")).select("cloud_id", "node", "s.e", "s.up"))
+        best = written(live.select("cloud_id", ends.alias("x")).groupBy("cloud_id", "x.node").agg(F.min("x.s").alias("s")).select("cloud_id", "node", "s.e", "s.up"))
         forest = forest.unionByName(best.select("cloud_id", "e.src", "e.dst", "e.d2", F.lit(number).alias("round")).distinct())
         # two components that take the same edge point at each other: the smaller is the root
         other = best.select("cloud_id", F.col("node").alias("up"), F.col("up").alias("back"))
         mine = (F.col("back") == F.col("node")) & (F.col("node") < F.col("up"))
         roots = jumped(best.join(other, ["cloud_id", "up"]).select("cloud_id", "node", F.when(mine, F.col("node")).otherwise(F.col("up")).alias("up")))
         above = roots.select("cloud_id", F.col("node").alias("root"), F.col("root").alias("above"))
-        members = roots if members is None else cut(members.join(above, ["cloud_id", "root"], "left").select("cloud_id", "node", F.coalesce("above", "root").alias("root")))
+        members = roots if members is None else written(members.join(above, ["cloud_id", "root"], "left").select("cloud_id", "node", F.coalesce("above", "root").alias("root")))
         ra, rb = (roots.select("cloud_id", F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         live = live.join(ra, ["cloud_id", "a"]).join(rb, ["cloud_id", "b"]).where("ra <> rb").select("cloud_id", F.col("ra").alias("a"), F.col("rb").alias("b"), "e")
 
@@ -119,7 +120,7 @@ def ranked(edges: DataFrame) -> DataFrame:
 
     A chain goes through nodes of two neighbours, and ends at nodes of another number (q has `degree` of them). Arcs on rings, which have no end, get a null q.
     """
-    both = cut(arcs(edges))
+    both = written(arcs(edges))
     degree = both.groupBy("cloud_id", F.col("u").alias("v")).agg(F.count("*").alias("degree"))
     now = both.join(degree, ["cloud_id", "v"]).select("cloud_id", "u", "v", "w", "degree")
     after = now.select("cloud_id", F.col("u").alias("v"), F.col("v").alias("x"))
@@ -127,12 +128,13 @@ def ranked(edges: DataFrame) -> DataFrame:
     inner = now.where("degree = 2").join(after, ["cloud_id", "v"]).where("x <> u").select("cloud_id", "u", "v", "w", F.col("v").alias("p"), F.col("x").alias("q"), F.lit(2).cast("long").alias("hops"), F.lit(False).alias("ends"))
     last = now.where("degree <> 2").select("cloud_id", "u", "v", "w", F.col("u").alias("p"), F.col("v").alias("q"), F.lit(1).cast("long").alias("hops"), F.lit(True).alias("ends"))
     # length and hops: of the arcs from this one up to, but without, the arc p -> q
-    state = cut(inner.unionByName(last).select("cloud_id", "u", "v", "w", "p", "q", F.when(F.col("ends"), 0.0).otherwise(F.col("w")).alias("length"), (F.col("hops") - 1).alias("hops"), "ends"))
+    state = written(inner.unionByName(last).select("cloud_id", "u", "v", "w", "p", "q", F.when(F.col("ends"), 0.0).otherwise(F.col("w")).alias("length"), (F.col("hops") - 1).alias("hops"), "ends"))
     open_ = state.where("not ends").count()
     while open_:
         jump = state.select("cloud_id", F.col("u").alias("p"), F.col("v").alias("q"), F.col("p").alias("pp"), F.col("q").alias("qq"), F.col("length").alias("more"), F.col("hops").alias("further"), F.col("ends").alias("over"))
         moved = state.where("not ends").join(jump, ["cloud_id", "p", "q"]).select("cloud_id", "u", "v", "w", F.col("pp").alias("p"), F.col("qq").alias("q"), (F.col("length") + F.col("more")).alias("length"), (F.col("hops") + F.col("further")).alias("hops"), F.col("over").alias("ends"))
-        state = cut(state.where("ends").unionByName(moved))
+        before, state = state, written(state.where("ends").unionByName(moved))
+        removed(before)
         left = state.where("not ends")
         # an arc that is still under way after as many hops as there are arcs is on a ring
         open_now = left.count()
@@ -144,7 +146,7 @@ def ranked(edges: DataFrame) -> DataFrame:
     tail = both.join(degree, ["cloud_id", "v"]).select("cloud_id", F.col("u").alias("p"), F.col("v").alias("q"), F.col("w").alias("tail"), "degree")
     whole = state.where("ends").join(tail, ["cloud_id", "p", "q"]).select("cloud_id", "u", "v", "w", "p", "q", (F.col("length") + F.col("tail")).alias("length"), (F.col("hops") + 1).alias("hops"), "degree")
     rings = state.where("not ends").select("cloud_id", "u", "v", "w", F.lit(None).cast("string").alias("p"), F.lit(None).cast("string").alias("q"), F.lit(None).cast("double").alias("length"), F.lit(None).cast("long").alias("hops"), F.lit(None).cast("long").alias("degree"))
-    return cut(whole.unionByName(rings))
+    return written(whole.unionByName(rings))
 
 
 def order_of(node: str | Column) -> Column:
@@ -223,8 +225,8 @@ def prune_across(edges: DataFrame, shortest: float) -> DataFrame:
     """prune() by chains: in a round, forks that chains shorter than `shortest` join are one cluster, as no removal reaches beyond; a cluster is a group, a row a chain."""
     now = edges
     while True:
-        c = cut(chains(now))
-        summary = cut(c.groupBy("cloud_id", "chain").agg(F.max("left").alias("length"), *(F.first(k).alias(k) for k in ("a", "b", "da", "db"))))
+        c = written(chains(now))
+        summary = written(c.groupBy("cloud_id", "chain").agg(F.max("left").alias("length"), *(F.first(k).alias(k) for k in ("a", "b", "da", "db"))))
         short = F.col("length") < shortest
         if summary.where(short & ((F.col("da") == 1) | (F.col("db") == 1))).isEmpty():
             return now
@@ -238,11 +240,11 @@ def prune_across(edges: DataFrame, shortest: float) -> DataFrame:
             gone = cut_chains(g, shortest)
             return pd.DataFrame({"cloud_id": [int(g["cloud_id"].iloc[0])] * len(gone), "chain": gone})
 
-        gone = cut(grouped.join(busy, ["cloud_id", "cluster"], "left_semi").groupBy("cloud_id", "cluster").applyInPandas(run, "cloud_id long, chain string").distinct())
+        gone = written(grouped.join(busy, ["cloud_id", "cluster"], "left_semi").groupBy("cloud_id", "cluster").applyInPandas(run, "cloud_id long, chain string").distinct())
         if gone.isEmpty():
             return now
         lost = c.join(gone, ["cloud_id", "chain"], "left_semi").select("cloud_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
-        now = cut(now.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")}).join(lost, ["cloud_id", "lo", "hi"], "left_anti").select("cloud_id", "src", "dst", "d2"))
+        now = written(now.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")}).join(lost, ["cloud_id", "lo", "hi"], "left_anti").select("cloud_id", "src", "dst", "d2"))
 
 
 def prune(edges: DataFrame, shortest: float, most: int = GROUP_EDGES) -> DataFrame:
@@ -294,9 +296,9 @@ def simplified_group(g: pd.DataFrame, spacing: float) -> pd.DataFrame:
 
 def simplify_across(edges: DataFrame, spacing: float) -> DataFrame:
     """simplify() by chains: a row is a chain, with its nodes in an array. A ring is opened at its cloud's first node, if its cloud has nothing but rings."""
-    r = cut(ranked(edges))
+    r = written(ranked(edges))
     clouds = r.groupBy("cloud_id").agg(F.count("q").alias("n"), F.min(order_of("u")).alias("first"))
-    rings = cut(clouds.where("n = 0").select("cloud_id", F.col("first.name").alias("src")))
+    rings = written(clouds.where("n = 0").select("cloud_id", F.col("first.name").alias("src")))
     lengths = edges.select("cloud_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.sqrt("d2").alias("w"))
     steps = chains(edges).select("cloud_id", "chain", "before", "u", "v", "a").withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")}).join(lengths, ["cloud_id", "lo", "hi"])
     nodes = F.transform(F.array_sort(F.collect_list(F.struct("before", "u", "v", "w"))), lambda s: F.struct(s["v"].alias("node"), s["w"].alias("w")))
@@ -319,7 +321,7 @@ def simplify_across(edges: DataFrame, spacing: float) -> DataFrame:
     second = ring.where(far.isNotNull()).groupBy("cloud_id").agg(F.max(order_of(far)).alias("m")).select("cloud_id", F.col("m.name").alias("far"))
     mark = lambda c, o: F.when((F.col(c) == F.col("top")) & (F.col(o) == F.col("far")), F.concat(F.lit("~"), "top")).otherwise(F.col(c)).alias(c)
     opened = ring.join(second, "cloud_id").select("cloud_id", mark("src", "dst"), mark("dst", "src"), "d2")
-    closed = simplify_across(cut(opened), spacing).select("cloud_id", *(F.regexp_replace(c, "^~", "").alias(c) for c in ("src", "dst")))
+    closed = simplify_across(written(opened), spacing).select("cloud_id", *(F.regexp_replace(c, "^~", "").alias(c) for c in ("src", "dst")))
     top = rings.select("cloud_id", F.col("src").alias("top"))
     return out.unionByName(closed.join(top, "cloud_id").where("src <> dst").select("cloud_id", "src", "dst"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import between, normal, uniform
 from ..session import cut
 from .clean import per_cloud, safe
+from .farthest import across
 from .ranks import numbered
 
 SURVIVORS = 64
@@ -26,8 +27,11 @@ def exact(points: DataFrame, n: int, seed: str = "resample") -> DataFrame:
     return kept.unionByName(extra)
 
 
-def farthest(points: DataFrame, n: int) -> DataFrame:
-    """Farthest-point sampling of clouds with more than n points, from the point farthest from the centroid; smaller clouds as exact() does."""
+def farthest(points: DataFrame, n: int, most: int | None = None) -> DataFrame:
+    """Farthest-point sampling of clouds with more than n points, from the point farthest from the centroid; smaller clouds as exact() does.
+
+    A cloud is one group; with `most`, one of more points than that is worked on across tasks, where point_id has to be unique in a cloud.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("point_id")
@@ -41,7 +45,13 @@ def farthest(points: DataFrame, n: int) -> DataFrame:
 
     sizes = points.groupBy("cloud_id").agg(F.count("*").alias("_n"))
     both = points.join(sizes, "cloud_id")
-    large = both.where(F.col("_n") > n).drop("_n").groupBy("cloud_id").applyInPandas(run, points.schema).withColumn("copy", F.lit(0))
+    above = F.col("_n") > n
+    large = both.where(above if most is None else above & (F.col("_n") <= most)).drop("_n").groupBy("cloud_id").applyInPandas(run, points.schema)
+    if most is not None:
+        huge = cut(both.where(above & (F.col("_n") > most)).drop("_n"))
+        if not huge.isEmpty():
+            large = large.unionByName(huge.join(across(huge, n), ["cloud_id", "point_id"]).select(points.columns))
+    large = large.withColumn("copy", F.lit(0))
     return large.unionByName(exact(both.where(F.col("_n") <= n).drop("_n"), n))
 
 

@@ -308,6 +308,7 @@ query(
     lambda s, d: sampling.farthest(A.event_points(s, d), POINTS),
     f"WITH RECURSIVE {_spread(A.EVENT_POINTS, 'cloud_id', POINTS)}, ev AS (SELECT cloud_id, point_id, x, y, z FROM al WHERE have <= {POINTS}), {_EXACT} UNION ALL SELECT cloud_id, point_id, x, y, z, 0 FROM fp WHERE taken",
 )
+query("fps_sample_across", lambda s, d: sampling.farthest(A.event_points(s, d), POINTS, 0), SQL["fps_sample"])
 _KEY = "cloud_id, ix, iy"
 query(
     "tile_samples",

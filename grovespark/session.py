@@ -36,3 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like cut(), as a Parquet table: in loops, where a checkpoint keeps what is known of its rows, and planning would take longer round by round."""
+    spark = df.sparkSession
+    df.write.parquet(path := new_path(spark, "table"))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(*tables: DataFrame | None) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                path = jvm.org.apache.hadoop.fs.Path(parent)
+                path.getFileSystem(conf).delete(path, True)
