@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions import tables as T
-from ..operators import clean, dataset, evaluate, graph, labels, sampling, spatial, views, voxels
+from ..operators import clean, dataset, evaluate, geodesy, graph, labels, sampling, spatial, views, voxels
 from ..session import new_path
 from ..sources import adapters as A
 from ..sources import clouds as cloud_files
@@ -464,7 +464,7 @@ ft AS (SELECT event_id, json_extract_string(page, '$.links[1].href') AS next, un
 )
 
 #: Size of the box about a spot, and of the cells of region boxes.
-SPOT, REGION_CELL = 10.0, 10.0
+SPOT, REGION_CELL, SPOT_METRES, CRS = 10.0, 10.0, 8000.0, "EPSG:2180"
 _NAMES = [*T.REGIONS, "NOWHERE"]
 
 
@@ -500,6 +500,36 @@ query(
     f"""{_NEAR} SELECT cloud_id AS spot_id, genus, CASE WHEN genus = 15 THEN 24 WHEN genus = 16 THEN coalesce(nullif(top, 0), 23) ELSE coalesce(own, nullif(top, 0), first) END AS species
 FROM ce LEFT JOIN nt USING (cloud_id) LEFT JOIN no USING (cloud_id, genus) JOIN df USING (genus)""",
 )
+
+
+def _degrees(rows: DataFrame) -> DataFrame:
+    """Places of 0 to 100 as degrees about the middle of Poland."""
+    return rows.withColumns({"lat": 51.5 + F.col("y") / 100, "lon": 18.5 + F.col("x") / 100})
+
+
+def _boxes_of_degrees(s: SparkSession, d: str) -> DataFrame:
+    """Each stand's square in degrees, which has to hold all points of its edges: the number of those that it doesn't hold, by stand; corners alone would leave some out."""
+    boxed = geodesy.with_box(geodesy.with_grid(_degrees(_stands(s, d)), CRS).select("stand_id", "x", "y"), SPOT_METRES * 5, CRS)
+    along = boxed.withColumn("t", F.explode(F.sequence(F.lit(-20), F.lit(20)))).withColumn("side", F.explode(F.array(*map(F.lit, range(4)))))
+    step, half = F.col("t") / 20 * SPOT_METRES * 5, F.lit(SPOT_METRES * 5)
+    x = F.col("x") + F.when(F.col("side") < 2, step).when(F.col("side") == 2, half).otherwise(-half)
+    y = F.col("y") + F.when(F.col("side") >= 2, step).when(F.col("side") == 0, half).otherwise(-half)
+    lat, lon = geodesy.unproject(x, y, geodesy.system(CRS))
+    out = (lat < F.col("south") - 1e-12) | (lat > F.col("north") + 1e-12) | (lon < F.col("west") - 1e-12) | (lon > F.col("east") + 1e-12)
+    return along.groupBy("stand_id").agg(F.sum(F.when(out, 1).otherwise(0)).alias("outside"), F.count("*").alias("points"))
+
+
+_TM = geodesy.sql_of("lat", "lon", CRS)
+_LATLON = "51.5::DOUBLE + y / 100 AS lat, 18.5::DOUBLE + x / 100 AS lon"
+query("grid_coordinates", lambda s, d: rounded(geodesy.with_grid(_degrees(_stands(s, d)), CRS).select("stand_id", "x", "y"), 3), f"{_MAP} SELECT stand_id, round({_TM[0]}, 3) + 0.0 AS x, round({_TM[1]}, 3) + 0.0 AS y FROM (SELECT stand_id, {_LATLON} FROM sd)")
+query("grid_round_trip", lambda s, d: rounded(geodesy.with_degrees(geodesy.with_grid(_degrees(_stands(s, d)), CRS).drop("lat", "lon"), CRS).select("stand_id", "lat", "lon"), 9), f"{_MAP} SELECT stand_id, {r('lat', 'lon', digits=9)} FROM (SELECT stand_id, {_LATLON} FROM sd)")
+query("grid_boxes", _boxes_of_degrees, f"{_MAP} SELECT stand_id, 0 AS outside, 164 AS points FROM sd")
+query(
+    "find_species_at",
+    lambda s, d: geodesy.find_species_at(_degrees(_spots(s, d)), _degrees(_stands(s, d)), SPOT_METRES, CRS),
+    f"""{_NEAR.replace("nr AS", f"sg AS (SELECT stand_id, code, {_TM[0]} AS x, {_TM[1]} AS y FROM (SELECT stand_id, code, {_LATLON} FROM sd)), cg AS (SELECT cloud_id, {_TM[0]} AS x, {_TM[1]} AS y FROM (SELECT cloud_id, {_LATLON} FROM ce)), nr AS", 1).replace("FROM ce JOIN sd ON", "FROM cg ce JOIN sg sd ON").replace(str(SPOT / 2), f"{SPOT_METRES / 2}")} SELECT cloud_id AS spot_id, genus, CASE WHEN genus = 15 THEN 24 WHEN genus = 16 THEN coalesce(nullif(top, 0), 23) ELSE coalesce(own, nullif(top, 0), first) END AS species
+FROM ce LEFT JOIN nt USING (cloud_id) LEFT JOIN no USING (cloud_id, genus) JOIN df USING (genus)""",
+)
 _EDGE = " ".join(f"CROSS JOIN LATERAL (SELECT unnest(list_distinct([floor(({a} - o{a}) / {MAP_TILE}::DOUBLE)::INT, (ceil(({a} - o{a}) / {MAP_TILE}::DOUBLE) - 1)::INT])) AS i{a}) t{a}" for a in "xy")
 query(
     "feature_tiles",
