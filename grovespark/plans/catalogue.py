@@ -13,7 +13,7 @@ from ..operators import clean, dataset, evaluate, geodesy, graph, labels, sampli
 from ..session import new_path
 from ..sources import adapters as A
 from ..sources import clouds as cloud_files
-from ..sources import las, sinks
+from ..sources import chunks, las, manifest, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -675,6 +675,44 @@ def _las_headers(s: SparkSession, d: str) -> DataFrame:
 query("las_points", _las_points, f"WITH {EV} SELECT 'plot' || (cloud_id % 5) AS source, point_id, cloud_id % 60 AS tree_id, (z % 4)::INT AS species, (point_id % 2)::INT AS inside, {', '.join(f'round({a}, 3) + 0.0 AS {a}' for a in AXES)}, 'EPSG:2180' AS crs FROM ev")
 query("las_plot_trees", _las_plot_trees, SQL["plot_trees"])
 query("las_headers", _las_headers, f"WITH {EV} SELECT 'plot' || (cloud_id % 5) AS source, 'EPSG:2180' AS crs, 6 AS point_format, count(*)::BIGINT AS points FROM ev GROUP BY ALL")
+_SPLIT_OF = F.when(F.col("cloud_id") % 10 < 8, "train").when(F.col("cloud_id") % 10 == 8, "test").otherwise("val").alias("split")
+_SPLIT_SQL = "CASE WHEN cloud_id % 10 < 8 THEN 'train' WHEN cloud_id % 10 = 8 THEN 'test' ELSE 'val' END AS split, (cloud_id % 17)::INT AS label"
+
+
+def _for_chunks(p: DataFrame) -> DataFrame:
+    return p.select(_SPLIT_OF, "cloud_id", (F.col("cloud_id") % 17).cast("int").alias("label"), "point_id", *AXES)
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    folder = new_path(s, "chunks")
+    chunks.write(_for_chunks(sampling.exact(A.event_points(s, d), POINTS)), folder, POINTS)
+    return chunks.read(s, folder).drop("place")
+
+
+def _relabelled(s: SparkSession, d: str) -> DataFrame:
+    """Labels 15 and 16 swapped and the validation clouds taken out, each as a version; the data files stay as they are."""
+    folder = new_path(s, "chunks")
+    chunks.write(_for_chunks(sampling.exact(A.event_points(s, d), POINTS)), folder, POINTS)
+    label = F.when(F.col("label") == 15, 16).when(F.col("label") == 16, 15).otherwise(F.col("label")).cast("int")
+    manifest.change(s, folder, lambda e: e.withColumn("label", label))
+    manifest.change(s, folder, lambda e: e.where("split <> 'val'"))
+    return chunks.read(s, folder).drop("place")
+
+
+def _rebalanced(s: SparkSession, d: str) -> DataFrame:
+    """The splits of the parts' clouds, of two points each, before and after the version that moves them."""
+    folder, p = new_path(s, "chunks"), A.table(s, d, "part")
+    two = p.select(F.col("p_partkey").alias("cloud_id"), F.posexplode(F.array("p_size", F.length("p_name"))).alias("point_id", "x"))
+    chunks.write(_for_chunks(two.select("cloud_id", "point_id", "x", F.col("x").alias("y"), F.col("x").alias("z"))), folder, 2)
+    moves = lambda e: labels.rebalanced(e.select("cloud_id", "split")).select("cloud_id", F.col("new_split").alias("split"))
+    after = manifest.change(s, folder, lambda e: manifest.moved(e, moves(e), "cloud_id", "split"), 1)
+    return manifest.entries(s, folder, 1).select("cloud_id", "split").join(manifest.entries(s, folder, after).select("cloud_id", F.col("split").alias("new_split")), "cloud_id")
+
+
+query("chunk_files", _chunks, f"WITH {EV}, ex AS (WITH {_EXACT}) SELECT cloud_id, {_SPLIT_SQL}, x, y, z FROM ex")
+query("chunk_rejects", lambda s, d: chunks.write(_for_chunks(A.event_points(s, d)), new_path(s, "chunks"), POINTS), f"WITH {EV} SELECT * FROM (SELECT cloud_id, {_SPLIT_SQL.split(', (')[0]}, count(*) AS n FROM ev GROUP BY ALL) WHERE n <> {POINTS}")
+query("chunk_relabel", _relabelled, f"SELECT cloud_id, split, CASE label WHEN 15 THEN 16 WHEN 16 THEN 15 ELSE label END AS label, x, y, z FROM ({SQL['chunk_files']}) WHERE split <> 'val'")
+query("chunk_rebalance", _rebalanced, SQL["rebalance_split"])
 query("npy_roundtrip", _cloud_files, f"WITH {EV} SELECT cloud_id, (cloud_id % 17)::INT AS label, x, y, z FROM ev")
 query("metadata_csv", _metadata_csv, SQL["metadata_a_pivot"])
 query("split_layout", _layout, f"{SQL['stratified_split']} WHERE split = 'test'")

@@ -30,7 +30,7 @@ def plain(lat, lon, s):
 @pytest.mark.parametrize("crs", ["EPSG:2180", "EPSG:2178", "EPSG:32634", "EPSG:32719"])
 def test_projection_to_a_tenth_of_a_millimetre(spark, crs):
     s, pick = geodesy.system(crs), random.Random(1)
-    places = [(pick.uniform(-80, 84), s.meridian + pick.uniform(-6, 6)) for _ in range(60)] + [(0.0, s.meridian), (52.0, s.meridian), (-45.0, s.meridian - 3)]
+    places = [(pick.uniform(-80, 84), s.meridian + pick.uniform(-6, 6)) for _ in range(60)] + [(0.0, float(s.meridian)), (52.0, float(s.meridian)), (-45.0, s.meridian - 3.0)]
     df = spark.createDataFrame(places + [(None, 3.0)], "lat double, lon double")
     rows = geodesy.with_grid(df, crs).collect()
     for r in rows[:-1]:
@@ -46,7 +46,7 @@ def test_boxes_hold_their_edges(spark):
     half = 60_000.0
     for r in geodesy.with_box(spark.createDataFrame(rows, "x double, y double"), half, "EPSG:2180").collect():
         edge = np.linspace(-half, half, 201)
-        spots = [(r["x"] + a, r["y"] + b) for t in edge for a, b in ((t, half), (t, -half), (half, t), (-half, t))]
+        spots = [(float(r["x"] + a), float(r["y"] + b)) for t in edge for a, b in ((t, half), (t, -half), (half, t), (-half, t))]
         got = geodesy.with_degrees(spark.createDataFrame(spots, "x double, y double"), "EPSG:2180").agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
         assert np.abs(np.array(got) - (r["south"], r["north"], r["west"], r["east"])).max() < 2e-6
         assert got[0] >= r["south"] - 1e-12 and got[1] <= r["north"] + 1e-12 and got[2] >= r["west"] - 1e-12 and got[3] <= r["east"] + 1e-12
