@@ -675,12 +675,12 @@ def _las_headers(s: SparkSession, d: str) -> DataFrame:
 query("las_points", _las_points, f"WITH {EV} SELECT 'plot' || (cloud_id % 5) AS source, point_id, cloud_id % 60 AS tree_id, (z % 4)::INT AS species, (point_id % 2)::INT AS inside, {', '.join(f'round({a}, 3) + 0.0 AS {a}' for a in AXES)}, 'EPSG:2180' AS crs FROM ev")
 query("las_plot_trees", _las_plot_trees, SQL["plot_trees"])
 query("las_headers", _las_headers, f"WITH {EV} SELECT 'plot' || (cloud_id % 5) AS source, 'EPSG:2180' AS crs, 6 AS point_format, count(*)::BIGINT AS points FROM ev GROUP BY ALL")
-_SPLIT_OF = F.when(F.col("cloud_id") % 10 < 8, "train").when(F.col("cloud_id") % 10 == 8, "test").otherwise("val").alias("split")
 _SPLIT_SQL = "CASE WHEN cloud_id % 10 < 8 THEN 'train' WHEN cloud_id % 10 = 8 THEN 'test' ELSE 'val' END AS split, (cloud_id % 17)::INT AS label"
 
 
 def _for_chunks(p: DataFrame) -> DataFrame:
-    return p.select(_SPLIT_OF, "cloud_id", (F.col("cloud_id") % 17).cast("int").alias("label"), "point_id", *AXES)
+    split = F.when(F.col("cloud_id") % 10 < 8, "train").when(F.col("cloud_id") % 10 == 8, "test").otherwise("val").alias("split")
+    return p.select(split, "cloud_id", (F.col("cloud_id") % 17).cast("int").alias("label"), "point_id", *AXES)
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
