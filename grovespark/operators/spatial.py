@@ -125,3 +125,46 @@ def features(pages: DataFrame, column: str) -> DataFrame:
     page = pages.withColumn("_p", F.from_json(column, schema))
     after = F.get(F.filter("_p.links", lambda k: k.rel == "next"), F.lit(0)).href
     return page.withColumn("next", after).withColumn("_f", F.explode_outer("_p.features")).select(*(c for c in pages.columns if c != column), "next", "_f.properties.species_cd", "_f.properties.region_name")
+
+
+def ring_edges(shapes: DataFrame) -> DataFrame:
+    """(stand_id, x1, y1, x2, y2) of shapes (stand_id, rings: arrays of (x, y)): parts and holes alike are rings; the last point is joined to the first, and may repeat it. Null and empty rings have none."""
+    ring = shapes.select("stand_id", F.explode("rings").alias("r")).where("size(r) > 0")
+    after = F.concat(F.slice("r", F.lit(2), F.size("r")), F.slice("r", F.lit(1), F.lit(1)))
+    pair = F.explode(F.zip_with("r", after, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))))
+    return ring.select("stand_id", pair.alias("e")).select("stand_id", "e.*")
+
+
+def polygon_tiles(shapes: DataFrame, grid: DataFrame, size: float) -> DataFrame:
+    """(stand_id, ix, iy): every tile whose box the shape touches or holds, borders included. Shapes as in ring_edges(); a place is inside if a line from it crosses the rings an odd number of times.
+
+    Tiles on the border are those that an edge, clipped to each row of tiles, passes through. Other tiles are wholly inside or outside, so that in each row
+    the crossings with its middle line say which are taken, without any test of a tile. A row is an edge in one row of tiles.
+    """
+    at = ring_edges(shapes).crossJoin(F.broadcast(grid))  # one row
+    e = at.select("stand_id", "nx", "ny", *(((F.col(f"{a}{k}") - F.col(f"o{a}")) / size).alias(f"{b}{k}") for a, b in (("x", "u"), ("y", "v")) for k in (1, 2)))
+    low, high = F.least("v1", "v2"), F.greatest("v1", "v2")
+
+    def each(rows: DataFrame, name: str, first: Column, last: Column, n: str) -> DataFrame:
+        """rows for each whole number from first to last that is a tile's."""
+        lo, hi = F.greatest(first.cast("long"), F.lit(0)), F.least(last.cast("long"), F.col(n) - 1)
+        return rows.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn(name, F.explode(F.sequence(F.col("_lo").cast("int"), F.col("_hi").cast("int")))).drop("_lo", "_hi")
+
+    rows = each(e, "iy", F.ceil(low) - 1, F.floor(high), "ny")
+    ends = [F.coalesce(F.try_divide(F.col("iy") + k - F.col("v1"), F.col("v2") - F.col("v1")), F.lit(float(k))) for k in (0, 1)]
+    t = [F.greatest(F.lit(0.0), F.least(*ends)), F.least(F.lit(1.0), F.greatest(*ends))]
+    u = [F.col("u1") + p * (F.col("u2") - F.col("u1")) for p in t]
+    border = each(rows.withColumns({"ua": F.least(*u), "ub": F.greatest(*u)}), "ix", F.ceil("ua") - 1, F.floor("ub"), "nx").select("stand_id", "ix", "iy")
+    lines = each(e, "iy", F.ceil(low - 0.5), F.ceil(high - 0.5) - 1, "ny")
+    line = lines.select("stand_id", "nx", "iy", (F.col("u1") + F.try_divide(F.col("iy") + 0.5 - F.col("v1"), F.col("v2") - F.col("v1")) * (F.col("u2") - F.col("u1"))).alias("u"))
+    w = Window.partitionBy("stand_id", "iy").orderBy("u")
+    spans = line.select("stand_id", "nx", "iy", "u", F.lead("u").over(w).alias("to"), (F.row_number().over(w) % 2 == 1).alias("opens")).where("opens")
+    inner = each(spans, "ix", F.ceil(F.col("u") - 0.5), F.floor(F.col("to") - 0.5), "nx").select("stand_id", "ix", "iy")
+    return border.unionByName(inner).distinct()
+
+
+def polygon_species(shapes: DataFrame, grid: DataFrame, size: float) -> DataFrame:
+    """tile_species() of shapes (stand_id, species_code, rings): a shape counts in every tile that it touches."""
+    known = shapes.withColumn("species", species_of_code(F.col("species_code"))).where("species is not null")
+    placed = polygon_tiles(known, grid, size).join(known.select("stand_id", "species"), "stand_id")
+    return placed.groupBy("ix", "iy", "species").agg(F.count("*").alias("n"), F.min("stand_id").alias("first_seen"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
@@ -408,7 +409,7 @@ query("domain_augment", lambda s, d: rounded(sampling.augment(A.event_points(s,
 
 # Species refinement
 
-MAP_TILE = 25.0
+MAP_TILE, SHAPE_TILE = 25.0, 5.0
 _PAIRS = ", ".join(f"('{seg}', '{code}')" for seg, code in T.CODES.items())
 _INV = ", ".join(f"('{c}', {i}, {T.genus_of(latin)})" for i, (c, latin) in enumerate(T.INVENTORY))
 _DEF = ", ".join(f"({i}, {T.default_species(g)})" for i, g in enumerate(T.GENERA))
@@ -502,6 +503,41 @@ FROM ce LEFT JOIN nt USING (cloud_id) LEFT JOIN no USING (cloud_id, genus) JOIN
 )
 
 
+#: Shapes about each stand: a star of seven corners with a hole, and a triangle beside it. (ring, corners, radius, turn, shift)
+_RINGS = [("s", 7, 9.0, 0.0, 0.0), ("h", 5, 2.0, 0.7, 0.0), ("t", 3, 4.0, 0.3, 17.0)]
+
+
+def _shapes(s: SparkSession, d: str) -> DataFrame:
+    def ring(name: str, corners: int, radius: float, turn: float, shift: float) -> Column:
+        def corner(j: Column) -> Column:
+            r, angle = radius * (0.6 + 0.8 * rng.uniform(name, "stand_id", j)), turn + j * (2 * math.pi / corners)
+            return F.struct(F.round(F.col("x") + shift + r * F.cos(angle), 6).alias("x"), F.round(F.col("y") + r * F.sin(angle), 6).alias("y"))
+
+        return F.array(*(corner(F.lit(j)) for j in range(corners)))
+
+    return _stands(s, d).select("stand_id", "species_code", F.array(*(ring(*k) for k in _RINGS)).alias("rings"))
+
+
+def _shape_grid(s: SparkSession, d: str) -> DataFrame:
+    return spatial.tile_grid(_stands(s, d).where("species_code is not null"), SHAPE_TILE)
+
+
+def _corner(name: str, corners: int, radius: float, turn: float, shift: float, j: str) -> str:
+    r, angle = f"{radius}::DOUBLE * (0.6::DOUBLE + 0.8::DOUBLE * {u(name, 'stand_id', j)})", f"({turn}::DOUBLE + {j} * {2 * math.pi / corners!r}::DOUBLE)"
+    return f"round(x + {shift}::DOUBLE + {r} * cos{angle}, 6) AS px, round(y + {r} * sin{angle}, 6) AS py"
+
+
+_CORNERS = " UNION ALL ".join(f"SELECT stand_id, code, '{k[0]}' AS ring, {k[1]} AS k, j, {_corner(*k, 'j')} FROM sd, range({k[1]}) AS _(j)" for k in _RINGS)
+#: All pairs of edges and tiles: a segment and a box meet unless an axis or the segment's normal parts them; and the middle of each tile against all edges of a shape.
+_POLYGONS = f"""{_MAP.replace(f"{MAP_TILE}::DOUBLE", f"{SHAPE_TILE}::DOUBLE")}, co AS ({_CORNERS}),
+eg AS (SELECT a.stand_id, a.code, (a.px - ox) / {SHAPE_TILE}::DOUBLE AS u1, (a.py - oy) / {SHAPE_TILE}::DOUBLE AS v1, (b.px - ox) / {SHAPE_TILE}::DOUBLE AS u2, (b.py - oy) / {SHAPE_TILE}::DOUBLE AS v2 FROM co a JOIN co b ON b.stand_id = a.stand_id AND b.ring = a.ring AND b.j = (a.j + 1) % a.k, gr),
+tl AS (SELECT ix, iy, ix + 0.5::DOUBLE AS mu, iy + 0.5::DOUBLE AS mv FROM gr, LATERAL (SELECT unnest(range(nx))::INT AS ix), LATERAL (SELECT unnest(range(ny))::INT AS iy)),
+pt AS (SELECT stand_id, code, ix, iy FROM eg, tl GROUP BY ALL HAVING bool_or(greatest(u1, u2) >= ix AND least(u1, u2) <= ix + 1 AND greatest(v1, v2) >= iy AND least(v1, v2) <= iy + 1 AND abs((u2 - u1) * (v1 - mv) - (v2 - v1) * (u1 - mu)) <= (abs(u2 - u1) + abs(v2 - v1)) / 2)
+  OR count(*) FILTER ((v1 <= mv) <> (v2 <= mv) AND u1 + (mv - v1) / nullif(v2 - v1, 0) * (u2 - u1) > mu) % 2 = 1)"""
+query("polygon_tiles", lambda s, d: spatial.polygon_tiles(_shapes(s, d), _shape_grid(s, d), SHAPE_TILE), f"{_POLYGONS} SELECT stand_id, ix, iy FROM pt")
+query("polygon_species", lambda s, d: spatial.polygon_species(_shapes(s, d), _shape_grid(s, d), SHAPE_TILE), f"{_POLYGONS} SELECT ix, iy, species, count(*) AS n, min(stand_id) AS first_seen FROM pt JOIN iv USING (code) GROUP BY ALL")
+
+
 def _degrees(rows: DataFrame) -> DataFrame:
     """Places of 0 to 100 as degrees about the middle of Poland."""
     return rows.withColumns({"lat": 51.5 + F.col("y") / 100, "lon": 18.5 + F.col("x") / 100})
