@@ -1,5 +1,6 @@
 """Predictions and their evaluation; experiment histories."""
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -7,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from .names import free_names
+from .ranks import bounds, numbered
 from .views import VIEWS
 
 
@@ -122,8 +126,84 @@ def case_score(history: DataFrame, by: str, step: str, accuracy_: str, loss: str
     return last.select(by, (0.6 * F.col("e.a") + 0.4 / (1 + F.col("e.l"))).alias("score"))
 
 
-def pruned(history: DataFrame, by: str, step: str, value: str, startup: int, warmup: int) -> DataFrame:
-    """(trial, step): where a trial is below the median of the earlier trials at that step, after the first trials and steps."""
-    earlier = Window.partitionBy(step).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    rated = history.withColumn("median", F.percentile(value, F.lit(0.5)).over(earlier)).withColumn("trials", F.count("*").over(earlier))
-    return rated.where((F.col("trials") >= startup) & (F.col(step) >= warmup) & (F.col(value) < F.col("median"))).select(by, step)
+def interpolated(low: float, high: float) -> float:
+    return 0.5 * low + 0.5 * high
+
+
+class RunningMedian:
+    """The median of all values so far: those that are known to lie below and above are counts, the rest are two heaps."""
+
+    def __init__(self, below: int, values: list[float], total: int):
+        """values: those between, in any order; total: of all, with those below and above."""
+        half = min(max(0, (total + 1) // 2 - below), len(values))
+        values = sorted(values)
+        self.low, self.high = [-v for v in reversed(values[:half])], values[half:]
+        heapq.heapify(self.low)
+        self.below, self.total = below, total
+
+    def median(self) -> float | None:
+        if not self.total:
+            return None
+        return -self.low[0] if self.total % 2 else interpolated(-self.low[0], self.high[0])
+
+    def add(self, value: float) -> None:
+        self.total += 1
+        heapq.heappush(self.high, -heapq.heappushpop(self.low, -value))
+        if self.below + len(self.low) < (self.total + 1) // 2:
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+
+#: Rows of a key that one task takes in order at least; of more than BLOCKS times that, a BLOCKS-th.
+BLOCK_ROWS, BLOCKS = 4096, 512
+
+
+def earlier_medians(rows: DataFrame, key: str, order: str, value: str, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds name: the median of the values of the rows before each one, by the order within its key; null where there are none. Null values count as none.
+
+    A key's rows are cut into blocks by their order, which are done apart. A block adds so few values that its medians lie within that many places of the
+    middle of what is before it, so that it needs only those values. They are found by counts of earlier blocks' rows in ranges of values: each block reads the
+    rows of the few ranges that hold its middle places. All together read each row a few times.
+    """
+    at, number, n, span, block, of, place = free_names(rows, "at", "number", "n", "span", "block", "of", "place")
+    w = F.col(value).cast("double")
+    sizes = rows.where(w.isNotNull()).groupBy(key).agg(F.greatest(F.lit(block_rows), F.ceil(F.count("*") / BLOCKS)).cast("long").alias(n))
+    placed = numbered(rows, [key], [order], number).withColumn(at, w)
+    sized = placed.join(sizes.withColumnRenamed(key, span), F.col(key).eqNullSafe(F.col(span)), "left").drop(span)
+    filled = sized.withColumn(n, F.coalesce(n, F.lit(block_rows))).withColumn(block, F.floor((F.col(number) - 1) / F.col(n)).cast("long"))
+    limits = bounds(filled, at)
+    part = F.size(F.filter(F.array(*map(F.lit, limits)), lambda b: b <= F.col(at))) if limits else F.lit(0)
+    whole = written(filled.withColumn(span, F.when(F.col(at).isNotNull(), part)))
+    slim = whole.where(F.col(at).isNotNull()).select(F.col(key).alias("k"), F.col(block).alias("b"), F.col(span).alias("r"), F.col(at).alias("v"))
+    counts = slim.groupBy("k", "b", "r").agg(F.count("*").alias("c"))
+    every = whole.select(F.col(key).alias("k"), F.col(block).alias("b"), F.col(n).alias("size")).distinct()
+    # of the rows before each block, by range: those of the range, and of the ranges below
+    mine = every.alias("e").join(counts.alias("c"), F.expr("e.k <=> c.k and c.b < e.b")).groupBy("e.k", "e.b", "e.size", "c.r").agg(F.sum("c").alias("c"))
+    by_value = Window.partitionBy("k", "b").orderBy("r")
+    mine = mine.withColumns({"below": F.sum("c").over(by_value) - F.col("c"), "total": F.sum("c").over(Window.partitionBy("k", "b"))})
+    near = mine.where((F.col("below") <= F.col("total") / 2 + F.col("size") + 1) & (F.col("below") + F.col("c") >= F.col("total") / 2 - F.col("size") - 1))
+    needed = near.select("k", "b", "r", "below", "total")
+    seeds = needed.alias("n").join(slim.alias("s"), F.expr("n.k <=> s.k and n.r = s.r and s.b < n.b")).select("n.k", "n.b", "n.below", "n.total", "s.v", F.lit(None).cast("long").alias("i"))
+    own = whole.select(F.col(key).alias("k"), F.col(block).alias("b"), F.lit(None).cast("long").alias("below"), F.lit(None).cast("long").alias("total"), F.col(at).alias("v"), F.col(number).alias("i"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        before, now = g[g["i"].isna()], g[g["i"].notna()].sort_values("i")
+        state = RunningMedian(int(before["below"].min()), before["v"].tolist(), int(before["total"].iloc[0])) if len(before) else RunningMedian(0, [], 0)
+        medians = []
+        for v in now["v"]:
+            medians.append(state.median())
+            if not pd.isna(v):
+                state.add(v)
+        return pd.DataFrame({"k": now["k"], "i": now["i"].astype("int64"), "m": pd.array(medians, dtype="Float64")})
+
+    medians = seeds.unionByName(own).groupBy("k", "b").applyInPandas(run, f"k {kind}, i long, m double").select(F.col("k").alias(of), F.col("i").alias(place), F.col("m").alias(name))
+    out = whole.join(medians, F.col(key).eqNullSafe(F.col(of)) & (F.col(number) == F.col(place)))
+    return out.select(*rows.columns, name, (F.col(number) - 1).alias(f"{name}_rows"))
+
+
+def pruned(history: DataFrame, by: str, step: str, value: str, startup: int, warmup: int, interval: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(trial, step): where a trial is below the median of the earlier trials at that step, after the first trials and steps; from then on every `interval` steps are looked at."""
+    looked = history.where((F.col(step) >= warmup) & ((F.col(step) - warmup) % interval == 0))
+    (median,) = free_names(history, "median")
+    rated = earlier_medians(looked, step, by, value, median, block_rows)
+    return rated.where((F.col(f"{median}_rows") >= startup) & (F.col(value) < F.col(median))).select(by, step)

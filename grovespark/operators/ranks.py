@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import free_names
+
 #: Ranges that a key's rows are parted into; a window is over those of a key, or over the rows of one range.
 RANGES = 512
 
@@ -23,15 +25,17 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str | Column], name:
     if part is None:
         limits = bounds(rows, order[0])
         part = F.when(F.col(order[0]).isNotNull(), F.size(F.filter(F.array(*map(F.lit, limits)), lambda b: b <= F.col(order[0]))) + 1).otherwise(0) if limits else F.lit(0)
-    marked = rows.withColumn("_part", part)
-    sums = marked.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")) - F.col("_n")
-    sums = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_of"), before.alias("_before"))
-    same = F.col("_part") == F.col("_of")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    within = Window.partitionBy(*keys, "_part").orderBy(*order)
-    return marked.join(sums, same).withColumn(name, (F.col("_before") + F.row_number().over(within)).cast("long")).select(*rows.columns, name)
+    own, count, of, start = free_names(rows, "part", "n", "of", "before")
+    named = free_names(rows, *(f"key{i}" for i in range(len(keys))))
+    marked = rows.withColumn(own, part)
+    sums = marked.groupBy(*keys, own).agg(F.count("*").alias(count))
+    before = F.sum(count).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(own)) - F.col(count)
+    sums = sums.select(*(F.col(k).alias(n) for k, n in zip(keys, named)), F.col(own).alias(of), before.alias(start))
+    same = F.col(own) == F.col(of)
+    for k, n in zip(keys, named):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    within = Window.partitionBy(*keys, own).orderBy(*order)
+    return marked.join(sums, same).withColumn(name, (F.col(start) + F.row_number().over(within)).cast("long")).select(*rows.columns, name)
 
 
 def by_draw(draw: Column) -> Column:

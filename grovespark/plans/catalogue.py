@@ -659,6 +659,7 @@ _OBJECTIVE = f"WITH {_HIST}, ob AS (SELECT trial, 0.6::DOUBLE * max(acc) + 0.4::
 query("best_trial", lambda s, d: rounded(evaluate.best_trial(evaluate.objective(_history(s, d), "trial", "acc", "loss"), "trial"), 9, "objective"), f"{_OBJECTIVE} SELECT trial, round(objective, 9) AS objective FROM ob ORDER BY objective DESC, trial LIMIT 1")
 query("case_score", lambda s, d: rounded(evaluate.case_score(_history(s, d), "trial", "step", "acc", "loss"), 9), f"WITH {_HIST} SELECT trial, round(0.6::DOUBLE * arg_max(acc, step) + 0.4::DOUBLE / (1 + arg_max(loss, step)), 9) AS score FROM hs GROUP BY 1")
 query("prune_median", lambda s, d: evaluate.pruned(_history(s, d), "trial", "step", "acc", 30, 25), f"WITH {_HIST}, md AS (SELECT *, quantile_cont(acc, 0.5) OVER e AS m, count(*) OVER e AS n FROM hs WINDOW e AS (PARTITION BY step ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT trial, step FROM md WHERE n >= 30 AND step >= 25 AND acc < m")
+query("prune_median_interval", lambda s, d: evaluate.pruned(_history(s, d), "trial", "step", "acc", 30, 25, 5, 16), f"SELECT * FROM ({SQL['prune_median']}) WHERE (step - 25) % 5 = 0")
 
 # Files
 
