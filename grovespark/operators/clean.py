@@ -25,7 +25,12 @@ def bbox(points: DataFrame, margin: float = 0.05) -> DataFrame:
 def center(points: DataFrame, key: str = "cloud_id") -> DataFrame:
     """Moves each cloud's (or plot's, by another key) centroid to the origin."""
     mean = per_cloud(points, key).select(key, *(f"mean_{a}" for a in AXES))
-    return points.join(mean, key).select(*points.columns[:2], *((F.col(a) - F.col(f"mean_{a}")).alias(a) for a in AXES))
+    return points.select(*points.columns[:2], *AXES).join(mean, key).select(*points.columns[:2], *((F.col(a) - F.col(f"mean_{a}")).alias(a) for a in AXES))
+
+
+def packed(points: DataFrame) -> DataFrame:
+    """(cloud_id, point_id, x, y, z, _row): what work on points needs, and all columns of any names in one, so that the work's own names can't clash with theirs."""
+    return points.select("cloud_id", "point_id", *AXES, F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("_row"))
 
 
 def safe(points: DataFrame, least: int = 16) -> DataFrame:
@@ -59,7 +64,7 @@ def drop_background(points: DataFrame) -> DataFrame:
 def unit(points: DataFrame) -> DataFrame:
     """Scales each cloud into the unit box; a span counts as 1e-6 at least."""
     box = per_cloud(points)
-    return points.join(box, "cloud_id").select(*points.columns[:2], *((((F.col(a) - F.col(f"min_{a}")) / F.greatest(F.col(f"max_{a}") - F.col(f"min_{a}"), F.lit(1e-6))).alias(a)) for a in AXES))
+    return points.select(*points.columns[:2], *AXES).join(box, "cloud_id").select(*points.columns[:2], *((((F.col(a) - F.col(f"min_{a}")) / F.greatest(F.col(f"max_{a}") - F.col(f"min_{a}"), F.lit(1e-6))).alias(a)) for a in AXES))
 
 
 def plot_trees(points: DataFrame, least: float = 1.4) -> DataFrame:

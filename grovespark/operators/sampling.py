@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import between, normal, uniform
 from ..session import cut
-from .clean import per_cloud, safe
+from .clean import packed, per_cloud, safe
 from .farthest import across
 from .ranks import numbered
 
@@ -103,7 +103,7 @@ RANGES = {"x": (0.85, 1.25), "y": (0.85, 1.25), "z": (0.82, 1.32)}
 
 
 def scale_about_mean(points: DataFrame, ranges: dict[str, tuple[float, float]] = RANGES) -> DataFrame:
-    p = points.join(per_cloud(points).select("cloud_id", "mean_x", "mean_y", "mean_z"), "cloud_id")
+    p = packed(points).join(per_cloud(points).select("cloud_id", "mean_x", "mean_y", "mean_z"), "cloud_id")
     return p.select("cloud_id", "point_id", *((F.col(f"mean_{a}") + (F.col(a) - F.col(f"mean_{a}")) * between("m" + a, *r, "cloud_id")).alias(a) for a, r in ranges.items()))
 
 
@@ -165,13 +165,13 @@ def keep(points: DataFrame, chance: Column, seed: str, probability: float | None
 
     With a probability, only so many clouds, by a coin of their own, are touched.
     """
-    both = points.join(per_cloud(points), "cloud_id").withColumns({"u" + a: (F.col(a) - F.col(f"min_{a}")) / F.greatest(span(a), F.lit(1e-6)) for a in "xyz"})
+    both = packed(points).join(per_cloud(points), "cloud_id").withColumns({"u" + a: (F.col(a) - F.col(f"min_{a}")) / F.greatest(span(a), F.lit(1e-6)) for a in "xyz"})
     stays = uniform(seed, "cloud_id", "point_id") < chance
     if probability is not None:
         stays |= uniform(seed + "?", "cloud_id") >= probability
     marked = both.withColumn("_stays", stays)
     few = marked.groupBy("cloud_id").agg(F.count(F.when(F.col("_stays"), 1)).alias("_left"))
-    return marked.join(few, "cloud_id").where((F.col("_stays")) | (F.col("_left") < survivors)).select(points.columns)
+    return marked.join(few, "cloud_id").where((F.col("_stays")) | (F.col("_left") < survivors)).select("_row.*")
 
 
 def added(points: DataFrame, kind: str, low: float, high: float, least: int) -> DataFrame:
@@ -216,7 +216,7 @@ def outliers(points: DataFrame) -> DataFrame:
 
 def crown_leak(points: DataFrame) -> DataFrame:
     """Draws from the crown's points with replacement, beside the cloud, of clouds with 32 such points; (cloud_id, point_id, k, x, y, z) of the draws k that stay."""
-    box = per_cloud(points)
+    points, box = points.select("cloud_id", "point_id", *"xyz"), per_cloud(points)
     crown = points.join(box, "cloud_id").where((F.col("z") - F.col("min_z")) / F.greatest(span("z"), F.lit(1e-6)) > between("cl", 0.45, 0.70, "cloud_id")).select(points.columns)
     enough = crown.groupBy("cloud_id").agg(F.count("*").alias("c")).where("c >= 32")
     stays = uniform("clk", "cloud_id", "k") < between("clp", 0.20, 0.55, "cloud_id")
