@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions import tables as T
-from ..operators import clean, dataset, evaluate, geodesy, graph, labels, sampling, spatial, views, voxels
-from ..session import new_path
+from ..operators import clean, dataset, evaluate, geodesy, graph, labels, learn, sampling, spatial, views, voxels
+from ..session import new_path, written
 from ..sources import adapters as A
 from ..sources import clouds as cloud_files
 from ..sources import chunks, las, manifest, sinks
@@ -759,3 +759,21 @@ query(
     lambda s, d: evaluate.classified(A.line_points(s, d), views.project(A.line_points(s, d), SIZE), SIZE, evaluate.view_means).select("cloud_id", F.array_join(F.transform("logits", lambda v: F.format_number(v, 5)), " ").alias("scores"), "pred"),
     f"{_views_sql('li')}, lg AS (SELECT cloud_id, [{_LEVELS}] AS logits FROM vw GROUP BY 1) SELECT cloud_id, array_to_string(list_transform(logits, lambda v: format('{{:.5f}}', v)), ' ') AS scores, (list_position(logits, list_max(logits)) - 1)::INT AS pred FROM lg",
 )
+
+
+def _whole_and_thinned(s: SparkSession, d: str) -> DataFrame:
+    """(cloud_id, point_id, x, y, z): each large cloud, by twice its number, and a copy that has lost branches, by the number after."""
+    p = A.table(s, d, "lineitem").select(F.col("l_suppkey").alias("cloud_id"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("point_id"), (F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("y"), (F.col("l_discount") * 100).alias("z"))
+    lost = sampling.keep(p, sampling.branch_loss(), "lost")
+    return p.withColumn("cloud_id", F.col("cloud_id") * 2).unionByName(lost.withColumn("cloud_id", F.col("cloud_id") * 2 + 1))
+
+
+def _learned(s: SparkSession, d: str) -> DataFrame:
+    """Which clouds have lost branches (label 1), by their views, learned from four fifths of the clouds; a cloud and its copy share a fold."""
+    features = written(learn.view_features(views.project(_whole_and_thinned(s, d), SIZE), SIZE))
+    fold = F.pmod(F.xxhash64(F.floor(F.col("cloud_id") / 2)), F.lit(5)) == 0
+    rows = features.withColumns({"label": (F.col("cloud_id") % 2).cast("int"), "held_out": fold, "id": F.col("cloud_id")})
+    return learn.score(learn.fit(rows.where("not held_out")), rows).select("cloud_id", "label", "held_out", "pred")
+
+
+query("learned_views", _learned)
