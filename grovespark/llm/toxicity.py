@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are all words that 3 to 48 of the examples hold, and, whatever their frequency, words and word
+Terms are all words that three examples hold at least, however common, and words and word
 beginnings that are several times as frequent under label 1. A text's vector has TF-IDF weights over them, times a factor that grows with
 a term's lift towards label 1 and never falls below a floor, so that ordinary texts have vectors and neighbours too.
 
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Labelled rows that are examples at most (the first by a hash of their id), neighbours, examples of a block, blocks that are scored first.
-EXAMPLES = 16_384
+EXAMPLES = 4_096
 NEIGHBOURS = 15
 BLOCK, FIRST_BLOCKS = 64, 8
-#: A word is a term if so many examples hold it at least and at most; commoner ones tell little of which examples are near.
-LEAST_DOCS, MOST_DOCS = 3, 48
-#: ... or if the logarithm of its lift towards label 1 (smoothed by one document) is at least this; word beginnings count only then.
+#: A word is a term if so many examples hold it,
+LEAST_DOCS = 3
+#: ... or one fewer, if the logarithm of its lift towards label 1 (smoothed by one document) is at least this; word beginnings count only then.
 LEAST_LIFT = 1.0
 #: Weights are times the logarithm of the lift by this, and times the floor at least.
 LIFT_UNIT, FLOOR = 3.0, 0.05
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
     prior = ones / n
     lift = F.log((F.col("a") + prior) / (ones + 1.0) / ((F.col("b") + 1 - prior) / (n - ones + 1.0)))
     held = F.col("a") + F.col("b")
-    plain = ~F.endswith(F.col("term"), F.lit("*")) & (held >= LEAST_DOCS) & (held <= MOST_DOCS)
+    plain = ~F.endswith(F.col("term"), F.lit("*")) & (held >= LEAST_DOCS)
     top = df.withColumn("lift", lift).where(plain | ((F.col("lift") >= LEAST_LIFT) & (held >= LEAST_DOCS - 1))).orderBy("term").toArrow()
     held = top["a"].to_numpy() + top["b"].to_numpy()
     vocabulary = Vocabulary(top["term"].to_pylist(), (np.log((1 + n) / (1 + held)) + 1) * np.maximum(FLOOR, top["lift"].to_numpy() / LIFT_UNIT))

@@ -188,6 +188,37 @@ def plain_vector(index, text):
     return {f: x / norm for f, x in raw.items()}
 
 
+def test_toxicity_is_cosine_over_all_words(spark):
+    """Neighbours of sf0.01's documents against vectors made from the texts alone: no word that three examples hold is left out."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(docs, labels.where("doc_id % 3 > 0"))
+    text, y = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    ids = [i for i in index.doc_ids.tolist()]
+    assert set(ids) == {i for i in y if i % 3 and y[i] is not None and i in text}
+    words = lambda t: [f for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for f in [w, *(w[:n] + "*" for n in (4, 5) if len(w) > n)]]
+    counts = {i: Counter(words(text[i])) for i in ids}
+    a, b = (Counter(f for i in ids if y[i] == k for f in counts[i]) for k in (1, 0))
+    ones, n = sum(y[i] for i in ids), len(ids)
+    weight = {}
+    for f in a.keys() | b.keys():
+        lift = math.log((a[f] + ones / n) / (ones + 1) / ((b[f] + 1 - ones / n) / (n - ones + 1)))
+        held = a[f] + b[f]
+        if held >= 3 and not f.endswith("*") or held >= 2 and lift >= 1:
+            weight[f] = (math.log((1 + n) / (1 + held)) + 1) * max(0.05, lift / 3)
+    assert set(weight) == set(index.vocabulary.numbers) and max(a[f] + b[f] for f in weight) > n // 2
+
+    def vector(c):
+        raw = {f: (1 + math.log(k)) * weight[f] for f, k in c.items() if f in weight}
+        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+        return {f: x / norm for f, x in raw.items()}
+
+    examples = {i: vector(c) for i, c in counts.items()}
+    for i in sorted(text)[::25]:
+        q = vector(Counter(words(text[i])))
+        want = sorted((sum(q.get(f, 0) * w for f, w in v.items()) for v in examples.values()), reverse=True)[: toxicity.NEIGHBOURS]
+        assert [c for c, _ in index.nearest(index.vector(toxicity.terms_of(text[i])))] == pytest.approx([c for c in want if c > 0])
+
+
 def test_toxicity_neighbours_are_exact(spark, docs, empty):
     rows = [(i, f"plain words {i} here " + ("rotten foul " if i % 3 == 0 else ""), "en", "s", 1, "", 1) for i in range(120)]
     d = spark.createDataFrame(rows, SCHEMA)
