@@ -1,10 +1,11 @@
 """Predictions and their evaluation; experiment histories."""
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +29,27 @@ def predicted(scores: DataFrame) -> DataFrame:
     return scores.withColumn("pred", argmax())
 
 
-def classified(clouds: DataFrame, pixels: DataFrame, size: int, scorer: Callable[[np.ndarray], np.ndarray], empty: int = 15) -> DataFrame:
-    """(cloud_id, logits, pred): each cloud's five views go to `scorer`, which makes class scores of an array (clouds, 5, size, size).
+def classified(clouds: DataFrame, pixels: DataFrame, size: int, scorer: Callable[[np.ndarray], np.ndarray], empty: int = 15, batch: int = 16) -> DataFrame:
+    """(cloud_id, logits, pred): each cloud's five views go to `scorer`, which makes class scores of an array (clouds, 5, size, size) of `batch` clouds at most.
 
-    A cloud without pixels has null logits and the class for bad segmentation. Sparse pixels are gathered by cloud: 5 x size x size at most.
+    A cloud without pixels has null logits and the class for bad segmentation. Sparse pixels are gathered by cloud: 5 x size x size at most; a task holds a batch of dense ones.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((1, len(VIEWS), size, size))
-        image[0, g["view"].map(VIEWS.index), g["row"], g["col"]] = g["value"]
-        return pd.DataFrame({"cloud_id": g["cloud_id"].iloc[:1], "logits": [scorer(image)[0].tolist()]})
-
-    scored = pixels.groupBy("cloud_id").applyInPandas(run, "cloud_id long, logits array<double>")
+    view = F.array_position(F.array(*map(F.lit, VIEWS)), F.col("view")) - 1
+    place = ((view * size + F.col("row")) * size + F.col("col")).cast("int")
+    gathered = pixels.groupBy("cloud_id").agg(F.collect_list(F.struct(place.alias("place"), F.col("value").cast("double").alias("value"))).alias("p"))
+    sparse = gathered.select("cloud_id", F.col("p.place").alias("place"), F.col("p.value").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, batch):
+                some = b.slice(lo, batch)
+                images = np.zeros((some.num_rows, len(VIEWS) * size * size))
+                for k, (at, values) in enumerate(zip(some["place"], some["value"])):
+                    images[k, at.values.to_numpy()] = values.values.to_numpy()
+                scores = np.asarray(scorer(images.reshape(-1, len(VIEWS), size, size)), float)
+                yield pa.record_batch([some["cloud_id"], pa.array(scores.tolist(), pa.list_(pa.float64()))], ["cloud_id", "logits"])
+
+    scored = sparse.mapInArrow(run, "cloud_id long, logits array<double>")
     every = clouds.select("cloud_id").distinct().join(scored, "cloud_id", "left")
     return every.withColumn("pred", F.coalesce(argmax(), F.lit(empty)))
 

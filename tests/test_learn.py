@@ -1,5 +1,6 @@
 """Learning from views: held-out accuracy, and features of a cloud known by hand."""
 
+import numpy as np
 import pytest
 
 from grovespark.operators import evaluate, learn
@@ -27,3 +28,17 @@ def test_null_labels_are_not_learned_from(spark):
     df = spark.createDataFrame(rows, "id long, features array<double>, label int")
     out = learn.score(learn.fit(df), df)
     assert out.columns == ["id", "features", "label", "logits", "pred"] and all(r["pred"] == r["id"] % 2 for r in out.collect())
+
+
+def test_scorer_gets_batches_of_clouds(spark):
+    rows = [(c, v, c % 4, 1, 0.5 + c) for c in range(20) for v in ("top", "right")]
+    pixels = spark.createDataFrame(rows, "cloud_id long, view string, row int, col int, value double").repartition(1, "cloud_id")
+    clouds = spark.createDataFrame([(c,) for c in range(21)], "cloud_id long")
+
+    def scorer(images):
+        assert images.shape[1:] == (5, 4, 4) and len(images) <= 8
+        return np.stack([np.full(len(images), float(len(images))), images[:, 0].sum(axis=(1, 2)), images[:, 4].reshape(len(images), -1).argmax(axis=1)], axis=1)
+
+    got = {r["cloud_id"]: r for r in evaluate.classified(clouds, pixels, 4, scorer, batch=8).collect()}
+    assert got[20]["logits"] is None and got[20]["pred"] == 15
+    assert all(got[c]["logits"][1:] == [0.5 + c, c % 4 * 4 + 1] for c in range(20)) and max(r["logits"][0] for c, r in got.items() if c < 20) == 8
