@@ -76,22 +76,32 @@ def cells(low: Column, high: Column, size: float) -> Column:
 
 
 def near_stands(spots: DataFrame, stands: DataFrame, size: float) -> DataFrame:
-    """(spot_id, stand_id, species_code): stands within the box of that size about each spot, borders included. Cells of that size become equi-join keys."""
+    """(spot_id, stand_id, species_code): stands within the box of that size about each spot, borders included. Cells of that size become equi-join keys.
+
+    If both have a collection, a stand counts for spots of its own collection only, and a null one for none.
+    """
     half = size / 2
+    own_only = ["collection"] if "collection" in spots.columns and "collection" in stands.columns else []
     keys = spots.withColumn("cx", F.explode(cells(F.col("x") - half, F.col("x") + half, size))).withColumn("cy", F.explode(cells(F.col("y") - half, F.col("y") + half, size)))
-    own = stands.select("stand_id", "species_code", F.col("x").alias("sx"), F.col("y").alias("sy"), F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    own = stands.select("stand_id", "species_code", F.col("x").alias("sx"), F.col("y").alias("sy"), F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"), *own_only)
     inside = (F.abs(F.col("sx") - F.col("x")) <= half) & (F.abs(F.col("sy") - F.col("y")) <= half)
-    return keys.join(own, ["cx", "cy"]).where(inside).select("spot_id", "stand_id", "species_code")
+    return keys.join(own, ["cx", "cy", *own_only]).where(inside).select("spot_id", "stand_id", "species_code")
 
 
 def find_species(spots: DataFrame, stands: DataFrame, size: float) -> DataFrame:
-    """spots (spot_id, x, y, genus) with species, by the stands about each, without any map."""
+    """spots (spot_id, x, y, genus) with species, by the stands about each, without any map; collections as in near_stands()."""
     found = near_stands(spots, stands, size).withColumn("species", species_of_code(F.col("species_code"))).where("species is not null")
     counts = found.groupBy(F.col("spot_id").alias("ix"), "species").agg(F.count("*").alias("n"), F.min("stand_id").alias("first_seen")).withColumn("iy", F.lit(0))
     own = spots.withColumn("ix", F.col("spot_id")).withColumn("iy", F.lit(0))
     return resolve(own, counts).select("spot_id", "genus", "species")
 
 
+def find_species_by_region(spots: DataFrame, stands: DataFrame, boxes: DataFrame, size: float, cell: float) -> DataFrame:
+    """find_species() among the stands (with their collection) of each spot's region alone: that of the first box that holds it, as in regions_of()."""
+    region = regions_of(spots, boxes, cell).select("spot_id", "collection")
+    return find_species(spots.join(region, "spot_id"), stands, size)
+
+
 def regions_of(spots: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     """spots (spot_id, x, y) with region and collection: the first box by its number that holds the spot, and the region's collection; null where there is none.
 

@@ -555,6 +555,19 @@ def _boxes_of_degrees(s: SparkSession, d: str) -> DataFrame:
     return along.groupBy("stand_id").agg(F.sum(F.when(out, 1).otherwise(0)).alias("outside"), F.count("*").alias("points"))
 
 
+def _collected(s: SparkSession, d: str) -> DataFrame:
+    """Stands with a collection each, by their number; one in ten has none."""
+    names = list(T.REGIONS.values())
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("stand_id") % len(names) + 1).cast("int"))
+    return _stands(s, d).withColumn("collection", F.when(F.col("stand_id") % 10 != 3, name))
+
+
+query(
+    "find_species_by_region",
+    lambda s, d: spatial.find_species_by_region(_spots(s, d), _collected(s, d), _boxes(s, d), SPOT * 4, REGION_CELL),
+    f"""{_NEAR.replace("nr AS", f"rl AS ({SQL['region_lookup']}), nr AS", 1).replace("FROM ce JOIN sd ON", f"FROM ce JOIN rl ON rl.spot_id = ce.cloud_id JOIN sd ON sd.stand_id % 10 <> 3 AND rl.collection = {list(T.REGIONS.values())!r}[sd.stand_id % {len(T.REGIONS)} + 1] AND").replace(str(SPOT / 2), str(SPOT * 2))} SELECT cloud_id AS spot_id, genus, CASE WHEN genus = 15 THEN 24 WHEN genus = 16 THEN coalesce(nullif(top, 0), 23) ELSE coalesce(own, nullif(top, 0), first) END AS species
+FROM ce LEFT JOIN nt USING (cloud_id) LEFT JOIN no USING (cloud_id, genus) JOIN df USING (genus)""",
+)
 _TM = geodesy.sql_of("lat", "lon", CRS)
 _LATLON = "51.5::DOUBLE + y / 100 AS lat, 18.5::DOUBLE + x / 100 AS lon"
 query("grid_coordinates", lambda s, d: rounded(geodesy.with_grid(_degrees(_stands(s, d)), CRS).select("stand_id", "x", "y"), 3), f"{_MAP} SELECT stand_id, round({_TM[0]}, 3) + 0.0 AS x, round({_TM[1]}, 3) + 0.0 AS y FROM (SELECT stand_id, {_LATLON} FROM sd)")
