@@ -25,17 +25,26 @@ def npy_points(content: bytes) -> np.ndarray:
     return np.load(io.BytesIO(content), allow_pickle=False)
 
 
+def points_of(content: bytes, decode: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    """The (n, 3 or more) array of a file; a ValueError says why it has none."""
+    try:
+        points = np.asarray(decode(content), float)
+    except (ValueError, EOFError, OSError, TypeError) as e:
+        raise ValueError(str(e) or type(e).__name__) from e
+    if points.ndim != 2 or points.shape[1] < 3:
+        raise ValueError(f"an array of shape {points.shape}")
+    return points
+
+
 def decoded(files: DataFrame, decode: Callable[[bytes], np.ndarray] = npy_points) -> DataFrame:
-    """(path, point_id, x, y, z) of each point of files (path, content). A file that can't be decoded, or holds no (n, 3 or more) array, gives no rows."""
+    """(path, point_id, x, y, z) of each point of files (path, content). A file that can't be decoded, or holds no (n, 3 or more) array, gives no rows; rejected() has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
                 try:
-                    points = np.asarray(decode(content.as_py()), float)
-                except (ValueError, EOFError, OSError, TypeError):
-                    continue
-                if points.ndim != 2 or points.shape[1] < 3:
+                    points = points_of(content.as_py(), decode)
+                except ValueError:
                     continue
                 for lo in range(0, len(points), BATCH_POINTS):
                     part = points[lo : lo + BATCH_POINTS]
@@ -45,10 +54,33 @@ def decoded(files: DataFrame, decode: Callable[[bytes], np.ndarray] = npy_points
     return files.select("path", "content").mapInArrow(run, "path string, point_id long, x double, y double, z double")
 
 
+def rejected(files: DataFrame, decode: Callable[[bytes], np.ndarray] = npy_points) -> DataFrame:
+    """(path, reason) of each of files (path, content) that decoded() gives no rows for because it can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b["path"].to_pylist(), b["content"]):
+                try:
+                    points_of(content.as_py(), decode)
+                except ValueError as e:
+                    yield pa.record_batch([pa.array([path]), pa.array([str(e)])], ["path", "reason"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, reason string")
+
+
+def files_of(spark: SparkSession, folder: str, pattern: str = "*.npy") -> DataFrame:
+    """(path, content, ...) of all files of the pattern below the folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+
+
 def read(spark: SparkSession, folder: str, pattern: str = "*.npy", decode: Callable[[bytes], np.ndarray] = npy_points) -> DataFrame:
     """The points of all files of the pattern below the folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return decoded(files, decode)
+    return decoded(files_of(spark, folder, pattern), decode)
+
+
+def rejects(spark: SparkSession, folder: str, pattern: str = "*.npy", decode: Callable[[bytes], np.ndarray] = npy_points) -> DataFrame:
+    """(path, reason) of the files that can't be read."""
+    return rejected(files_of(spark, folder, pattern), decode)
 
 
 def write(points: DataFrame, folder: str, most: int = FILE_POINTS) -> int:

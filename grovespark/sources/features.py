@@ -7,6 +7,8 @@
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -23,19 +25,34 @@ class Box(InputPartition):
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.url, self.limit, self.timeout = options["url"], int(options.get("limit", 1000)), float(options.get("timeout", 60))
+        self.retries, self.pause = int(options.get("retries", 3)), float(options.get("pause", 0.5))
         self.boxes = [b for b in options.get("boxes", "").split(";") if b]
 
     def partitions(self) -> list[Box]:
         return [Box(i, b) for i, b in enumerate(self.boxes)] or [Box(0, "")]
 
+    def page(self, url: str) -> dict:
+        """A page; asked again, after longer and longer pauses, if the server is busy, fails or can't be reached."""
+        for left in range(self.retries, -1, -1):
+            try:
+                with urllib.request.urlopen(url, timeout=self.timeout) as answer:
+                    return json.load(answer)
+            except urllib.error.HTTPError as e:
+                if not left or e.code < 500 and e.code != 429:
+                    raise
+            except (urllib.error.URLError, TimeoutError, ConnectionError):
+                if not left:
+                    raise
+            time.sleep(self.pause * 2 ** (self.retries - left))
+        raise AssertionError
+
     def read(self, partition: Box) -> Iterator[tuple]:
-        """An answer of status 400 or more fails the task. Only the first page's request has parameters: links hold theirs."""
+        """An answer of status 400 or more fails the task, one of 429 or 500 or more after all retries. Only the first page's request has parameters: links hold theirs."""
         asked = {"limit": self.limit} | ({"bbox": partition.box} if partition.box else {})
         url: str | None = f"{self.url}?{urllib.parse.urlencode(asked)}"
         place = 0
         while url:
-            with urllib.request.urlopen(url, timeout=self.timeout) as answer:
-                page = json.load(answer)
+            page = self.page(url)
             for feature in page.get("features") or []:
                 properties = feature.get("properties") or {}
                 yield partition.number, place, properties.get("species_cd"), properties.get("region_name")

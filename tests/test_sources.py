@@ -35,6 +35,8 @@ def test_no_rows_and_bad_files(spark, tmp_path):
     files = [("a_1.npy", good.getvalue()), ("b_1.npy", b"junk"), ("c_1.npy", flat.getvalue()), ("d_1.npy", None), ("e_1.npy", b"")]
     got = clouds.decoded(spark.createDataFrame(files, "path string, content binary")).collect()
     assert [(r["path"], r["point_id"], r["z"]) for r in got] == [("a_1.npy", 0, 1.0), ("a_1.npy", 1, 1.0)]
+    why = {r["path"]: r["reason"] for r in clouds.rejected(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert set(why) == {"b_1.npy", "c_1.npy", "d_1.npy", "e_1.npy"} and why["c_1.npy"] == "an array of shape (5,)"
 
 
 def test_lines(spark, tmp_path):
@@ -54,6 +56,13 @@ class Pages(http.server.BaseHTTPRequestHandler):
         asked = dict(urllib.parse.parse_qsl(url.query))
         if asked.get("bbox") == "bad":
             return self.send_error(500)
+        if asked.get("bbox") == "busy":
+            self.server.seen = getattr(self.server, "seen", 0) + 1
+            if self.server.seen < 3:
+                return self.send_error(429 if self.server.seen == 1 else 503)
+        if asked.get("bbox") == "gone":
+            self.server.gone = getattr(self.server, "gone", 0) + 1
+            return self.send_error(404)
         page = int(asked.get("page", 0))
         box = asked.get("bbox") or asked["of"]
         links = [{"rel": "next", "href": f"/items?page={page + 1}&of={box}"}] if page < 2 else [{"rel": "self", "href": "x"}]
@@ -73,8 +82,13 @@ def test_paged_features(spark):
     read = spark.read.format("features").option("url", f"http://127.0.0.1:{server.server_port}/items")
     got = sorted(map(tuple, read.option("boxes", "p;q").load().collect()))
     assert got == [(t, k, f"{b}-{k}", "r") for t, b in enumerate("pq") for k in range(3)]
+    read = read.option("pause", "0.01")
+    assert len(read.option("boxes", "busy").load().collect()) == 3 and server.seen == 3
     with pytest.raises(Exception, match="500"):
         read.option("boxes", "bad").load().collect()
+    with pytest.raises(Exception, match="404"):
+        read.option("boxes", "gone").load().collect()
+    assert server.gone == 1
     server.shutdown()
 
 
