@@ -4,7 +4,8 @@ Terms are all words that three examples hold at least, however common, and words
 beginnings that are several times as frequent under label 1. A text's vector has TF-IDF weights over them, times a factor that grows with
 a term's lift towards label 1 and never falls below a floor, so that ordinary texts have vectors and neighbours too.
 
-The index keeps a term's postings by block of examples, and the largest weight of each term in each block. A query first
+The index keeps a term's postings by block of examples, and the largest weight of each term in each block; the commonest
+terms, which nearly every block holds, are a matrix, whose products with many texts at once are exact parts of cosines and of bounds. A query first
 scores the blocks of the largest upper bounds; then those whose bound reaches its k-th best cosine, so that its neighbours
 are exact. Similarity-weighted votes are calibrated on the examples, each scored without itself; the neighbours are the evidence.
 """
@@ -35,6 +36,8 @@ LEAST_LIFT = 1.0
 LIFT_UNIT, FLOOR = 3.0, 0.05
 #: Lengths of the word beginnings that may be terms of their own.
 STEMS = (4, 5)
+#: The commonest terms at most, of those that one example in DENSE_SHARE holds, whose weights are a matrix by example instead of postings; texts whose products with it are taken at once.
+DENSE, DENSE_SHARE, TOGETHER = 384, 16, 64
 #: Rejected at this score.
 CUT = 0.7
 FOLDS = 3
@@ -108,6 +111,16 @@ class Index:
         self.doc_ids, self.labels, self.blocks = doc_ids[order], labels[order].astype(float), -(-n // BLOCK)
         at = place[row]
         del row, by_weight
+        held = np.bincount(terms, minlength=len(vocabulary.weights))
+        head = np.flatnonzero(held > n // DENSE_SHARE)
+        head = np.sort(head[np.argsort(-held[head], kind="stable")[:DENSE]])
+        self.column = np.full(len(held), -1, np.int32)
+        self.column[head] = np.arange(len(head))
+        self.dense = np.zeros((len(head), n))
+        column = self.column[terms]
+        self.dense[column[column >= 0], at[column >= 0]] = weights[column >= 0]
+        at, terms, weights = at[column < 0], terms[column < 0], weights[column < 0]
+        del held, column
         o = np.lexsort((at, terms))
         self.places, self.weights, terms = at[o], weights[o], terms[o]
         del at, o
@@ -117,15 +130,26 @@ class Index:
         self.block, self.maxima = block[new], np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
         self.first = np.searchsorted(terms[new], np.arange(len(vocabulary.weights) + 1)).astype(np.int32)  # each term's (term, block) entries
 
-    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, but: int | None = None) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, (cosine, place), exactly; ties to the smaller place. `but` is left out."""
+    def heads(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(queries, examples): what the matrix's terms add to each cosine."""
+        own = np.zeros((len(queries), len(self.dense)))
+        for i, (terms, weights) in enumerate(queries):
+            column = self.column[terms]
+            own[i, column[column >= 0]] = weights[column >= 0]
+        return own @ self.dense
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, but: int | None = None, head: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k examples of largest cosine, (cosine, place), exactly; ties to the smaller place. `but` is left out. head: its row of heads(), if that is known."""
+        head = self.heads([query])[0] if head is None else head
         terms, weights = query
+        listed = self.column[terms] < 0
+        terms, weights = terms[listed], weights[listed]
         count = self.first[terms + 1] - self.first[terms]
         entry = ranges(self.first[terms], count)
-        if not len(entry):
-            return []
         weight, block = np.repeat(weights, count), self.block[entry]
-        bound = np.bincount(block, weight * self.maxima[entry], self.blocks)
+        bound = np.bincount(block, weight * self.maxima[entry], self.blocks) + np.maximum.reduceat(head, np.arange(0, len(head), BLOCK))
+        of_block = np.zeros((self.blocks, BLOCK))
+        of_block.ravel()[: len(head)] = head
 
         def visit(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """(places, cosines above 0) of the k best of the chosen blocks."""
@@ -137,7 +161,7 @@ class Index:
             size = self.size[own]
             at = ranges(self.begin[own], size)
             inside = self.places[at] + np.repeat((slot[of] - of) * BLOCK, size)
-            scores = np.bincount(inside, self.weights[at] * np.repeat(weight[mine], size), len(number) * BLOCK)
+            scores = np.bincount(inside, self.weights[at] * np.repeat(weight[mine], size), len(number) * BLOCK) + of_block[number].ravel()
             found = np.flatnonzero(scores)
             if len(found) > k + 1:
                 found = found[scores[found] >= np.partition(scores[found], len(found) - k - 1)[len(found) - k - 1]]
@@ -175,10 +199,17 @@ class Index:
                 merged[-1] = [(a[0] * a[2] + v * n) / (a[2] + n), a[1] + y, a[2] + n]
         self.curve = (np.array([m[0] for m in merged]), np.array([(m[1] + self.prior) / (m[2] + 1) for m in merged]))
 
-    def score(self, query: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[float, int]]]:
-        """A text without neighbours has the vote of the prior."""
-        near = self.nearest(query)
-        return float(np.interp(self.vote(near), *self.curve)), near
+    def neighbours(self, queries: list[tuple[np.ndarray, np.ndarray]], but: list[int | None] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """nearest() of each query, TOGETHER at a time."""
+        for lo in range(0, len(queries), TOGETHER):
+            some = queries[lo : lo + TOGETHER]
+            for i, (q, head) in enumerate(zip(some, self.heads(some))):
+                yield self.nearest(q, but=but[lo + i] if but else None, head=head)
+
+    def scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """(score, neighbours) of each query. A text without neighbours has the vote of the prior."""
+        for near in self.neighbours(queries):
+            yield float(np.interp(self.vote(near), *self.curve)), near
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         return self.vocabulary.vector(counts)
@@ -193,8 +224,9 @@ class Constant:
     def vector(self, counts: Counter) -> None:
         return None
 
-    def score(self, query: None) -> tuple[float, list]:
-        return self.rate, []
+    def scores(self, queries: list[None]) -> Iterator[tuple[float, list]]:
+        for _ in queries:
+            yield self.rate, []
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index | Constant:
@@ -253,7 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
         own = full.value
         place = {d: p for p, d in enumerate(own.doc_ids.tolist())}
         for b in C.chunks(batches):
-            out = [own.vote(own.nearest(own.vector(terms_of(t)), but=place[d])) for t, d in zip(b["text"].to_pylist(), b["doc_id"].to_pylist())]
+            queries = [own.vector(terms_of(t)) for t in b["text"].to_pylist()]
+            out = [own.vote(near) for near in own.neighbours(queries, [place[d] for d in b["doc_id"].to_pylist()])]
             yield pa.record_batch([pa.array(out, pa.float64()), b["toxic"]], ["vote", "toxic"])
 
     index.calibrate([(r["vote"], r["toxic"]) for r in picked.mapInArrow(votes, "vote double, toxic int").collect()])  # two numbers an example
@@ -273,8 +306,7 @@ def score(docs: DataFrame, index: Index | Constant) -> DataFrame:
         own = shared.value
         for b in C.chunks(batches):
             scores, ids, cosines = [], [], []
-            for text in b["text"].to_pylist():
-                s, near = own.score(own.vector(terms_of(text)))
+            for s, near in own.scores([own.vector(terms_of(t)) for t in b["text"].to_pylist()]):
                 scores.append(min(1.0, max(0.0, s)))
                 ids.append([int(own.doc_ids[p]) for _, p in near])
                 cosines.append([c for c, _ in near])
@@ -293,7 +325,7 @@ def keep_clean(docs: DataFrame, index: Index | Constant) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in C.chunks(batches):
-            clean = [own.score(own.vector(terms_of(t)))[0] < CUT for t in b.column(at).to_pylist()]
+            clean = [s < CUT for s, _ in own.scores([own.vector(terms_of(t)) for t in b.column(at).to_pylist()])]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
