@@ -7,7 +7,8 @@ a term's lift towards label 1 and never falls below a floor, so that ordinary te
 The index keeps a term's postings by block of examples, and the largest weight of each term in each block; the commonest
 terms, which nearly every block holds, are a matrix, whose products with many texts at once are exact parts of cosines and of bounds. A query first
 scores the blocks of the largest upper bounds; then those whose bound reaches its k-th best cosine, so that its neighbours
-are exact. Similarity-weighted votes are calibrated on the examples, each scored without itself; the neighbours are the evidence.
+are exact. Many texts' words, bounds and postings are taken at once; a posting is a count and a place in four bytes, as it is reading
+them that takes the time. Similarity-weighted votes are calibrated on the examples, each scored without itself; the neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ LEAST_LIFT = 1.0
 LIFT_UNIT, FLOOR = 3.0, 0.05
 #: Lengths of the word beginnings that may be terms of their own.
 STEMS = (4, 5)
-#: The commonest terms at most, of those that one example in DENSE_SHARE holds, whose weights are a matrix by example instead of postings; texts whose products with it are taken at once.
-DENSE, DENSE_SHARE, TOGETHER = 384, 16, 64
+#: The commonest terms at most, of those that one example in DENSE_SHARE holds, whose weights are a matrix by example instead of postings; texts whose products with it are taken at once, and postings that are looked up at once (one text's at least).
+DENSE, DENSE_SHARE, TOGETHER, POSTINGS = 384, 16, 64, 1 << 17
 #: Rejected at this score.
 CUT = 0.7
 FOLDS = 3
@@ -45,8 +47,10 @@ WORD = re.compile(r"[^\W\d_]+")
 CALIBRATION_BINS = 20
 #: What a vote is drawn to the prior by, in squared cosines.
 PRIOR_WEIGHT = 0.01
-#: Words whose terms a worker keeps.
-CACHE_WORDS = 100_000
+#: Bytes of text whose words are looked up at once.
+CHUNK = 1 << 20
+#: Of each text its number of terms; all texts' terms, by rising number in each; what belongs to each term: counts, or weights.
+Vectors = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def terms_of(text: str | None) -> Counter:
@@ -64,42 +68,53 @@ def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
 
 
-class Vocabulary(dict):
-    """Terms and their weights; as a dict, the terms of the words met so far."""
+class Vocabulary:
+    """Terms and their weights."""
 
     def __init__(self, terms: list[str], weights: np.ndarray):
-        super().__init__()
         self.numbers, self.weights = {t: i for i, t in enumerate(terms)}, weights
+        self.words = pa.array(terms, pa.string())
 
     def __reduce__(self):
         return Vocabulary, (list(self.numbers), self.weights)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        own = self[word] = tuple(t for f in features(word) if (t := self.numbers.get(f)) is not None)
-        return own
-
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(terms by rising number, weights) of word counts, of unit length; empty where no term is known."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        met = [(t, n) for word, n in counts.items() for t in self[word]]
-        if not met:
-            return np.zeros(0, np.int64), np.zeros(0)
-        each, n = np.array(met, np.int64).T
-        order = np.argsort(each, kind="stable")
-        each, n = each[order], n[order]
-        new = np.flatnonzero(np.r_[True, each[1:] != each[:-1]])
-        terms = each[new]
-        raw = (1 + np.log(np.add.reduceat(n, new))) * self.weights[terms]
-        return terms, raw / np.sqrt((raw * raw).sum())
+    def counts(self, texts: list[str | None]) -> Vectors:
+        """How often each text has each term. Its words are those of terms_of(), as no blank is part of a word; each token is looked up once."""
+        tokens = pc.utf8_split_whitespace(pa.array([(t or "").lower() for t in texts], pa.large_string()))
+        length, coded = pc.list_value_length(tokens).to_numpy(), tokens.flatten().dictionary_encode()
+        token, number = coded.dictionary, coded.indices.to_numpy()
+        spelled = token.to_numpy(zero_copy_only=False)
+        whole = np.fromiter(map(str.isalpha, spelled), bool, len(spelled))
+        parts = [WORD.findall(t) for t in spelled[~whole]]
+        words = pa.concat_arrays([token.filter(pa.array(whole)), pa.array(chain.from_iterable(parts), pa.large_string())]).cast(pa.string())
+        of = np.r_[np.flatnonzero(whole), np.repeat(np.flatnonzero(~whole), np.fromiter(map(len, parts), np.int64, len(parts)))]
+        long = pc.utf8_length(words).to_numpy()
+        found = [(of, words)] + [(of[long > n], pc.binary_join_element_wise(pc.utf8_slice_codeunits(words.filter(pa.array(long > n)), 0, n), "*", "")) for n in STEMS]
+        term = np.concatenate([pc.fill_null(pc.index_in(w, self.words), -1).to_numpy() for _, w in found])
+        of = np.concatenate([o for o, _ in found])[term >= 0]
+        order = np.argsort(of, kind="stable")
+        term, size = term[term >= 0][order], np.bincount(of, minlength=len(token))
+        begin, size = (np.cumsum(size) - size)[number], size[number]
+        bits = len(self.weights).bit_length()
+        each = np.repeat(np.repeat(np.arange(len(texts)) << bits, length), size) | term[ranges(begin, size)]
+        each.sort()
+        new = np.flatnonzero(np.diff(each, prepend=-1))
+        return np.bincount(each[new] >> bits, minlength=len(texts)), each[new] & (1 << bits) - 1, np.diff(new, append=len(each))
+
+    def unit(self, counted: Vectors) -> Vectors:
+        """Weights instead of counts, of unit length in each text."""
+        sizes, terms, counts = counted
+        raw = (1 + np.log(counts)) * self.weights[terms]
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        return sizes, terms, raw / np.sqrt(np.bincount(text, raw * raw, len(sizes)))[text]
 
 
 class Index:
     """Unit vectors of the examples in flat arrays: postings by term and block, and the block maxima."""
 
-    def __init__(self, vocabulary: Vocabulary, doc_ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, prior: float):
-        """Example i has the next sizes[i] of terms and weights."""
+    def __init__(self, vocabulary: Vocabulary, doc_ids: np.ndarray, labels: np.ndarray, counted: Vectors, prior: float):
         self.vocabulary, self.prior, self.curve = vocabulary, prior, None
+        sizes, terms, weights = vocabulary.unit(counted)
         n = len(sizes)
         row = np.repeat(np.arange(n, dtype=np.int32), sizes)
         best = np.full(n, -1, np.int32)
@@ -116,69 +131,91 @@ class Index:
         head = np.sort(head[np.argsort(-held[head], kind="stable")[:DENSE]])
         self.column = np.full(len(held), -1, np.int32)
         self.column[head] = np.arange(len(head))
-        self.dense = np.zeros((len(head), n))
+        self.dense = np.zeros((len(head), self.blocks * BLOCK))
         column = self.column[terms]
         self.dense[column[column >= 0], at[column >= 0]] = weights[column >= 0]
-        at, terms, weights = at[column < 0], terms[column < 0], weights[column < 0]
+        held[head] = 0
+        self.held = held.astype(np.int32)  # each term's postings
+        at, terms, weights, counts = at[column < 0], terms[column < 0], weights[column < 0], counted[2][column < 0]
         del held, column
         o = np.lexsort((at, terms))
-        self.places, self.weights, terms = at[o], weights[o], terms[o]
-        del at, o
-        block = (self.places // BLOCK).astype(np.int32)
-        new = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])]).astype(np.int32) if len(terms) else np.zeros(0, np.int32)
-        self.begin, self.size = new, np.diff(np.r_[new, len(terms)]).astype(np.int32)  # of each (term, block)
-        self.block, self.maxima = block[new], np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
+        at, terms, weights = at[o], terms[o], weights[o] / vocabulary.weights[terms[o]]
+        levels, level = np.unique(counts[o], return_inverse=True)
+        self.factors = 1 + np.log(levels)
+        self.shift = (self.blocks * BLOCK).bit_length()
+        self.postings = (level << self.shift | at).astype(np.int32 if len(levels) << self.shift < 1 << 31 else np.int64)
+        self.inverse = np.zeros(self.blocks * BLOCK)  # what factors are times for a unit vector, by place
+        self.inverse[at] = weights / self.factors[level]
+        self.inverse = self.inverse.reshape(self.blocks, BLOCK)
+        block = at // BLOCK
+        new = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])]) if len(terms) else np.zeros(0, np.int64)
+        self.begin, self.size = new.astype(np.int32), np.diff(new, append=len(terms)).astype(np.min_scalar_type(BLOCK))  # of each (term, block)
+        self.block = block[new].astype(np.min_scalar_type(self.blocks))
+        self.maxima = np.nextafter(np.maximum.reduceat(weights, new).astype(np.float32), np.float32(np.inf)) if len(new) else np.zeros(0, np.float32)  # rounded up
         self.first = np.searchsorted(terms[new], np.arange(len(vocabulary.weights) + 1)).astype(np.int32)  # each term's (term, block) entries
 
-    def heads(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """(queries, examples): what the matrix's terms add to each cosine."""
-        own = np.zeros((len(queries), len(self.dense)))
-        for i, (terms, weights) in enumerate(queries):
-            column = self.column[terms]
-            own[i, column[column >= 0]] = weights[column >= 0]
-        return own @ self.dense
-
-    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, but: int | None = None, head: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, (cosine, place), exactly; ties to the smaller place. `but` is left out. head: its row of heads(), if that is known."""
-        head = self.heads([query])[0] if head is None else head
-        terms, weights = query
-        listed = self.column[terms] < 0
-        terms, weights = terms[listed], weights[listed]
-        count = self.first[terms + 1] - self.first[terms]
-        entry = ranges(self.first[terms], count)
-        weight, block = np.repeat(weights, count), self.block[entry]
-        bound = np.bincount(block, weight * self.maxima[entry], self.blocks) + np.maximum.reduceat(head, np.arange(0, len(head), BLOCK))
-        of_block = np.zeros((self.blocks, BLOCK))
-        of_block.ravel()[: len(head)] = head
-
-        def visit(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """(places, cosines above 0) of the k best of the chosen blocks."""
-            number = np.flatnonzero(chosen)
-            slot = np.zeros(self.blocks, np.int64)
-            slot[number] = np.arange(len(number))
-            mine = np.flatnonzero(chosen[block])
-            own, of = entry[mine], block[mine]
-            size = self.size[own]
-            at = ranges(self.begin[own], size)
-            inside = self.places[at] + np.repeat((slot[of] - of) * BLOCK, size)
-            scores = np.bincount(inside, self.weights[at] * np.repeat(weight[mine], size), len(number) * BLOCK) + of_block[number].ravel()
-            found = np.flatnonzero(scores)
-            if len(found) > k + 1:
-                found = found[scores[found] >= np.partition(scores[found], len(found) - k - 1)[len(found) - k - 1]]
-            places = number[found // BLOCK] * BLOCK + found % BLOCK
-            keep = places != but
-            return places[keep], scores[found][keep]
-
-        done = np.zeros(self.blocks, bool)
-        done[np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1)[:FIRST_BLOCKS]] = True
-        places, scores = visit(done)
-        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
-        rest = ~done & (bound > 0) & (bound >= least - 1e-12)
-        if rest.any():
-            more, theirs = visit(rest)
+    def nearest(self, query: Vectors, k: int = NEIGHBOURS, but: int | None = None) -> list[tuple[float, int]]:
+        """The k examples of largest cosine with one text, (cosine, place), exactly; ties to the smaller place. `but` is left out."""
+        return next(self.neighbours(query, k, [but]))
+
+    def neighbours(self, queries: Vectors, k: int = NEIGHBOURS, but: list[int | None] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """nearest() of each text: TOGETHER at a time are multiplied with the matrix, and of those as many as have POSTINGS are looked up."""
+        sizes, terms, weights = queries
+        end = np.r_[0, np.cumsum(sizes)]
+        postings = np.r_[0, np.cumsum(self.held[terms])][end]
+        for lo in range(0, len(sizes), TOGETHER):
+            hi = min(len(sizes), lo + TOGETHER)
+            text, term, weight = np.repeat(np.arange(hi - lo), sizes[lo:hi]), terms[end[lo] : end[hi]], weights[end[lo] : end[hi]]
+            column = self.column[term]
+            own = np.zeros((hi - lo, len(self.dense)))
+            own[text[column >= 0], column[column >= 0]] = weight[column >= 0]
+            heads = (own @ self.dense).reshape(hi - lo, self.blocks, BLOCK)  # what the matrix's terms add to each cosine
+            text, term, weight = text[column < 0], term[column < 0], weight[column < 0]
+            a = lo
+            while a < hi:
+                b = min(hi, max(a + 1, int(np.searchsorted(postings, postings[a] + POSTINGS, "right")) - 1))
+                mine = slice(*np.searchsorted(text, (a - lo, b - lo)))
+                yield from self._search(text[mine] - (a - lo), term[mine], weight[mine], heads[a - lo : b - lo], k, but[a:b] if but else [None] * (b - a))
+                a = b
+
+    def _search(self, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, heads: np.ndarray, k: int, but: list[int | None]) -> Iterator[list[tuple[float, int]]]:
+        """nearest() of some texts, from their listed terms by rising text and their heads."""
+        n, shape = len(heads), (self.blocks, BLOCK)
+        begin = self.first[terms]
+        count = self.first[terms + 1] - begin
+        entry = ranges(begin, count)
+        weight, cell = np.repeat(weights * self.vocabulary.weights[terms], count), np.repeat(text * self.blocks, count) + self.block[entry]
+        bound = np.bincount(cell, weight * self.maxima[entry], n * self.blocks).reshape(n, self.blocks) + heads.max(axis=2)
+
+        def visit(chosen: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Of each text (places, cosines above 0) of the chosen blocks' k best that reach its least."""
+            mine = np.flatnonzero(chosen.ravel()[cell])
+            of = entry[mine]
+            size = self.size[of].astype(np.int64)
+            posting = self.postings[ranges(self.begin[of], size)]
+            value = self.factors[posting >> self.shift] * np.repeat(weight[mine], size)
+            place = posting & (1 << self.shift) - 1
+            upto = np.r_[0, np.cumsum(size)][np.searchsorted(cell[mine], np.arange(n + 1) * self.blocks)].tolist()  # cells rise from text to text
+            for i in range(n):
+                number = np.flatnonzero(chosen[i])
+                sums = np.bincount(place[upto[i] : upto[i + 1]], value[upto[i] : upto[i + 1]], self.inverse.size)
+                scores = (sums.reshape(shape)[number] * self.inverse[number] + heads[i, number]).ravel()
+                found = np.flatnonzero(scores >= least[i] if least[i] > 0 else scores)
+                if len(found) > k + 1:
+                    found = found[scores[found] >= np.partition(scores[found], len(found) - k - 1)[len(found) - k - 1]]
+                places = number[found // BLOCK] * BLOCK + found % BLOCK
+                keep = places != but[i]
+                yield places[keep], scores[found][keep]
+
+        done = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(done, np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        first = list(visit(done, np.zeros(n)))
+        least = np.array([np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else 0.0 for _, s in first])
+        rest = ~done & (bound > 0) & (bound >= least[:, None] - 1e-12)
+        for (places, scores), (more, theirs) in zip(first, visit(rest, least)):
             places, scores = np.concatenate([places, more]), np.concatenate([scores, theirs])
-        best = np.lexsort((places, -scores))[:k]
-        return list(zip(scores[best].tolist(), places[best].tolist()))
+            best = np.lexsort((places, -scores))[:k]
+            yield list(zip(scores[best].tolist(), places[best].tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The share of label 1 among the neighbours by squared cosine, drawn a little to the prior."""
@@ -199,20 +236,17 @@ class Index:
                 merged[-1] = [(a[0] * a[2] + v * n) / (a[2] + n), a[1] + y, a[2] + n]
         self.curve = (np.array([m[0] for m in merged]), np.array([(m[1] + self.prior) / (m[2] + 1) for m in merged]))
 
-    def neighbours(self, queries: list[tuple[np.ndarray, np.ndarray]], but: list[int | None] | None = None) -> Iterator[list[tuple[float, int]]]:
-        """nearest() of each query, TOGETHER at a time."""
-        for lo in range(0, len(queries), TOGETHER):
-            some = queries[lo : lo + TOGETHER]
-            for i, (q, head) in enumerate(zip(some, self.heads(some))):
-                yield self.nearest(q, but=but[lo + i] if but else None, head=head)
-
-    def scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
-        """(score, neighbours) of each query. A text without neighbours has the vote of the prior."""
-        for near in self.neighbours(queries):
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """(score, neighbours) of each text. One without neighbours has the vote of the prior."""
+        for near in self.neighbours(self.vectors(texts)):
             yield float(np.interp(self.vote(near), *self.curve)), near
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        return self.vocabulary.vector(counts)
+    def vectors(self, texts: list[str | None]) -> Vectors:
+        return self.vocabulary.unit(self.vocabulary.counts(texts))
+
+    def vector(self, counts: Counter) -> Vectors:
+        """That of one text of these words."""
+        return self.vectors([" ".join(counts.elements())])
 
 
 class Constant:
@@ -221,11 +255,8 @@ class Constant:
     def __init__(self, rate: float):
         self.rate = rate
 
-    def vector(self, counts: Counter) -> None:
-        return None
-
-    def scores(self, queries: list[None]) -> Iterator[tuple[float, list]]:
-        for _ in queries:
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list]]:
+        for _ in texts:
             yield self.rate, []
 
 
@@ -269,14 +300,15 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in C.chunks(batches):
-            rows = [own.vector(terms_of(t)) for t in b["text"].to_pylist()]
-            yield pa.record_batch([b["doc_id"], b["toxic"], pa.array([t.astype(np.int32) for t, _ in rows], pa.list_(pa.int32())), pa.array([w for _, w in rows], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
+        for b in C.chunks(batches, limit=CHUNK):
+            sizes, *both = own.counts(b["text"].to_pylist())
+            begin = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            yield pa.record_batch([b["doc_id"], b["toxic"], *(pa.ListArray.from_arrays(begin, x.astype(np.int32)) for x in both)], ["doc_id", "toxic", "terms", "counts"])
 
-    made = picked.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").orderBy("doc_id").toArrow().combine_chunks()
-    flat = [made[c].combine_chunks() for c in ("terms", "weights")]
+    made = picked.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    flat = [made[c].combine_chunks() for c in ("terms", "counts")]
     sizes = pc.list_value_length(flat[0]).to_numpy().astype(np.int64)
-    index = Index(vocabulary, made["doc_id"].to_numpy(), made["toxic"].to_numpy(), sizes, flat[0].flatten().to_numpy(), flat[1].flatten().to_numpy(), prior)
+    index = Index(vocabulary, made["doc_id"].to_numpy(), made["toxic"].to_numpy(), (sizes, flat[0].flatten().to_numpy(), flat[1].flatten().to_numpy()), prior)
     del made, flat, top, held
     shared.destroy()
     full = docs.sparkSession.sparkContext.broadcast(index)
@@ -284,9 +316,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = full.value
         place = {d: p for p, d in enumerate(own.doc_ids.tolist())}
-        for b in C.chunks(batches):
-            queries = [own.vector(terms_of(t)) for t in b["text"].to_pylist()]
-            out = [own.vote(near) for near in own.neighbours(queries, [place[d] for d in b["doc_id"].to_pylist()])]
+        for b in C.chunks(batches, limit=CHUNK):
+            out = [own.vote(near) for near in own.neighbours(own.vectors(b["text"].to_pylist()), but=[place[d] for d in b["doc_id"].to_pylist()])]
             yield pa.record_batch([pa.array(out, pa.float64()), b["toxic"]], ["vote", "toxic"])
 
     index.calibrate([(r["vote"], r["toxic"]) for r in picked.mapInArrow(votes, "vote double, toxic int").collect()])  # two numbers an example
@@ -304,9 +335,9 @@ def score(docs: DataFrame, index: Index | Constant) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in C.chunks(batches):
+        for b in C.chunks(batches, limit=CHUNK):
             scores, ids, cosines = [], [], []
-            for s, near in own.scores([own.vector(terms_of(t)) for t in b["text"].to_pylist()]):
+            for s, near in own.scores(b["text"].to_pylist()):
                 scores.append(min(1.0, max(0.0, s)))
                 ids.append([int(own.doc_ids[p]) for _, p in near])
                 cosines.append([c for c, _ in near])
@@ -324,8 +355,8 @@ def keep_clean(docs: DataFrame, index: Index | Constant) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in C.chunks(batches):
-            clean = [s < CUT for s, _ in own.scores([own.vector(terms_of(t)) for t in b.column(at).to_pylist()])]
+        for b in C.chunks(batches, limit=CHUNK):
+            clean = [s < CUT for s, _ in own.scores(b.column(at).to_pylist())]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
