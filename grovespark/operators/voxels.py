@@ -85,7 +85,8 @@ def offsets(size: float, radius: float) -> list[tuple[int, int, int]]:
 def radius_edges(nodes: DataFrame, size: float, radius: float) -> DataFrame:
     """(cloud_id, src, dst, d2): pairs of voxel means within the radius whose voxels are within it too. src has the smaller voxel key.
 
-    The voxel's neighbours become equi-join keys, so that near pairs meet without a cross join.
+    The voxel's neighbours become equi-join keys, so that near pairs meet without a cross join. Spark takes the size of nodes from the files
+    of their points, a tenth of what rows take, and would send some hundred MB to the driver to broadcast them; so both sides are shuffled.
     """
     steps = F.explode(F.array(*(F.struct(*(F.lit(v).cast("long").alias(f"d{a}") for a, v in zip("xyz", s))) for s in offsets(size, radius))))
     name = F.concat_ws("_", "kx", "ky", "kz")
@@ -93,7 +94,7 @@ def radius_edges(nodes: DataFrame, size: float, radius: float) -> DataFrame:
     left = left.select("cloud_id", "src", "ax", "ay", "az", *((F.col(f"k{a}") + F.col(f"s.d{a}")).alias(f"k{a}") for a in "xyz"))
     right = nodes.select("cloud_id", "kx", "ky", "kz", name.alias("dst"), "x", "y", "z")
     d2 = sum(((F.col(a) - F.col(f"a{a}")) * (F.col(a) - F.col(f"a{a}")) for a in "xyz"), F.lit(0.0))
-    return left.join(right, ["cloud_id", "kx", "ky", "kz"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("cloud_id", "src", "dst", "d2")
+    return left.join(right.hint("merge"), ["cloud_id", "kx", "ky", "kz"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("cloud_id", "src", "dst", "d2")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -111,9 +112,9 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def alive_edges(edges: DataFrame, alive: DataFrame) -> DataFrame:
-    """Edges both ends of which are alive (cloud_id, node)."""
-    one = edges.join(alive.withColumnRenamed("node", "src"), ["cloud_id", "src"], "left_semi")
-    return one.join(alive.withColumnRenamed("node", "dst"), ["cloud_id", "dst"], "left_semi").select(edges.columns)
+    """Edges both ends of which are alive (cloud_id, node). Both sides are shuffled, as in radius_edges()."""
+    one = edges.join(alive.withColumnRenamed("node", "src").hint("merge"), ["cloud_id", "src"], "left_semi")
+    return one.join(alive.withColumnRenamed("node", "dst").hint("merge"), ["cloud_id", "dst"], "left_semi").select(edges.columns)
 
 
 def along_edges(edges: DataFrame, nodes: DataFrame, spacing: float) -> DataFrame:
