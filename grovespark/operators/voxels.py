@@ -118,9 +118,9 @@ def alive_edges(edges: DataFrame, alive: DataFrame) -> DataFrame:
 
 
 def along_edges(edges: DataFrame, nodes: DataFrame, spacing: float) -> DataFrame:
-    """(cloud_id, src, dst, step, x, y, z): points along each edge, both ends included, no farther apart than the spacing."""
+    """(cloud_id, src, dst, step, x, y, z): points along each edge, both ends included, no farther apart than the spacing. Nodes are shuffled, as in radius_edges()."""
     name = F.concat_ws("_", "kx", "ky", "kz")
-    ends = nodes.select("cloud_id", name.alias("node"), "x", "y", "z")
+    ends = nodes.select("cloud_id", name.alias("node"), "x", "y", "z").hint("merge")
     a = ends.select("cloud_id", F.col("node").alias("src"), *(F.col(c).alias(f"a{c}") for c in "xyz"))
     b = ends.select("cloud_id", F.col("node").alias("dst"), *(F.col(c).alias(f"b{c}") for c in "xyz"))
     e = edges.join(a, ["cloud_id", "src"]).join(b, ["cloud_id", "dst"])
