@@ -7,17 +7,22 @@ in which each arc doubles its reach in each step. A row there is an edge, a comp
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import removed, written
 
 SCHEMA = "cloud_id long, src string, dst string, d2 double"
 #: Edges of a cloud that one task works on at most.
 GROUP_EDGES = 1_000_000
+#: Rows of an Arrow batch that by_group() sends on, and a group's more.
+BATCH_ROWS = 10_000
 
 
 def place(node: str) -> tuple:
@@ -38,10 +43,45 @@ def by_size(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     return edges.join(large, "cloud_id", "left_anti"), edges.join(large, "cloud_id", "left_semi")
 
 
+def by_group(rows: DataFrame, keys: list[str], run: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+    """What `run` makes of the columns of each group. Small groups come many to an Arrow batch: applyInPandas takes some milliseconds for the frames of each.
+
+    A group is held as lists of its values, so that a task has one group and a batch at a time.
+    """
+    names, kinds = rows.columns, to_arrow_schema(StructType.fromDDL(schema))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, made = None, [[] for _ in names], [[] for _ in kinds]
+
+        def flush() -> None:
+            if held[0]:
+                new = run(dict(zip(names, held)))
+                for m, k in zip(made, kinds.names):
+                    m.extend(new[k])
+
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            own = list(zip(*(columns[names.index(k)] for k in keys)))
+            cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi and own[lo] != key:
+                    flush()
+                    key, held = own[lo], [[] for _ in names]
+                for h, c in zip(held, columns):
+                    h += c[lo:hi]
+            if len(made[0]) >= BATCH_ROWS:
+                yield pa.record_batch([pa.array(m, k.type) for m, k in zip(made, kinds)], schema=kinds)
+                made = [[] for _ in kinds]
+        flush()
+        yield pa.record_batch([pa.array(m, k.type) for m, k in zip(made, kinds)], schema=kinds)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, schema)
+
+
 # Spanning forest
 
 
-def kruskal(g: pd.DataFrame) -> pd.DataFrame:
+def kruskal(g: dict[str, list]) -> dict[str, list]:
     root: dict[str, str] = {}
 
     def find(v: str) -> str:
@@ -49,13 +89,16 @@ def kruskal(g: pd.DataFrame) -> pd.DataFrame:
             root[v] = v = root[root[v]]
         return v
 
+    def far(d: float | None) -> tuple:
+        return (True, 0.0) if d is None or d != d else (False, d)  # edges without a length come last
+
     keep = []
-    for i, a, b in g.sort_values(["d2", "src", "dst"])[["src", "dst"]].itertuples():
+    for _, a, b, i in sorted((far(d), a, b, i) for i, (d, a, b) in enumerate(zip(g["d2"], g["src"], g["dst"]))):
         ra, rb = find(a), find(b)
         if ra != rb:
             root[ra] = rb
             keep.append(i)
-    return g.loc[keep]
+    return {k: [v[i] for i in keep] for k, v in g.items()}
 
 
 def jumped(hooks: DataFrame) -> DataFrame:
@@ -102,7 +145,7 @@ def spanning_forest(edges: DataFrame, most: int = GROUP_EDGES) -> DataFrame:
     """A minimum spanning forest of each cloud, by rising (d2, src, dst). An edge that is listed twice counts once."""
     edges = edges.select("cloud_id", "src", "dst", "d2")
     small, large = by_size(edges, most)
-    out = small.groupBy("cloud_id").applyInPandas(kruskal, SCHEMA)
+    out = by_group(small, ["cloud_id"], kruskal, SCHEMA)
     return out if large is None else out.unionByName(rounds(large)[0].drop("round"))
 
 
@@ -197,11 +240,11 @@ def pruned_group(g: pd.DataFrame, shortest: float) -> pd.DataFrame:
         near = {v: {w: d for w, d in n.items() if w not in gone} for v, n in near.items() if v not in gone}
 
 
-def cut_chains(g: pd.DataFrame, shortest: float) -> list[str]:
+def cut_chains(g: dict[str, list], shortest: float) -> list[str]:
     """The chains that one round takes off among those of one cluster: (chain, a, b, length, da, db). Chains that aren't shorter than `shortest` may lead out of it."""
     at: dict[str, list[tuple[str, str, float]]] = {}
     leaves = {}
-    for chain, a, b, length, da, db in g[["chain", "a", "b", "length", "da", "db"]].itertuples(index=False):
+    for chain, a, b, length, da, db in zip(*(g[k] for k in ("chain", "a", "b", "length", "da", "db"))):
         at.setdefault(a, []).append((chain, b, length))
         at.setdefault(b, []).append((chain, a, length))
         leaves |= {v: chain for v, d in ((a, da), (b, db)) if d == 1}
@@ -236,11 +279,11 @@ def prune_across(edges: DataFrame, shortest: float) -> DataFrame:
         grouped = ends.join(roots, ["cloud_id", "node"], "left").withColumn("cluster", F.coalesce("root", "node")).drop("node", "root").distinct()
         busy = grouped.where(short & ((F.col("da") == 1) | (F.col("db") == 1))).select("cloud_id", "cluster").distinct()  # others lose nothing
 
-        def run(g: pd.DataFrame) -> pd.DataFrame:
+        def run(g: dict[str, list]) -> dict[str, list]:
             gone = cut_chains(g, shortest)
-            return pd.DataFrame({"cloud_id": [int(g["cloud_id"].iloc[0])] * len(gone), "chain": gone})
+            return {"cloud_id": g["cloud_id"][:1] * len(gone), "chain": gone}
 
-        gone = written(grouped.join(busy, ["cloud_id", "cluster"], "left_semi").groupBy("cloud_id", "cluster").applyInPandas(run, "cloud_id long, chain string").distinct())
+        gone = written(by_group(grouped.join(busy, ["cloud_id", "cluster"], "left_semi"), ["cloud_id", "cluster"], run, "cloud_id long, chain string").distinct())
         if gone.isEmpty():
             return now
         lost = c.join(gone, ["cloud_id", "chain"], "left_semi").select("cloud_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))

@@ -151,3 +151,23 @@ def test_empty(spark):
     for most in (0, 10):
         assert graph.spanning_forest(none, most).count() == graph.prune(none, 1.0, most).count() == graph.simplify(none, spots, 1.0, most).count() == 0
     assert graph.rounds(none)[0].count() == graph.rounds(none)[1].count() == 0
+
+
+def test_groups_share_batches(spark):
+    """Groups within an Arrow batch and across batches; no frame is made for each."""
+    rows = [(g, i) for g in range(40) for i in range(g % 7)] + [(None, 1), (None, 2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = graph.by_group(spark.createDataFrame(rows, "g long, i long"), ["g"], lambda c: {"g": c["g"][:1], "n": [sum(c["i"]) + 100 * len(c["i"])]}, "g long, n long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {g: sum(range(g % 7)) + 100 * (g % 7) for g in range(40) if g % 7} | {None: 203}
+    assert len(got) == len(want) and {r["g"]: r["n"] for r in got} == want
+    plan = graph.spanning_forest(spark.createDataFrame([(1, "0_0_0", "1_0_0", 1.0)], graph.SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "InPandas" not in plan
+
+
+def test_edges_without_length_come_last(spark):
+    edges = [(1, "a", "b", None), (1, "b", "c", 2.0), (1, "a", "c", float("nan")), (1, "c", "d", 0.0), (1, "b", "d", 3.0)]
+    got = [tuple(r)[1:3] for r in graph.spanning_forest(spark.createDataFrame(edges, graph.SCHEMA)).collect()]
+    assert sorted(got) == [("a", "b"), ("b", "c"), ("c", "d")]
