@@ -39,6 +39,33 @@ def test_no_rows_and_bad_files(spark, tmp_path):
     assert set(why) == {"b_1.npy", "c_1.npy", "d_1.npy", "e_1.npy"} and why["c_1.npy"] == "an array of shape (5,)"
 
 
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """As by Spark's binary source, whose list is on the driver: deep folders, hidden names, patterns, paths."""
+    for place in ("1_2.npy", "a b/2_2.npy", "a b/c%20d/3_2.npy", "k=1/4_2.npy", "_k=1/5_2.npy", "_no/6_2.npy", ".no/7_2.npy", "_8_2.npy", "9_2.NPY", "10_2.txt"):
+        (tmp_path / "out" / place).parent.mkdir(parents=True, exist_ok=True)
+        np.save(f := io.BytesIO(), np.full((2, 3), float(len(place))))
+        (tmp_path / "out" / place).write_bytes(b"junk" if place == "k=1/4_2.npy" else f.getvalue())
+    (tmp_path / "out" / "none").mkdir()
+    folder = f"file://{tmp_path}/out"
+    for pattern in ("*.npy", "?_2.npy", "{1,3}_2.npy", "x*"):
+        got, files = clouds.read(spark, folder, pattern), clouds.files_of(spark, folder, pattern)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, clouds.decoded(files).collect()))
+        assert sorted(map(tuple, clouds.rejects(spark, folder, pattern).collect())) == sorted(map(tuple, clouds.rejected(files).collect()))
+        assert ("binaryFile" in got._jdf.queryExecution().executedPlan().toString()) == ("{" in pattern)
+    assert clouds.read(spark, folder).count() == 8 and clouds.rejects(spark, folder).count() == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        clouds.read(spark, f"{folder}/absent").collect()
+
+
+def test_many_files_go_to_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(clouds, "FOLDER_FILES", 5)
+    rows = [(c, c % 3, float(c), float(i), 0.0, "") for c in range(40) for i in range(3)]
+    folder = f"file://{tmp_path}/out"
+    assert clouds.write(spark.createDataFrame(rows, SCHEMA), folder, 20) == 40 and not list((tmp_path / "out").glob("*.npy"))
+    assert 1 < len(list((tmp_path / "out").iterdir())) <= 8 and all(len(list(d.iterdir())) < 20 for d in (tmp_path / "out").iterdir())
+    assert sorted((r["x"], r["y"], r["z"]) for r in clouds.read(spark, folder).collect()) == sorted(r[2:5] for r in rows)
+
+
 def test_lines(spark, tmp_path):
     (tmp_path / "species.txt").write_text("Abies\n\nPinus\n")
     assert [r["species"] for r in sinks.lines(spark, f"file://{tmp_path}/species.txt").collect()] == ["Abies", "Pinus"]
