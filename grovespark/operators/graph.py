@@ -43,8 +43,8 @@ def by_size(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     return edges.join(large, "cloud_id", "left_anti"), edges.join(large, "cloud_id", "left_semi")
 
 
-def by_group(rows: DataFrame, keys: list[str], run: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """What `run` makes of the columns of each group. Small groups come many to an Arrow batch: applyInPandas takes some milliseconds for the frames of each.
+def by_group(rows: DataFrame, keys: list[str], run: Callable[[dict[str, list]], dict[str, list]], schema: str, *order: str | Column) -> DataFrame:
+    """What `run` makes of the columns of each group, whose rows come in order. Small groups come many to an Arrow batch: applyInPandas takes some milliseconds for the frames of each.
 
     A group is held as lists of its values, so that a task has one group and a batch at a time.
     """
@@ -75,13 +75,14 @@ def by_group(rows: DataFrame, keys: list[str], run: Callable[[dict[str, list]],
         flush()
         yield pa.record_batch([pa.array(m, k.type) for m, k in zip(made, kinds)], schema=kinds)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
 
 
 # Spanning forest
 
 
 def kruskal(g: dict[str, list]) -> dict[str, list]:
+    """Edges come in order."""
     root: dict[str, str] = {}
 
     def find(v: str) -> str:
@@ -89,11 +90,8 @@ def kruskal(g: dict[str, list]) -> dict[str, list]:
             root[v] = v = root[root[v]]
         return v
 
-    def far(d: float | None) -> tuple:
-        return (True, 0.0) if d is None or d != d else (False, d)  # edges without a length come last
-
     keep = []
-    for _, a, b, i in sorted((far(d), a, b, i) for i, (d, a, b) in enumerate(zip(g["d2"], g["src"], g["dst"]))):
+    for i, (a, b) in enumerate(zip(g["src"], g["dst"])):
         ra, rb = find(a), find(b)
         if ra != rb:
             root[ra] = rb
@@ -145,7 +143,8 @@ def spanning_forest(edges: DataFrame, most: int = GROUP_EDGES) -> DataFrame:
     """A minimum spanning forest of each cloud, by rising (d2, src, dst). An edge that is listed twice counts once."""
     edges = edges.select("cloud_id", "src", "dst", "d2")
     small, large = by_size(edges, most)
-    out = by_group(small, ["cloud_id"], kruskal, SCHEMA)
+    far = F.when(~F.isnan("d2"), F.col("d2")).asc_nulls_last()  # edges without a length come last
+    out = by_group(small, ["cloud_id"], kruskal, SCHEMA, far, "src", "dst")
     return out if large is None else out.unionByName(rounds(large)[0].drop("round"))
 
 
